@@ -28,15 +28,19 @@ from weft.llm.common import slices, text_or_empty
 
 #: A word whose tokens depend on nothing else, in the alphabet of which each letter is its own normal form, and a mark after it.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)")
-MOST_KNOWN = 400_000
+MOST_KNOWN = 800_000
 
 
 @functools.lru_cache(1)
-def _byte_letters() -> list[str]:
-    """The letter by which byte-level vocabularies write each byte: itself where printable, else the next free one from 256."""
+def _letters() -> dict[int, str]:
+    """How byte-level vocabularies write PLAIN's letters beyond ASCII: a letter for each byte of UTF-8.
+
+    A byte's letter is itself where that is printable, else the next free one from 256.
+    """
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+    of_byte = [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+    return {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
 class WordIds:
@@ -50,34 +54,37 @@ class WordIds:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.core: dict[str, list[int]] = {}
         self.flat, self.start, self.size = array("I"), array("q"), array("q")
 
-    def _ids(self, word: bytes) -> list[int]:
+    def _add(self, word: bytes) -> int:
         text = word.decode()
         plain = PLAIN.fullmatch(text.lower())
         if not plain:
-            return self.library.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in plain.groups():
-            if part:
-                if part not in self.core:
-                    letters = _byte_letters()
-                    self.core[part] = [t.id for t in self.library.model.tokenize("".join(letters[b] for b in part.encode()))]
-                out += self.core[part]
-        return out
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        elif plain[2]:  # the word and its mark have tokens of their own
+            ids = [x for part in plain.groups() for x in self._known(part.encode())]
+        else:
+            ids = [t.id for t in self.library.model.tokenize(plain[1].translate(_letters()))]
+        self.number[word] = at = len(self.start)
+        self.start.append(len(self.flat))
+        self.size.append(len(ids))
+        self.flat.extend(ids)
+        return at
+
+    def _known(self, word: bytes) -> array:
+        at = self.number.get(word)
+        if at is None:
+            at = self._add(word)
+        return self.flat[self.start[at] : self.start[at] + self.size[at]]
 
     def encode(self, text: bytes, end: int) -> np.ndarray:
         if b"<|" in text:  # may hold a special token, which the library looks for before all else
             return np.array([*self.library.encode(text.decode(), add_special_tokens=False).ids, end], np.uint32)
         own = text.lower().split()
         number = self.number
-        for w in {w for w in own if w not in number}:
-            ids = self._ids(w)
-            number[w] = len(self.start)
-            self.start.append(len(self.flat))
-            self.size.append(len(ids))
-            self.flat.extend(ids)
+        for w in set(own).difference(number):
+            if w not in number:  # a word's mark may have brought it in meanwhile
+                self._add(w)
         at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
         size = np.frombuffer(self.size, np.int64)[at] if len(at) else np.zeros(0, np.int64)
         out = np.empty(int(size.sum()) + 1, np.uint32)
