@@ -121,9 +121,10 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source
 def apply_rules(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs (without its text if keep_text is false), the statistics, base_failed and kept.
 
-    The measured rows are written once to the shared folder, as both the sketches and the join read them.
+    The statistics, without texts, are written once to the shared folder for the sketches.  Where texts are kept they are
+    measured again beside the scan: that costs less than writing and reading all texts.
     """
     measured = measure(docs, text_col)
-    held = save(measured if keep_text else measured.drop(text_col), "measured")
-    limits = save(thresholds(sketches(held, lang_col, source_col)), "limits")
-    return judge(held, limits, lang_col, source_col)
+    slim = save(measured.drop(text_col), "measured")
+    limits = save(thresholds(sketches(slim, lang_col, source_col)), "limits")
+    return judge(measured if keep_text else slim, limits, lang_col, source_col)
