@@ -78,18 +78,30 @@ def wrap_common(src: Column, tgt: Column, patterns: list[str] | None = None) ->
     """(src, tgt) with the entities found in both tagged, digits in ASCII; one pattern after the other."""
     state = F.struct(ascii_digits(src).alias("src"), ascii_digits(tgt).alias("tgt"))
     for p in patterns or ENTITIES.values():
-        state = let(state, lambda s, p=p: let(F.array_intersect(matches(s["src"], p), matches(s["tgt"], p)), lambda both: F.struct(_wrap(s["src"], both).alias("src"), _wrap(s["tgt"], both).alias("tgt"))))
+        state = let(state, _common_step(p))
     return state
 
 
+def _common_step(p: str) -> Callable[[Column], Column]:
+    def step(s: Column) -> Column:
+        both = F.array_intersect(matches(s["src"], p), matches(s["tgt"], p))
+        return let(both, lambda found: F.struct(_wrap(s["src"], found).alias("src"), _wrap(s["tgt"], found).alias("tgt")))
+
+    return step
+
+
 def wrap(x: Column, patterns: list[str] | None = None) -> Column:
     """Text with its entities tagged, digits in ASCII, stripped."""
     state = ascii_digits(x)
     for p in patterns or ENTITIES.values():
-        state = let(state, lambda s, p=p: let(F.array_distinct(matches(s, p)), lambda found: _wrap(s, found)))
+        state = let(state, _single_step(p))
     return strip(state)
 
 
+def _single_step(p: str) -> Callable[[Column], Column]:
+    return lambda s: let(F.array_distinct(matches(s, p)), lambda found: _wrap(s, found))
+
+
 def unwrap(x: Column) -> Column:
     """Text without tags."""
     for tag in ("<dnt>", "</dnt>"):
@@ -109,6 +121,23 @@ def mend_tags(processed: Column, raw: Column) -> Column:
     return let(whole, mended)
 
 
+def _placeholder_step(name: str, p: str) -> Callable[[Column], Column]:
+    def put(a: Column, m: Column) -> Column:
+        n = F.size(a["entities"]) + 1
+        mark = F.concat(F.lit("<ID"), n.cast("string"), F.lit(">"))
+        return F.struct(F.replace(a["text"], m, mark).alias("text"), F.concat(a["entities"], F.array(F.struct(n.alias("n"), m.alias("v")))).alias("entities"))
+
+    def step(s: Column) -> Column:
+        found = F.array_distinct(matches(s["text"], p))
+        if name == "url":
+            found = F.filter(found, lambda m: F.length(F.replace(m, F.lit("."), F.lit(""))) >= 4)
+        if name == "numeral":
+            found = F.filter(found, lambda m: F.length(F.translate(m, " .:", "")) >= 4)
+        return F.aggregate(found, F.struct(s["text"].alias("text"), s["entities"].alias("entities")), put)
+
+    return step
+
+
 def placeholders(x: Column) -> Column:
     """(text, entities): entities replaced by <ID1>, <ID2>, ... in order of pattern and first occurrence.
 
@@ -117,22 +146,7 @@ def placeholders(x: Column) -> Column:
     entry = "array<struct<n:int,v:string>>"
     state = F.struct(ascii_digits(x).alias("text"), F.array().cast(entry).alias("entities"))
     for name, p in ENTITIES.items():
-
-        def step(s: Column, name: str = name, p: str = p) -> Column:
-            found = F.array_distinct(matches(s["text"], p))
-            if name == "url":
-                found = F.filter(found, lambda m: F.length(F.replace(m, F.lit("."), F.lit(""))) >= 4)
-            if name == "numeral":
-                found = F.filter(found, lambda m: F.length(F.translate(m, " .:", "")) >= 4)
-
-            def put(a: Column, m: Column) -> Column:
-                n = F.size(a["entities"]) + 1
-                mark = F.concat(F.lit("<ID"), n.cast("string"), F.lit(">"))
-                return F.struct(F.replace(a["text"], m, mark).alias("text"), F.concat(a["entities"], F.array(F.struct(n.alias("n"), m.alias("v")))).alias("entities"))
-
-            return F.aggregate(found, F.struct(s["text"].alias("text"), s["entities"].alias("entities")), put)
-
-        state = let(state, step)
+        state = let(state, _placeholder_step(name, p))
     return let(state, lambda s: F.struct(strip(F.replace(_collapse(s["text"]), F.lit(">/"), F.lit(">"))).alias("text"), s["entities"].alias("entities")))
 
 
