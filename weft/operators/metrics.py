@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.text import strip
+from weft.functions.text import let, strip
 
 
 def tokens(x: Column) -> Column:
@@ -24,7 +24,9 @@ def _grams(items: Column, n: int) -> Column:
 
 def overlaps(rows: DataFrame, keys: list[str], hyp: Column, ref: Column, orders: range, kind: str) -> DataFrame:
     """(keys, kind, n, matched, hyp_n, ref_n): clipped matches and totals of each order for each row."""
-    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.lit(n).alias("n"), _grams(x, n).alias("grams")) for s, x in ((0, hyp), (1, ref)) for n in orders)))
+    # items are worked out once a text, not once an n-gram
+    of = lambda side, x: let(x, lambda items: F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(items, n).alias("grams")) for n in orders)))
+    sides = F.explode(F.concat(of(0, hyp), of(1, ref)))
     grams = rows.select(*keys, sides.alias("s")).select(*keys, "s.side", "s.n", F.explode("s.grams").alias("gram"))
     counted = grams.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
     return counted.groupBy(*keys, "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("hyp_n"), F.sum("r").alias("ref_n")).withColumn("kind", F.lit(kind))
