@@ -28,8 +28,8 @@ def overlaps(rows: DataFrame, keys: list[str], hyp: Column, ref: Column, orders:
     of = lambda side, x: let(x, lambda items: F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(items, n).alias("grams")) for n in orders)))
     sides = F.explode(F.concat(of(0, hyp), of(1, ref)))
     grams = rows.select(*keys, sides.alias("s")).select(*keys, "s.side", "s.n", F.explode("s.grams").alias("gram"))
-    counted = grams.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("h"), F.count_if(F.col("side") == 1).alias("r"))
-    return counted.groupBy(*keys, "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("hyp_n"), F.sum("r").alias("ref_n")).withColumn("kind", F.lit(kind))
+    counted = grams.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("__h"), F.count_if(F.col("side") == 1).alias("__r"))
+    return counted.groupBy(*keys, "n").agg(F.sum(F.least("__h", "__r")).alias("matched"), F.sum("__h").alias("hyp_n"), F.sum("__r").alias("ref_n")).withColumn("kind", F.lit(kind))
 
 
 def bleu_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
