@@ -68,8 +68,8 @@ def bleu(statistics: DataFrame, groups: list[str]) -> DataFrame:
 def chrf(statistics: DataFrame, groups: list[str], beta: float = 2.0) -> DataFrame:
     """(groups, chrf): F-score of precision and recall averaged over the orders that both sides have."""
     sums = statistics.groupBy(*groups, "kind", "n").agg(*(F.sum(c).cast("double").alias(c) for c in ("matched", "hyp_n", "ref_n")))
-    both = sums.filter("hyp_n > 0 and ref_n > 0").groupBy(*groups).agg(F.avg(F.col("matched") / F.col("hyp_n")).alias("p"), F.avg(F.col("matched") / F.col("ref_n")).alias("r"))
-    score = F.when(F.col("p") + F.col("r") > 0, 100 * (1 + beta**2) * F.col("p") * F.col("r") / (beta**2 * F.col("p") + F.col("r"))).otherwise(0.0)
+    both = sums.filter("hyp_n > 0 and ref_n > 0").groupBy(*groups).agg(F.avg(F.col("matched") / F.col("hyp_n")).alias("__p"), F.avg(F.col("matched") / F.col("ref_n")).alias("__r"))
+    score = F.when(F.col("__p") + F.col("__r") > 0, 100 * (1 + beta**2) * F.col("__p") * F.col("__r") / (beta**2 * F.col("__p") + F.col("__r"))).otherwise(0.0)
     return both.select(*groups, score.alias("chrf"))
 
 
