@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.spans import SPAN, spans_of
-from weft.llm.common import text_or_empty
+from weft.llm.common import save, text_or_empty
 
 KINDS = ["assign", "access", "hex"]
 RULES = "secrets-1"
@@ -55,7 +55,8 @@ def scan(docs: DataFrame, path: str, rules: str = RULES, text_col: str = "text",
     unseen.write.mode("append").parquet(path)
     held = ledger(spark, path).filter(F.col("rules") == rules)
     # a commit that was repeated after a lost driver may have left a blob twice
-    found = held.groupBy("blob").agg(F.first("spans").alias("spans")).filter(F.size("spans") > 0)
+    once = held.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    found = save(once, "findings")  # a table of its own, so that Spark can split the rows of a blob with many copies in the join
     return named.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
