@@ -13,6 +13,8 @@ columns of theirs that clash with added names are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,26 +61,34 @@ def repeat_words(words: Column, width: int = 5) -> Column:
     return let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact(h)))
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, WS + "+"), "")
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+
+
+def _stats(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.concat_ws("", words)).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeat_words(words).cast("long"),
+    }
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and the five base statistics (long)."""
     text = text_or_empty(text_col)
-    words = F.array_remove(F.split(text, WS + "+"), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    out = docs.drop(*STATS).withColumn("__w", words).withColumn("__l", lines)
-    return out.withColumns(
-        {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(F.concat_ws("", "__w")).cast("long"),
-            "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-            "n_repeat_words": repeat_words(F.col("__w")).cast("long"),
-        }
-    ).drop("__w", "__l")
+    out = docs.drop(*STATS).withColumn("__w", _words(text)).withColumn("__l", _lines(text))
+    return out.withColumns(_stats(text, F.col("__w"), F.col("__l"))).drop("__w", "__l")
 
 
-def ratios() -> dict[str, Column]:
-    per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
-    return {"symbol_ratio": per_word("n_symbols"), "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_words") / 10, F.lit(1.0)), "long_word_ratio": per_word("word_chars")}
+def ratios(stat: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    words = F.greatest(stat("n_words"), F.lit(1))
+    return {"symbol_ratio": stat("n_symbols") / words, "dup_line_ratio": stat("n_dup_lines") / F.greatest(stat("n_words") / 10, F.lit(1.0)), "long_word_ratio": stat("word_chars") / words}
 
 
 def sketches(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -106,16 +116,43 @@ def thresholds(sketched: DataFrame, least: int = 200, upper: float = 0.9, reach:
     return wide.select("lang", "source", *(pick(c).alias(c) for c in names))
 
 
-def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """measured and booleans base_failed and kept."""
-    names = [f"__max_{k}" for k in RATIOS]
-    told = limits.select(F.struct("lang").alias("__lang"), F.struct("source").alias("__source"), *(F.col(f"max_{k}").alias(n) for k, n in zip(RATIOS, names, strict=True)))
-    joined = measured.drop("base_failed", "kept").join(told, (F.struct(F.col(lang_col).alias("lang")) == F.col("__lang")) & (F.struct(F.col(source_col).alias("source")) == F.col("__source")), "left")
-    bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def _limited(docs: DataFrame, limits: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    """docs and the limits of each row's language and source, as columns __max_."""
+    told = limits.select(F.struct("lang").alias("__lang"), F.struct("source").alias("__source"), *(F.col(f"max_{k}").alias(f"__max_{k}") for k in RATIOS))
+    same = (F.struct(F.col(lang_col).alias("lang")) == F.col("__lang")) & (F.struct(F.col(source_col).alias("source")) == F.col("__source"))
+    return docs.join(told, same, "left").drop("__lang", "__source")
+
+
+def _verdict(stat: Callable[[str], Column]) -> dict[str, Column]:
+    bad = (stat("n_words") < 10) | (100 * stat("n_repeat_words") > 20 * stat("n_words"))
     calm = F.lit(True)
-    for k, n in zip(RATIOS, names, strict=True):
-        calm = calm & F.coalesce(ratios()[k] <= F.col(n), F.lit(True))
-    return joined.withColumns({"base_failed": bad, "kept": ~bad & calm}).drop(*names, "__lang", "__source")
+    for k, ratio in ratios(stat).items():
+        calm = calm & F.coalesce(ratio <= F.col(f"__max_{k}"), F.lit(True))
+    return {"base_failed": bad, "kept": ~bad & calm}
+
+
+def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """measured, which is a table, and booleans base_failed and kept."""
+    joined = _limited(measured.drop("base_failed", "kept"), limits, lang_col, source_col)
+    return joined.withColumns(_verdict(F.col)).drop(*(f"__max_{k}" for k in RATIOS))
+
+
+def measure_and_judge(docs: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs, the statistics, base_failed and kept, all from one expression.
+
+    A filter on kept is moved below what computes it.  With a column for each step it would take along copies of the steps, and
+    split the text again for each of its words; the one expression is worked out once a text.
+    """
+    text = text_or_empty(text_col)
+
+    def all_of(x: Column) -> Column:
+        stats = F.struct(*(c.alias(k) for k, c in _stats(x["t"], x["w"], x["l"]).items()))
+        return let(stats, lambda s: F.struct(*(s[k].alias(k) for k in STATS), *(c.alias(k) for k, c in _verdict(lambda k: s[k]).items())))
+
+    parts = F.struct(text.alias("t"), _words(text).alias("w"), _lines(text).alias("l"))
+    base = docs.drop(*STATS, "base_failed", "kept")
+    judged = _limited(base, limits, lang_col, source_col).withColumn("__q", let(parts, all_of))
+    return judged.select(*base.columns, "__q.*")
 
 
 def apply_rules(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -124,7 +161,6 @@ def apply_rules(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     The statistics, without texts, are written once to the shared folder for the sketches.  Where texts are kept they are
     measured again beside the scan: that costs less than writing and reading all texts.
     """
-    measured = measure(docs, text_col)
-    slim = save(measured.drop(text_col), "measured")
+    slim = save(measure(docs, text_col).drop(text_col), "measured")
     limits = save(thresholds(sketches(slim, lang_col, source_col)), "limits")
-    return judge(measured if keep_text else slim, limits, lang_col, source_col)
+    return measure_and_judge(docs, limits, lang_col, source_col, text_col) if keep_text else judge(slim, limits, lang_col, source_col)
