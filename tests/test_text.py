@@ -80,6 +80,19 @@ def test_metrics_of_equal_texts(spark):
     assert metrics.chrf(metrics.chrf_statistics(rows, ["r"], 2), ["r"]).first()["chrf"] == pytest.approx(100)
 
 
+@pytest.mark.parametrize(
+    ("make", "text", "want"),
+    [
+        (metrics.words_and_marks, "(a) café don't. _ x", ["(a", ")", "café", "don't", ".", "_", "x"]),
+        (metrics.words_and_marks, "«q» (b", ["«q»", "(", "b"]),
+        (metrics.v13a_tokens, "Hello, world! 1,000.5 a-b 3-4 &quot;x&quot; it's", ["Hello", ",", "world", "!", "1,000.5", "a-b", "3", "-", "4", '"', "x", '"', "it's"]),
+        (metrics.v13a_tokens, "", []),
+    ],
+)
+def test_metric_tokens(spark, make, text, want):
+    assert value(spark, make, text) == want
+
+
 def test_sources(spark, tmp_path):
     for name, body in {"en-hi/train.en": "a\nb\nc\n", "en-hi/train.hi": "x\ny\n"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)

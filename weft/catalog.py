@@ -284,6 +284,12 @@ def steps_sql(x: str, steps: list[tuple[str, str]]) -> str:
     return x
 
 
+def listed_sql(pattern: str) -> str:
+    """All matches in x, written as Spark writes an array; classes by Unicode, as the engine of the SQL has them in ASCII only."""
+    own = pattern.replace(r"\d", r"\p{Nd}").replace(r"\w", r"[\p{L}\p{M}\p{Nd}\p{Pc}]").replace("'", "''")
+    return f"'[' || array_to_string(regexp_extract_all(x, '{own}', 0), ', ') || ']'"
+
+
 def _text_queries() -> None:
     from weft.functions import punctuation as p
 
@@ -300,10 +306,10 @@ def _text_queries() -> None:
         ("piece_join", tx.join_pieces, strip_sql("replace(replace(x, ' ', ''), '▁', ' ')")),
         ("key_loose", tx.loose_key, loose_sql("x")),
         ("key_strict", tx.strict_key, strict_sql("x")),
-        ("entities_email", lambda c: tx.matches(c, tx.EMAIL).cast("string"), None),
+        ("entities_email", lambda c: tx.matches(c, tx.EMAIL).cast("string"), listed_sql(tx.EMAIL)),
         ("entities_url", lambda c: tx.matches(c, tx.URL).cast("string"), None),
-        ("entities_numeral", lambda c: tx.matches(c, tx.NUMERAL).cast("string"), None),
-        ("entities_other", lambda c: tx.matches(c, tx.OTHER).cast("string"), None),
+        ("entities_numeral", lambda c: tx.matches(c, tx.NUMERAL).cast("string"), listed_sql(tx.NUMERAL)),
+        ("entities_other", lambda c: tx.matches(c, tx.OTHER).cast("string"), listed_sql(tx.OTHER)),
         ("dnt_wrap", tx.wrap, None),
         ("dnt_unwrap", lambda c: tx.unwrap(tx.wrap(c)), None),
         ("placeholder_wrap", lambda c: tx.placeholders(c)["text"], None),
@@ -404,7 +410,11 @@ def vocab_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, string_split({strip_sql("replace(coalesce(text, ''), chr(10), ' ')")}, ' ') AS l FROM documents),
+w AS (SELECT doc_id, unnest(l) AS token, unnest(generate_series(1, len(l))) AS place FROM d),
+v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS id FROM w WHERE token <> '' GROUP BY token HAVING count(*) >= 5),
+e AS (SELECT doc_id, count(*) AS n, string_agg(coalesce(id, 3)::VARCHAR, ' ' ORDER BY place) AS ids FROM w LEFT JOIN v USING (token) WHERE token <> '' GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n, sha256(coalesce(ids, '')) AS ids FROM documents LEFT JOIN e USING (doc_id)""")
 def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ").alias("text"))
     return vocabulary.encode(docs, vocabulary.numbered(vocabulary.token_counts(docs)), "doc_id").select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), 256).alias("ids"))
@@ -450,13 +460,39 @@ def chrf_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.chrf(metrics.chrf_statistics(systems(spark, sf_dir), [*groups, "line_no"]), groups).select(*groups, F.round("chrf", 6).alias("chrf"))
 
 
-@query()
+# A word's mark at its end, or else the one at its start, as a word of its own
+_MARK = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
+_PARTS = rf"""flatten(list_transform({_WORDS}, lambda t: CASE WHEN length(t) = 1 THEN [t] WHEN regexp_matches(t, '{_MARK}$') THEN [t[:-2], t[-1]]
+  WHEN regexp_matches(t, '^{_MARK}') THEN [t[1], t[2:]] ELSE [t] END))"""
+
+
+@query(f"""WITH {_SYSTEMS}, chars AS (WITH {_grams_sql(_CHARS, 6)} SELECT * FROM sums), words AS (WITH {_grams_sql(_PARTS, 2)} SELECT * FROM sums),
+pr AS (SELECT pair, system, avg(m / h) AS p, avg(m / r) AS q FROM (FROM chars UNION ALL FROM words) WHERE h > 0 AND r > 0 GROUP BY pair, system)
+SELECT pair, system, round(CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0 END, 6) AS chrf FROM pr""")
 def chrfpp_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ["pair", "system"]
     return metrics.chrf(metrics.chrf_statistics(systems(spark, sf_dir), [*groups, "line_no"], 2), groups).select(*groups, F.round("chrf", 6).alias("chrf"))
 
 
-@query()
+_V13A = _WORDS.replace("{x}", steps_sql("(' ' || {x} || ' ')", metrics.V13A))
+
+
+@query(f"""WITH {_SYSTEMS}, {_grams_sql(_V13A, 4)}
+SELECT pair, system, round(CASE WHEN min(m) > 0 AND count(*) = 4 THEN least(1, exp(1 - max(r) FILTER (n = 1) / max(h) FILTER (n = 1))) * exp(avg(ln(100 * m / h))) END, 6) AS bleu FROM sums GROUP BY pair, system""")
+def bleu_13a_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ["pair", "system"]
+    return metrics.bleu(metrics.bleu_statistics(systems(spark, sf_dir), [*groups, "line_no"], "13a"), groups).select(*groups, F.round("bleu", 6).alias("bleu"))
+
+
+_TIMES = " + ".join(f"(u > {limit}::DOUBLE)::INT" for limit in metrics.POISSON)
+
+
+@query(f"""WITH {_SYSTEMS}, {_grams_sql(_WORDS, 4)}, l AS (SELECT line_no, system, n, sum(m) AS m, sum(h) AS h, sum(r) AS r FROM stats GROUP BY ALL),
+k AS (SELECT sample, line_no, ('0x' || left(md5(sample || ':' || line_no), 8))::BIGINT / 4294967296::DOUBLE AS u FROM (SELECT unnest(generate_series(1, 200)) AS sample), (SELECT DISTINCT line_no FROM l)),
+t AS (SELECT sample, line_no, {_TIMES} AS times FROM k),
+b AS (SELECT sample, system, n, sum(m * times)::DOUBLE AS m, sum(h * times)::DOUBLE AS h, sum(r * times)::DOUBLE AS r FROM l JOIN t USING (line_no) WHERE times > 0 GROUP BY ALL),
+z AS (SELECT sample, system, round(least(1, exp(1 - max(r) FILTER (n = 1) / max(h) FILTER (n = 1))) * exp(avg(ln(100 * m / h))), 6) AS bleu FROM b GROUP BY ALL)
+SELECT sample::INT AS sample, max(bleu) FILTER (system = 'a') AS a, max(bleu) FILTER (system = 'b') AS b, max(bleu) FILTER (system = 'a') > max(bleu) FILTER (system = 'b') AS a_wins FROM z GROUP BY sample""")
 def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = metrics.bleu_statistics(systems(spark, sf_dir).drop("pair"), ["line_no", "system"])
     scores = metrics.paired_bootstrap(stats, "line_no", "system")

@@ -9,13 +9,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.punctuation import apply_steps
 from weft.functions.text import let, strip
 
+# The steps of the mteval-v13a tokeniser, on a text with a blank at both ends.
+V13A = [
+    ("<skipped>", ""),
+    ("-\n", ""),
+    ("\n", " "),
+    ("&quot;", '"'),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    (r"re:([\x20-\x26\x28-\x2B\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])", " $1 "),
+    (r"re:([^0-9])([.,])", "$1 $2 "),
+    (r"re:([.,])([^0-9])", " $1 $2"),
+    (r"re:([0-9])(-)", "$1 $2 "),
+]
+
+# The marks that chrF++ takes off a word.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 def tokens(x: Column) -> Column:
     return F.filter(F.split(strip(x), r"(?U)\s+"), lambda t: t != "")
 
 
+def v13a_tokens(x: Column) -> Column:
+    return tokens(apply_steps(F.concat(F.lit(" "), x, F.lit(" ")), V13A))
+
+
+def words_and_marks(x: Column) -> Column:
+    """Words, each with the mark at its end (or else the one at its start) as a word of its own."""
+    mark = lambda c: F.contains(F.lit(MARKS), c)
+
+    def parts(w: Column) -> Column:
+        first, last = F.left(w, F.lit(1)), F.right(w, F.lit(1))
+        off_end = F.array(w.substr(F.lit(1), F.length(w) - 1), last)
+        off_start = F.array(first, w.substr(F.lit(2), F.length(w) - 1))
+        return F.when(F.length(w) == 1, F.array(w)).when(mark(last), off_end).when(mark(first), off_start).otherwise(F.array(w))
+
+    return F.flatten(F.transform(tokens(x), parts))
+
+
 def _grams(items: Column, n: int) -> Column:
     last = F.size(items) - n
     made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(items, i + 1, F.lit(n)), "\u0001"))
@@ -32,8 +68,10 @@ def overlaps(rows: DataFrame, keys: list[str], hyp: Column, ref: Column, orders:
     return counted.groupBy(*keys, "n").agg(F.sum(F.least("__h", "__r")).alias("matched"), F.sum("__h").alias("hyp_n"), F.sum("__r").alias("ref_n")).withColumn("kind", F.lit(kind))
 
 
-def bleu_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return overlaps(rows, keys, tokens(F.col("hyp")), tokens(F.col("ref")), range(1, 5), "word")
+def bleu_statistics(rows: DataFrame, keys: list[str], tokenize: str = "none") -> DataFrame:
+    """tokenize: none for texts whose tokens stand between white space, 13a for plain English."""
+    split = {"none": tokens, "13a": v13a_tokens}[tokenize]
+    return overlaps(rows, keys, split(F.col("hyp")), split(F.col("ref")), range(1, 5), "word")
 
 
 def chrf_statistics(rows: DataFrame, keys: list[str], word_order: int = 0) -> DataFrame:
@@ -42,8 +80,7 @@ def chrf_statistics(rows: DataFrame, keys: list[str], word_order: int = 0) -> Da
     chars = overlaps(rows, keys, own(F.col("hyp")), own(F.col("ref")), range(1, 7), "char")
     if not word_order:
         return chars
-    split = lambda x: F.filter(F.split(F.regexp_replace(strip(x), r"(?<=\w)([^\w\s])(?=\s|$)|(?<=\s|^)([^\w\s])(?=\w)", " $1$2 "), r"(?U)\s+"), lambda t: t != "")
-    return chars.unionByName(overlaps(rows, keys, split(F.col("hyp")), split(F.col("ref")), range(1, word_order + 1), "word"))
+    return chars.unionByName(overlaps(rows, keys, words_and_marks(F.col("hyp")), words_and_marks(F.col("ref")), range(1, word_order + 1), "word"))
 
 
 def bleu(statistics: DataFrame, groups: list[str]) -> DataFrame:

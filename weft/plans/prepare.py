@@ -33,13 +33,13 @@ def prepare(bitext: DataFrame, benchmark: DataFrame | None = None, most_pieces:
     return corpus.add_tags(rows)
 
 
-def evaluate(predictions: DataFrame, references: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def evaluate(predictions: DataFrame, references: DataFrame, keys: list[str] | None = None, tokenize: str = "none") -> DataFrame:
     """(pair, system, metric, value) of predictions (pair, system, line_no, text) against references (pair, line_no, text)."""
     groups = keys or ["pair", "system"]
     rows = predictions.withColumnRenamed("text", "hyp").join(references.withColumnRenamed("text", "ref"), ["pair", "line_no"])
     on = [*groups, "line_no"]
     scored = [
-        metrics.bleu(metrics.bleu_statistics(rows, on), groups).select(*groups, F.lit("bleu").alias("metric"), F.col("bleu").alias("value")),
+        metrics.bleu(metrics.bleu_statistics(rows, on, tokenize), groups).select(*groups, F.lit("bleu").alias("metric"), F.col("bleu").alias("value")),
         metrics.chrf(metrics.chrf_statistics(rows, on), groups).select(*groups, F.lit("chrf").alias("metric"), F.col("chrf").alias("value")),
         metrics.chrf(metrics.chrf_statistics(rows, on, 2), groups).select(*groups, F.lit("chrf++").alias("metric"), F.col("chrf").alias("value")),
     ]
