@@ -1,0 +1,123 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, with every pair at or above a similarity found.
+
+Two sets with similarity t share a shingle among the first n - ceil(t n) + 1 of their n shingles, whatever order all sets
+follow.  Rare shingles come first: what is common is learnt from a sample of documents, which changes the cost alone and never
+the pairs.  Documents that share such a shingle meet, and are linked if their whole sets are similar enough.
+
+A large group of near copies isn't compared pair by pair.  In a few rounds all that meet at a shingle are compared with one
+of them, another one in each round, and what is linked is put together; then only documents of different components are.
+
+A-Z are lower-cased; words are split as in simhash.  Fewer words than a shingle give one shingle, so nulls and texts without
+words are alike.  Shingles are told apart by 64-bit hashes.  Repeated rows each give a row; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weft.llm.common import save, slices, text_or_empty
+from weft.llm.simhash import components
+
+SEED = 42
+SAMPLE = 32  # one document of so many tells which shingles are common
+COMMON = 200_000  # so many at most are kept apart
+EPS = 1e-9
+
+
+def set_of(text: bytes, words: int) -> np.ndarray:
+    """The sorted hashes of a UTF-8 text's distinct word shingles."""
+    import xxhash
+
+    own = text.lower().split()
+    shingles = {b" ".join(x) for x in zip(*(own[i:] for i in range(words)), strict=False)} or {b" ".join(own)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), "<u8", len(shingles)).view("<i8"))
+
+
+def prefix_of(own: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which similar sets share one. common: sorted hashes and their counts."""
+    most = len(own) - math.ceil(similarity * len(own) - EPS) + 1
+    if not len(common):
+        return own[:most]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    return own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))[:most]]
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [set_of(x, words) for x in part.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype("i4")
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("name"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "name", "own"])
+
+    base = docs.select(F.monotonically_increasing_id().alias("id"), F.col(id_col).alias("name"), F.encode(text_or_empty(text_col), "utf-8").alias("text"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", docs.schema[id_col].dataType), T.StructField("own", T.ArrayType(T.LongType()))])
+    return base.mapInArrow(run, schema)
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, id, n): the shingles by which a document meets others, and the size of its set."""
+    sample = sets.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode("own").alias("shingle"))
+    told = sample.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    common, counts = told.column("shingle").to_numpy(), told.column("n").to_numpy()
+    order = np.argsort(common)
+    common, counts = common[order], counts[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column("id").to_numpy(), batch.column("own")
+            for i in range(0, len(ids), 256):
+                sets_ = [np.asarray(x.values) for x in lists[i : i + 256]]
+                first = [prefix_of(x, common, counts, similarity) for x in sets_]
+                often = [len(x) for x in first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first)), pa.array(np.repeat(ids[i : i + 256], often)), pa.array(np.repeat([len(x) for x in sets_], often))], ["shingle", "id", "n"]
+                )
+
+    return sets.select("id", "own").mapInArrow(run, "shingle long, id long, n long")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - EPS).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 3) -> DataFrame:
+    """(id_col, component long) for every row; two rows have the same component if similar pairs lead from one to the other."""
+    sets = save(_sets(docs, id_col, text_col, words), "sets")
+    prefixes = save(_prefixes(sets, similarity), "prefixes")
+    # saved, so that Spark knows how little is left and needn't shuffle the large side of the join
+    shared = save(prefixes.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shared")
+    met = save(prefixes.join(shared, "shingle"), "met").withColumn("root", F.col("id"))
+    fits = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n) - EPS
+    edges, rooted = None, met
+    for k in range(rounds + 1):
+        if k < rounds:
+            first = rooted.groupBy("shingle").agg(F.min_by(F.struct("id", "n", "root"), _turn(k)).alias("c"))
+            pairs = rooted.join(first, "shingle").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n"))).select(F.col("id").alias("a"), F.col("c.id").alias("b"))
+        else:
+            x, y = rooted.toDF("shingle", "a", "m", "r"), rooted.toDF("shingle", "b", "n", "s")
+            pairs = x.join(y, "shingle").filter((F.col("r") < F.col("s")) & fits(F.col("m"), F.col("n"))).select("a", "b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = save(_confirm(save(pairs, "pairs"), sets, similarity), "near")
+        edges = new if edges is None else edges.unionByName(new)
+        roots = save(components(edges), "roots")
+        if k < rounds:
+            now = met.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            # where all are of one component, nothing is left to compare
+            open_ = now.groupBy("shingle").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("shingle")
+            rooted = save(now.join(open_, "shingle").select("shingle", "id", "n", "root"), "open")
+    return sets.select("id", F.col("name").alias(id_col)).join(roots, F.col("id") == F.col("node"), "left").select(id_col, F.coalesce("root", "id").alias("component"))
+
+
+def _turn(k: int) -> Column:
+    """What the one that others are compared with is chosen by in round k."""
+    return F.struct(F.xxhash64("id", F.lit(k)), "id")
