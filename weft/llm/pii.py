@@ -4,13 +4,15 @@ Seeds are the matches of the base patterns.  Every token with a digit that overl
 an occurrence is its context.  A context becomes a pattern if at least `support` different seed values of a kind follow it;
 patterns and instances form a graph that is scored in rounds:
 
-  score of a pattern  = sum of the scores of the different instances after it / number of documents with the word
+  score of a pattern  = sum of the scores of the different instances after it / number of different texts with the word
   score of an instance = 1 for seeds, else 1 - product over its patterns of (1 - score), as the same value may be met in several contexts
 
-Documents in which no identifier follows the word count against it, so common words never become patterns.  Candidates that
-end with a score of `confidence` or more are added with the kind of their best pattern; base spans always stay.
+Texts in which no identifier follows the word count against it, so common words never become patterns.  Candidates that
+end with a score of `confidence` or more are added after any of their patterns, with the kind of the best one; base spans
+always stay.
 
-A null text counts as empty.  Repeated rows are scanned each; copies of a text add their value to a pattern once.  An empty
+A null text counts as empty.  Repeated rows are scanned each; copies of a text add their value to a pattern once and
+count as one text.  An empty
 table gives an empty table.  Only the id and text columns are read, so further columns cannot clash.
 """
 
@@ -75,9 +77,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     values = near.groupBy("word", "kind", "value").agg(F.count("*").alias("n"))  # copies count once
     cues = values.filter("kind is not null").groupBy("word", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
     cues = save(cues, "cues")
-    words = docs.select(F.explode(F.array_distinct(F.split(text_or_empty(text_col), r"[\x20\x09-\x0D]+"))).alias("word"))
-    # counted as written first: fewer rows are then shuffled and made alike than the texts have words
-    corpus = words.groupBy("word").agg(F.count("*").alias("n")).groupBy(_tidy(F.col("word")).alias("word")).agg(F.sum("n").alias("docs_with"))
+    alike = F.lower(F.regexp_replace(text_or_empty(text_col), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))  # each word as _tidy makes it
+    words = docs.select(F.xxhash64(text_or_empty(text_col)).alias("copy"), F.explode(F.array_distinct(F.split(alike, r"[\x20\x09-\x0D]+"))).alias("word"))
+    # only words that may become patterns are counted, so few rows are shuffled
+    corpus = words.join(cues.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count_distinct("copy").alias("docs_with"))
     cues = save(cues.join(corpus, "word").select("word", "kind", "seeds", "docs_with"), "cues")
     open_ = save(values.filter("kind is null").select("word", "value").join(cues, "word").select("word", "kind", "value", "docs_with"), "open")
     scores = cues.select("word", "kind", F.least(F.lit(1.0), F.col("seeds") / F.col("docs_with")).alias("score"))
@@ -88,7 +91,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
         scores = save(scores, "scores")
     best = _instances(open_, scores).filter(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     # an instance is a value after one of its patterns; the value alone, elsewhere, is left alone
-    after = open_.join(scores.filter(F.col("score") >= confidence).select("word", "kind"), ["word", "kind"], "left_semi").select("word", "value").distinct().join(best, "value")
+    after = open_.select("word", "value").distinct().join(best, "value")
     new = near.filter("kind is null").select("row", "start", "stop", "word", "value").join(after, ["word", "value"])
     new = new.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("new"))
     out = held.select("row", "id", "base").join(new, "row", "left")
