@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from pathlib import Path
 
@@ -39,3 +40,12 @@ def test_query(spark, duck, name):
     want = told.fetchall()
     assert sorted(names) == sorted(df.columns)
     assert plain(rows, df.columns) == plain(want, names)
+
+
+def test_pivot_join_takes_every_source(spark, tmp_path):
+    rows = [(2 * i + j, "the same line", "en", s, 13) for i, s in enumerate([None, *(f"src{n}" for n in range(20))]) for j in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    one = lambda s: hashlib.md5((s or "").encode()).hexdigest() < "8"
+    first = max(i for i, _, _, s, _ in rows if one(s))
+    want = {(str(first * 100000), str(i * 100000)) for i, _, _, s, _ in rows if not one(s)}
+    assert {tuple(r) for r in QUERIES["pivot_join_all"](spark, str(tmp_path)).select("src_text", "tgt_text").collect()} == want

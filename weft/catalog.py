@@ -148,6 +148,17 @@ def pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.pivot_join(side(["src0", "src1", "src2"]), side(["src3", "src4", "src5"]))
 
 
+@query(f"""WITH {LINES}, p AS (SELECT {strip_sql("text")} AS k, md5(coalesce(source, '')) < '8' AS one, doc_id * 100000 + line_no AS pos FROM lines WHERE {strip_sql("text")} <> ''),
+a AS (SELECT k, max(pos) AS src FROM p WHERE one GROUP BY k)
+SELECT DISTINCT src::VARCHAR AS src_text, p.pos::VARCHAR AS tgt_text FROM p JOIN a USING (k) WHERE NOT one""")
+def pivot_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources, none or null too, dealt to two languages by a hash, over equal lines."""
+    rows = lines(spark, sf_dir).withColumn("at", F.col("doc_id") * 100000 + F.col("line_no")).filter(tx.strip(F.col("text")) != "")
+    one = F.md5(F.coalesce("source", F.lit("")).cast("binary")) < "8"
+    side = lambda which: rows.filter(which).select(F.col("text").alias("pivot_text"), F.col("at").cast("string").alias("text"), F.col("at").alias("line_no"))
+    return corpus.pivot_join(side(one), side(~one))
+
+
 # Filters and counts
 
 _SIZE = f"len(string_split({strip_sql('{x}')}, ' '))"
