@@ -85,7 +85,10 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    # only sets that are compared are dealt, and with both tables saved Spark knows how small they are
+    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    sets = save(sets.join(wanted, "id", "left_semi").select("id", "own"), "compared")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - EPS).select("a", "b")
 
