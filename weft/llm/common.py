@@ -6,10 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def _clean(spark: SparkSession) -> None:
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _made:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        discard(spark, _made)
     except Exception:  # the JVM may be gone already; the folder is the cluster's scratch space
         pass
 
@@ -57,6 +55,51 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
+    """What make() gives, written and read back, and its path; the scratch tables that it needed on the way are removed."""
+    before = set(_made)
+    out = make()
+    path = scratch_path(spark, label)
+    out.write.parquet(path)
+    discard(spark, _made - before - {path})
+    return spark.read.schema(out.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove scratch tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in list(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _made.discard(path)
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores after it while a column already has the name (Spark compares names without case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and, last, what tells each row apart however often it is read (its file and place there), and that column's name.
+
+    A table that comes from no file is written to files of its own first.
+    """
+    (name,) = free_names(docs.columns, "row")
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.withColumn(name, F.concat_ws(":", at["file_path"], at["row_index"])), name
+    except AnalysisException as e:
+        if not str(e.getCondition()).startswith("UNRESOLVED_COLUMN"):
+            raise
+        return numbered(save(docs, "documents"))
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
