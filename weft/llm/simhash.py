@@ -2,26 +2,33 @@
 
 The trie join looks for pairs of fingerprints that differ in at most `budget` bits.  It walks pairs of trie nodes together,
 adds up the bits in which their paths differ and drops a pair of nodes as soon as the sum exceeds the budget.  To spread the
-walk, the 64 bits are cut into budget + 1 blocks: two fingerprints within the budget agree in one block at least.  For each
+walk, the bits are cut into budget + 1 blocks: two fingerprints within the budget agree in one block at least.  For each
 block the fingerprints are turned so that this block comes first; every node at that depth is then paired with itself alone,
-and the subtrees below are walked independently.  A subtree with more than `heavy` fingerprints is split by further bits into
-pairs of smaller subtrees, each with the bits in which the two differ already counted, so that no task gets all of it.
+and the subtrees below are walked independently.  Pairs of subtrees with more than `heavy` fingerprints are split by the next
+eight bits into pairs of smaller subtrees, with the bits in which the two differ counted so far, again and again until none
+is heavy, so that no task gets all of a crowded part of the trie.  Tasks read subtrees in order, a bounded number of rows at a time.
+
+near_duplicates() links fingerprints of 64 bits.  similar_groups() finds documents by the Jaccard similarity of their word
+shingles: fingerprints of word pairs, 32 bits in each of several tables, are joined in every table; what meets is narrowed
+by all bits together and then confirmed on the shingle sets themselves.
 
 Components: links are contracted by rounds of large-star and small-star with a checkpoint after each, in Spark throughout.
 
-Nulls and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle give one shingle.  A
-null id never becomes a component's name unless a component has no other.  Repeated rows each give a row.  An empty table
-gives an empty table.  Only the id and text columns are read, so further columns cannot clash.
+Nulls and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle give one shingle.  Very
+long texts are read whole.  Ties: the smallest id names a component, a null id only one that has no other.  Repeated rows each
+give a row (similar_groups needs ids of their own).  An empty table gives an empty table.  Only the id and text columns are
+read, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,43 +36,64 @@ from weft.llm.common import save, slices, text_or_empty
 
 SEED = 42
 BITS = 64
+#: Bits by which a heavy pair of subtrees is split at a time.
+SPLIT = 8
+#: Edge-disjoint spanning forests of what meets in a lot that are compared: all pairs of a few documents, a few pairs a document of many.
+FORESTS = 4
+PAIR = ["table", "turn", "deep", "a", "b"]
 
 
-def fingerprint_of(text: bytes, words: int) -> int:
-    """The 64-bit SimHash of a UTF-8 text over word shingles, A-Z lower-cased."""
+def _hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, repeats included, A-Z lower-cased."""
     import xxhash
 
     own = text.lower().split()
     if not own:
-        return 0
+        return np.zeros(0, "<u8")
     shingles = [b" ".join(x) for x in zip(*(own[i:] for i in range(words)), strict=False)] or [b" ".join(own)]
-    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), "<u8", len(shingles))
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), "<u8", len(shingles))
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """The bits that more than half of the hashes have set, as one number."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 65536):
         counts += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0]
+
+
+def _stirred(h: np.ndarray, lane: int) -> np.ndarray:
+    """Other hashes made of the hashes, for a further 64 bits of a fingerprint: multiply, fold, multiply."""
+    odd = np.uint64(2 * int.from_bytes(f"lane{lane:04d}".encode(), "big") + 1)
+    x = (h ^ (h >> np.uint64(32))) * odd
+    return (x ^ (x >> np.uint64(29))) * odd
+
 
+def fingerprint_of(text: bytes, words: int, lanes: int = 1) -> list[int]:
+    """The SimHash of a UTF-8 text over word shingles, 64 bits a lane; the first lane is made of the hashes themselves."""
+    h = _hashes(text, words)
+    return [int(_majority(_stirred(h, k) if k else h)) for k in range(lanes)]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id_col, fp long: the fingerprint's 64 bits as a signed number) for every row."""
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
+    """(id_col, fp0 long, ... one for each lane: 64 bits as a signed number) for every row."""
+    names = [f"fp{k}" for k in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            fps = np.array([fingerprint_of(x, words) for x in part.column("text").to_pylist()], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps)], ["id", "fp"])
+            fps = np.array([fingerprint_of(x, words, lanes) for x in part.column("text").to_pylist()], "<u8").reshape(-1, lanes).view("<i8")
+            yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(lanes))], ["id", *names])
 
     base = docs.select(F.col(id_col).alias("id"), F.encode(text_or_empty(text_col), "utf-8").alias("text"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in names)])
     return base.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def _turn(fp: np.ndarray, left: int) -> np.ndarray:
-    """Each 64-bit number with its bits turned to the left."""
-    return fp if left == 0 else (fp << np.uint64(left)) | (fp >> np.uint64(BITS - left))
+# The walk over pairs of trie nodes, in one task
 
 
-def walk(a: np.ndarray, pairs: np.ndarray, budget: int, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Walk pairs of trie nodes over the sorted fingerprints a; gives index arrays (i, j) of pairs within the budget.
+def walk(a: np.ndarray, pairs: np.ndarray, budget: int, width: int = BITS, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Walk pairs of trie nodes over a, whose ranges hold sorted, different numbers; gives index arrays (i, j) of pairs within the budget.
 
     pairs: columns lo1, hi1, lo2, hi2, differing bits, depth; a node is a range of a.  A pair of a node with itself has
     lo1 == lo2.  Pairs are handled in lots of `most`, the deepest lot first, so memory stays bounded.
@@ -82,13 +110,12 @@ def walk(a: np.ndarray, pairs: np.ndarray, budget: int, most: int = 200_000) ->
         leaf = p[one]
         if len(leaf):
             leaf = leaf[leaf[:, 0] != leaf[:, 2]]
-            x = (a[leaf[:, 0]] ^ a[leaf[:, 2]]).reshape(-1, 1).view(np.uint8)
-            near = np.unpackbits(x, axis=1).sum(axis=1) <= budget if len(leaf) else np.zeros(0, bool)
+            near = np.bitwise_count(a[leaf[:, 0]] ^ a[leaf[:, 2]]) <= budget
             yield leaf[near, 0], leaf[near, 2]
         p = p[~one]
         if not len(p):
             continue
-        shift = (BITS - 1 - p[:, 5]).astype(np.uint64)
+        shift = (width - 1 - p[:, 5]).astype(np.uint64)
         mid1, mid2 = (_middle(a, p[:, i], p[:, i + 1], shift) for i in (0, 2))
         self_ = p[:, 0] == p[:, 2]
         made = []
@@ -116,84 +143,124 @@ def _middle(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray) ->
     return lo
 
 
-def _join_subtrees(offsets: list[int], budget: int):
+def _lots(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows sorted by PAIR, about `most` rows at a time, cut where a pair of subtrees ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < most:
+            continue
+        lot = pa.Table.from_batches(held).combine_chunks()
+        new = _changes([lot.column(c).to_numpy() for c in PAIR])
+        if new[-1]:
+            yield {c: lot.column(c).to_numpy()[: new[-1]] for c in lot.column_names}
+        held = lot.slice(new[-1]).to_batches()
+    if held:
+        lot = pa.Table.from_batches(held)
+        yield {c: lot.column(c).to_numpy() for c in lot.column_names}
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before; the first row does."""
+    return np.flatnonzero(np.r_[True, reduce(np.logical_or, (c[1:] != c[:-1] for c in columns))])
+
+
+def _joined(lot: dict[str, np.ndarray], budget: int, width: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Rows of a lot in order, where in that order each different number of a side of a pair starts, and pairs of these numbers within the budget."""
+    pair = np.zeros(len(lot["a"]), np.int64)
+    pair[_changes([lot[c] for c in PAIR])[1:]] = 1
+    pair = np.cumsum(pair)
+    order = np.lexsort((lot["turned"].view(np.uint64), lot["side"], pair))
+    pair, side, a = pair[order], lot["side"][order], lot["turned"].view(np.uint64)[order]
+    first = _changes([pair, side, a])
+    pair, side, a = pair[first], side[first], a[first]
+    diff, deep = lot["diff"][order][first], lot["deep"][order][first]
+    cut = _changes([pair, side])
+    nodes = np.stack([cut, np.r_[cut[1:], len(a)]], 1)
+    two = np.flatnonzero(pair[cut][1:] == pair[cut][:-1])  # the second side follows its first
+    alone = np.ones(len(cut), bool)
+    alone[two] = alone[two + 1] = False
+    alone &= (diff[cut] == 0) & (nodes[:, 1] - nodes[:, 0] > 1)
+    own, cross = (np.column_stack([nodes[x], nodes[y], diff[cut][x], deep[cut][x]]) for x, y in ((alone, alone), (two, two + 1)))
+    return order, first, walk(a, np.concatenate([own, cross]).astype(np.int64), budget, width)
+
+
+# Subtrees for the tasks
+
+
+def _widths(budget: int, width: int) -> tuple[list[int], list[int]]:
+    n = budget + 1
+    offsets = [width * t // n for t in range(n)]
+    return offsets, [(offsets[1:] + [width])[t] - offsets[t] for t in range(n)]
+
+
+def _turned(value: Column, offset: int, width: int) -> Column:
+    """A number of `width` bits turned to the left."""
+    if offset == 0:
+        return value
+    both = F.shiftleft(value, offset).bitwiseOR(F.shiftrightunsigned(value, width - offset))
+    return both if width == BITS else both.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _split(rows: DataFrame, budget: int, width: int) -> DataFrame:
+    """Each row in all pairs of the smaller subtrees, `SPLIT` bits below, that its own one forms within the budget."""
+    flips = F.array(*(F.lit(sum(1 << b for b in c)).cast("long") for k in range(budget + 1) for c in combinations(range(SPLIT), k)))
+    rows = rows.withColumn("more", F.least(F.lit(SPLIT), F.lit(width) - F.col("deep")).cast("int"))
+    rows = rows.withColumn("own", F.expr(f"shiftrightunsigned(turned, {width} - deep - more) & (shiftleft(1L, more) - 1)"))
+    rows = rows.withColumn("flip", F.explode(F.filter(flips, lambda f: (f < F.expr("shiftleft(1L, more)")) & (F.bit_count(f) + F.col("diff") <= budget))))
+    below = lambda node, bits: F.call_function("shiftleft", F.col(node), F.col("more")).bitwiseOR(bits)
+    own, other, self_ = F.col("own"), F.col("own").bitwiseXOR(F.col("flip")), F.col("a") == F.col("b")
+    second = F.when(self_, own > other).otherwise(F.col("side") == 1)
+    made = {
+        "a": below("a", F.when(second, other).otherwise(own)), "b": below("b", F.when(second, own).otherwise(other)), "side": second.cast("int"),
+        "diff": (F.col("diff") + F.bit_count("flip")).cast("int"), "deep": (F.col("deep") + F.col("more")).cast("int"),
+    }
+    return rows.withColumns(made).drop("more", "own", "flip")
+
+
+def _subtrees(values: DataFrame, budget: int, width: int, heavy: int) -> DataFrame:
+    """Rows of values (table, value, ...) in every pair of subtrees to be walked, dealt by pair and sorted; value becomes turned."""
+    offsets, widths = _widths(budget, width)
+    turns = F.explode(F.array(*(F.struct(F.lit(t).alias("turn"), F.lit(widths[t]).alias("deep"), _turned(F.col("value"), offsets[t], width).alias("turned")) for t in range(budget + 1))))
+    rows = values.withColumn("t", turns).select(*(c for c in values.columns if c != "value"), "t.*").withColumn("a", F.expr(f"shiftrightunsigned(turned, {width} - deep)"))
+    rows = rows.withColumn("b", F.col("a")).withColumn("side", F.lit(0)).withColumn("diff", F.lit(0))
+    ready, now = [], rows
+    while True:
+        sizes = save(now.groupBy(*PAIR).agg(F.count("*").alias("n"), F.sum("side").alias("n1")).filter("if(a = b, n > 1, n1 > 0 and n1 < n)"), "sizes")
+        ready.append(now.join(sizes.filter(F.col("n") <= heavy).select(*PAIR), PAIR, "left_semi"))
+        if sizes.filter(F.col("n") > heavy).isEmpty():
+            break
+        now = save(_split(now.join(sizes.filter(F.col("n") > heavy).select(*PAIR), PAIR, "left_semi"), budget, width), "subtrees")
+    return reduce(DataFrame.unionByName, ready).repartition(*PAIR).sortWithinPartitions(*PAIR)
+
+
+def links(distinct: DataFrame, budget: int = 2, heavy: int = 50_000) -> DataFrame:
+    """(a, b) with a < b for all pairs of the distinct fingerprints in column fp that differ in at most `budget` bits."""
+    offsets, _ = _widths(budget, BITS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(x) for x in zip(*([b.column(c).to_numpy() for c in ("turn", "block", "pair", "side", "diff", "deep", "fp")] for b in batches), strict=True)] or None
-        if not cols:
-            return
-        turn, block, pair, side, diff, deep, fp = cols
-        for t, left in enumerate(offsets):
-            at = turn == t
-            turned = _turn(fp[at].view(np.uint64), left)
-            order = np.lexsort((turned, side[at], pair[at], block[at]))
-            a = turned[order]
-            b, q, s, d, e = (x[at][order] for x in (block, pair, side, diff, deep))
-            if not len(a):
-                continue
-            cut = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (q[1:] != q[:-1]) | (s[1:] != s[:-1])])
-            ends = np.r_[cut[1:], len(a)]
-            nodes = np.stack([cut, ends], 1)
-            same = (b[cut][1:] == b[cut][:-1]) & (q[cut][1:] == q[cut][:-1])  # the second side follows its first
-            two = np.flatnonzero(same)
-            lone = (d[cut] == 0) & (ends - cut > 1)
-            first = np.concatenate(
-                [np.column_stack([nodes[lone], nodes[lone], d[cut][lone], e[cut][lone]]), np.column_stack([nodes[two], nodes[two + 1], d[cut][two], e[cut][two]])]
-            ).astype(np.int64)
-            for i, j in walk(a, first, budget):
+        for lot in _lots(batches):
+            order, _, found = _joined(lot, budget, BITS)  # numbers of a side are different: each is one row
+            turned, turn = lot["turned"].view(np.uint64)[order], lot["turn"][order]
+            back = np.array(offsets)[turn].astype(np.uint64)
+            fp = np.where(back == 0, turned, (turned >> back) | (turned << ((np.uint64(BITS) - back) % np.uint64(BITS)))).view(np.int64)
+            for i, j in found:
                 if len(i):
-                    x, y = (_turn(a[k], (BITS - left) % BITS).view(np.int64) for k in (i, j))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], ["a", "b"])
 
-    return run
+    values = distinct.select(F.lit(0).alias("table"), F.col("fp").alias("value"))
+    return _subtrees(values, budget, BITS, heavy).mapInArrow(run, "a long, b long").distinct()
 
 
-def links(distinct: DataFrame, budget: int = 2, heavy: int = 100_000) -> DataFrame:
-    """(a, b) with a < b for all pairs of the distinct fingerprints in column fp that differ in at most `budget` bits."""
-    n = budget + 1
-    offsets = [BITS * t // n for t in range(n)]
-    widths = [(offsets[1:] + [BITS])[t] - offsets[t] for t in range(n)]
-    block = F.col("fp")
-    turned = F.explode(F.array(*(F.struct(F.lit(t).alias("turn"), F.shiftrightunsigned(F.shiftleft(block, offsets[t]) if offsets[t] else block, BITS - widths[t]).alias("block")) for t in range(n))))
-    rows = distinct.select("fp", turned.alias("x")).select("fp", "x.turn", "x.block")
-    sizes = rows.groupBy("turn", "block").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    # bits by which a heavy subtree is split: each part then holds about `heavy`; eight at most, so a row is copied 37 times at most
-    sizes = sizes.withColumn("more", F.least(F.lit(8), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / heavy)))).cast("int"))
-    rows = rows.join(sizes.select("turn", "block", "more"), ["turn", "block"])
-    bits8 = F.element_at(F.array(*(_next8(offsets[t], widths[t]) for t in range(n))), F.col("turn") + 1)
-    flips = F.array(*(F.lit(sum(1 << b for b in c)) for k in range(budget + 1) for c in combinations(range(8), k)))
-    part = rows.withColumn("own8", bits8).withColumn("own", F.expr("shiftrightunsigned(own8, 8 - more)"))
-    part = part.withColumn("flip", F.explode(F.filter(flips, lambda f: f < F.expr("shiftleft(1, more)"))))
-    other = F.col("own").bitwiseXOR(F.col("flip"))
-    part = part.select(
-        "turn", "block", "fp",
-        (F.least("own", other) * 256 + F.greatest("own", other)).alias("pair"),
-        (F.col("own") > other).cast("int").alias("side"),
-        F.bit_count("flip").cast("int").alias("diff"),
-        (F.element_at(F.array(*(F.lit(w) for w in widths)), F.col("turn") + 1) + F.col("more")).alias("deep"),
-    )
-    dealt = part.repartition("turn", "block", "pair")
-    return dealt.mapInArrow(_join_subtrees(offsets, budget), "a long, b long").distinct()
-
-
-def _next8(offset: int, width: int):
-    """The eight bits after a block, the bits being turned so that the block comes first."""
-    at = (offset + width) % BITS
-    left = F.shiftleft("fp", at) if at else F.col("fp")
-    if at + 8 > BITS:
-        left = left.bitwiseOR(F.shiftrightunsigned("fp", BITS - at))
-    return F.shiftrightunsigned(left, BITS - 8)
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable for each node of the edges (a, b).
 
     Rounds of large-star (every larger neighbour is linked to the smallest) and small-star (every smaller neighbour, and the
     node, is linked to the smallest) until nothing changes.  Each round's edges are checkpointed to the shared folder.
     """
-    spark = edges.sparkSession
     now = save(edges.select("a", "b"), "edges")
     total = None
-    for _ in range(most_rounds):
+    while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -206,8 +273,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(seen) == total:
             break
         total = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     nodes = now.groupBy("a").agg(F.min("b").alias("b"))
     return nodes.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -217,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id: the smallest id reachable over links; n_links: of the row's fingerprint with other fingerprints.
     """
-    held = save(fingerprints(docs, id_col, text_col, words).select(F.col(id_col).alias("id"), "fp"), "fingerprints")
+    held = save(fingerprints(docs, id_col, text_col, words).select(F.col(id_col).alias("id"), F.col("fp0").alias("fp")), "fingerprints")
     classes = save(held.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
     edges = save(links(classes.select("fp"), budget), "links")
     roots = components(edges)
@@ -226,3 +291,139 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = save(rooted.join(names, "root").select("fp", "component_id", "n_links"), "classes")
     return held.join(by_class, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "n_links")
+
+
+# Similarity of shingle sets
+
+
+def set_of(text: bytes, words: int) -> np.ndarray:
+    """The sorted hashes of a UTF-8 text's distinct word shingles; a text without words has one, of nothing."""
+    h = _hashes(text, words)
+    return np.unique(h if len(h) else np.zeros(1, "<u8")).view("<i8")
+
+
+def forest(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which of the edges (x, y) make a spanning forest of least cost."""
+    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b, top, taken = at[: len(x)].tolist(), at[len(x) :].tolist(), list(range(len(names))), []
+    for e in np.argsort(cost, kind="stable").tolist():
+        i, j = a[e], b[e]
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        while top[j] != j:
+            top[j] = j = top[top[j]]
+        if i != j:
+            top[j] = i
+            taken.append(e)
+    return np.array(taken, np.int64)
+
+
+def _distance(full: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(full[i] ^ full[j]).sum(axis=1, dtype=np.int64)
+
+
+def _classes(full: np.ndarray, ends: np.ndarray, spread: int) -> tuple[list[np.ndarray], list[tuple]]:
+    """Rows [ends[k], ends[k + 1]) have one number in a table: those that no earlier one of them is near, and edges from these to the others."""
+    stand, edges = [], []
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        left, own = np.arange(lo, hi), []
+        while len(left):
+            own.append(left[0])
+            d = _distance(full, left[:1], left)
+            near = d <= spread
+            edges.append((np.full(near.sum() - 1, left[0]), left[near][1:], d[near][1:]))
+            left = left[~near]
+        stand.append(np.array(own))
+    return stand, edges
+
+
+def _candidates(lanes: int, budget: int, width: int, spread: int) -> Callable:
+    """Pairs of documents (a, b): FORESTS tightest spanning forests of those in a lot that meet and differ in `spread` bits of all at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(batches):
+            order, first, found = _joined(lot, budget, width)
+            node = lot["node"][order]
+            full = np.stack([lot[f"fp{k}"][order].view(np.uint64) for k in range(lanes)], 1)
+            ends = np.r_[first, len(order)]
+            many = np.flatnonzero(np.diff(ends) > 1)
+            stand, edges = {}, []
+            if len(many):
+                runs = np.stack([ends[many], ends[many + 1]], 1)
+                for k, (lo, hi) in zip(many.tolist(), runs.tolist(), strict=True):
+                    (stand[k],), more = _classes(full, np.array([lo, hi]), spread)
+                    edges += more
+            crowded = np.zeros(len(first), bool)
+            crowded[[k for k, s in stand.items() if len(s) > 1]] = True
+            for i, j in found:
+                plain = ~(crowded[i] | crowded[j])
+                pairs = [(first[i[plain]], first[j[plain]])]
+                for p, q in zip(i[~plain].tolist(), j[~plain].tolist(), strict=True):
+                    s, t = stand.get(p, first[p : p + 1]), stand.get(q, first[q : q + 1])
+                    pairs.append((np.repeat(s, len(t)), np.tile(t, len(s))))
+                x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                d = _distance(full, x, y)
+                edges.append((x[d <= spread], y[d <= spread], d[d <= spread]))
+                if sum(len(e[0]) for e in edges) > 500_000:
+                    edges = [_tight(edges, node)]
+            if edges:
+                x, y, _ = _tight(edges, node)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+
+    return run
+
+
+def _tight(edges: list[tuple], node: np.ndarray, forests: int = FORESTS) -> tuple:
+    """The edges of a tightest spanning forest, of another one of the edges left, and so on; each pair of documents once."""
+    x, y, d = (np.concatenate(c) for c in zip(*edges, strict=True))
+    _, once = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1, return_index=True)
+    left, kept = once, []
+    for _ in range(forests):
+        own = forest(node[x[left]], node[y[left]], d[left])
+        kept.append(left[own])
+        left = np.delete(left, own)
+    keep = np.concatenate(kept)
+    return x[keep], y[keep], d[keep]
+
+
+def _sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(node, own): the shingle set of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [set_of(x, words) for x in part.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype("i4")
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "own"])
+
+    return docs.select("node", F.encode(text_or_empty(text_col), "utf-8").alias("text")).mapInArrow(run, "node long, own array<long>")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 3, width: int = 32, budget: int = 3, spread: float = 0.15, heavy: int = 50_000
+) -> DataFrame:
+    """(id_col, component long) for every row; rows have the same component if similar pairs lead from one to the other.
+
+    Two rows are similar if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more.  Candidates
+    are documents whose SimHash over word pairs differs in `budget` bits at most in one of its tables of `width` bits, and in a
+    share of `spread` of all its bits.  Of many candidates that meet, those of FORESTS edge-disjoint spanning forests are
+    compared, the tightest first, so a large group costs no more a document than a small one.  At a similarity of 0.8 or more
+    few documents escape (the README has the figures).
+    id_col: a value of its own that each row has.
+    """
+    held = fingerprints(docs, id_col, text_col, 2, lanes).select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("name"), *(f"fp{k}" for k in range(lanes)))
+    held = save(held, "fingerprints")
+    per = BITS // width
+    cell = lambda t: F.shiftrightunsigned(F.col(f"fp{t // per}"), width * (t % per)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("table"), cell(t).alias("value")) for t in range(lanes * per))))
+    values = held.drop("name").withColumn("t", tables).select("node", *(f"fp{k}" for k in range(lanes)), "t.*")
+    met = _subtrees(values, budget, width, heavy).mapInArrow(_candidates(lanes, budget, width, int(spread * BITS * lanes)), "a long, b long")
+    pairs = save(met.distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = save(held.select("node", "name").join(wanted, "node", "left_semi"), "wanted")
+    asked = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(wanted, "name")
+    sets = save(_sets(asked, "text", words), "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    near = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+    roots = save(components(near), "roots")
+    return held.join(roots, "node", "left").select(F.col("name").alias(id_col), F.coalesce("root", "node").alias("component"))
