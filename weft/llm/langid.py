@@ -1,17 +1,18 @@
 """Language identification by unigrams over a fixed vocabulary, marginalised over segmentations.
 
-A language is a probability for every piece of a public vocabulary.  The probability of a word is the sum, over all ways to
-cut it into pieces, of the products of their probabilities: a forward pass over its characters.  The probabilities are
-learned by expectation-maximisation: Spark counts words per language, tasks run forward-backward passes over words and give
+A language is a probability for every piece of a public vocabulary, in lower case.  The probability of a word is the sum, over
+all ways to cut it into pieces, of the products of their probabilities: a forward pass over its characters.  The probabilities
+are learned by expectation-maximisation: Spark counts words per language, tasks run forward-backward passes over words and give
 expected piece counts, and Spark adds these up per language and piece.  A text's score for a language is the sum of its
-words' log probabilities, each word being worked out once a task.
+words' log probabilities, each word being worked out once a task.  All pieces and whole words are used, however long.
 
-Bounds: at most about `per_lang` labelled documents of each language are learned from (taken by a hash of their id), the
-model has one row for each piece and language, pieces longer than `MOST_PIECE` characters are left out, and a word is cut
-every `MOST_WORD` characters.  Prediction reads whole texts of all documents.
+Bounds: about `per_lang` labelled documents of each language are learned from (taken by a hash of their id), and the model has
+one row for each piece and language: what is broadcast and collected grows with the number of labels, not with the documents.
+Prediction reads whole texts of all documents.
 
-A null text, or one without a letter, gives `und` and score 0.  Documents without a language are not learned from.  Repeated
-rows each give a row.  An empty table gives an empty table; if nothing can be learned all predictions are `und`.
+A word is a run of letters.  A null text, or one without a letter, gives `und` and score 0.  Documents without a language are
+not learned from.  Ties go to the first language in order of name.  Repeated rows each give a row.  An empty table gives an
+empty table; if nothing can be learned all predictions are `und`.  Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -30,63 +31,139 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from weft.llm.common import save, slices, text_or_empty
 
-MOST_PIECE, MOST_WORD, MOST_KNOWN = 6, 24, 300_000
+#: Words that a task keeps; longest word that a pass over many words at once takes, and by what each character scales it up.
+MOST_KNOWN, LONG_WORD, SCALE = 300_000, 60, 256.0
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
+class Vocabulary:
+    """Pieces that words can use, by number; number 0 stands for any other single character, -1 for no piece.
+
+    Pieces of k characters are looked up by a hash of their code points among the sorted hashes of that length; a hit is
+    compared with the piece itself.
+    """
+
+    def __init__(self, numbers: dict[str, int]):
+        self.sizes = np.ones(len(numbers) + 1)
+        self.most = max(map(len, numbers), default=1)
+        self.by_size = []
+        for k in range(1, self.most + 1):
+            own = [p for p in numbers if len(p) == k]
+            number, points = np.array([numbers[p] for p in own], np.int64), _points(own, k)
+            hashes = functools.reduce(lambda h, j: _extended(h, points[:, j]), range(k), np.zeros(len(own), np.uint64))
+            order = np.argsort(hashes)
+            self.by_size.append((hashes[order], points[order], number[order]))
+            self.sizes[number] = k
+
+    def __len__(self) -> int:
+        return len(self.sizes) - 1
+
+    def cells(self, own: list[str]) -> np.ndarray:
+        """For words of one length m: the piece at [start, start + k), as (word, start, k - 1)."""
+        m = len(own[0])
+        points = _points(own, m)
+        out = np.full((len(own), m, min(m, self.most)), -1, np.int32)
+        h = np.zeros((len(own), m), np.uint64)
+        for k in range(1, out.shape[2] + 1):
+            h = _extended(h[:, : m - k + 1], points[:, k - 1 :])
+            hashes, known, numbers = self.by_size[k - 1]
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                word, start = np.nonzero(hashes[at] == h)
+                at = at[word, start]
+                same = np.logical_and.reduce([known[at, j] == points[word, start + j] for j in range(k)])
+                out[word[same], start[same], k - 1] = numbers[at[same]]
+            if k == 1:
+                out[:, :, 0] = np.maximum(out[:, :, 0], 0)
+        return out
+
+
+def _points(texts: list[str], size: int) -> np.ndarray:
+    """Code points (text, character) of texts of one length."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), size)
+
+
+def _extended(h: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return (h + point + np.uint64(1)) * np.uint64(6364136223846793005)
+
+
 @functools.lru_cache(1)
-def pieces(model: str) -> dict[str, int]:
-    """Number of each piece of the vocabulary that words can use; 0 stands for any other single character."""
+def pieces(model: str) -> Vocabulary:
+    """All pieces of the tokenizer's vocabulary but its control, unknown and byte pieces."""
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=model)
     names = {own.id_to_piece(i).lower() for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i))}
-    return {p: i + 1 for i, p in enumerate(sorted(p for p in names if 0 < len(p) <= MOST_PIECE))}
+    return Vocabulary({p: i + 1 for i, p in enumerate(sorted(names - {""}))})
 
 
 def words(text: str) -> list[str]:
-    """Words of letters in lower case, each with the vocabulary's mark for a word's start, cut at MOST_WORD characters."""
+    """Words of letters in lower case, each with the vocabulary's mark for a word's start."""
     out = []
     for w in LETTERS.findall(text.lower()):
-        if len(w) < MOST_WORD:
+        if w.isalpha():
             out.append("▁" + w)
-        else:
-            marked = "▁" + w
-            out += [marked[i : i + MOST_WORD] for i in range(0, len(marked), MOST_WORD)]
+        else:  # numbers that are no digits, as ² and Ⅷ
+            out += ["▁" + x for x in "".join(c if c.isalpha() else " " for c in w).split()]
     return out
 
 
-def _cells(own: list[str], vocabulary: dict[str, int]) -> np.ndarray:
-    """For words of one length m: the piece at [start, start + size), as (word, start, size - 1); -1 where there is none."""
-    m = len(own[0])
-    most = min(m, MOST_PIECE)
-    get = vocabulary.get
-    flat = [get(w[i : i + k], 0 if k == 1 else -1) if i + k <= m else -1 for w in own for i in range(m) for k in range(1, most + 1)]
-    return np.array(flat, np.int32).reshape(len(own), m, most)
+def _forward(cells: np.ndarray, scaled: np.ndarray) -> np.ndarray:
+    """Forward sums (word, position, language), SCALE times larger for each character.
 
-
-def _forward(cells: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """Forward sums (word, position, language). probability: (piece, language), a last row of zeros for no piece."""
+    scaled: (piece, language) times SCALE by the piece's length, a last row of zeros for no piece.
+    """
     n, m, most = cells.shape
-    alpha = np.zeros((n, m + 1, probability.shape[1]))
+    alpha = np.zeros((n, m + 1, scaled.shape[1]))
     alpha[:, 0] = 1.0
     for i in range(m):
         for k in range(1, min(most, m - i) + 1):
-            alpha[:, i + k] += alpha[:, i] * probability[cells[:, i, k - 1]]
+            own = cells[:, i, k - 1]
+            if k <= 2:
+                alpha[:, i + k] += alpha[:, i] * scaled[own]
+            elif len(hit := np.flatnonzero(own >= 0)):  # longer pieces are few
+                alpha[hit, i + k] += alpha[hit, i] * scaled[own[hit]]
     return alpha
 
 
-def log_probabilities(own: list[str], probability: np.ndarray, vocabulary: dict[str, int]) -> np.ndarray:
-    """(word, language): log of the summed probability of all segmentations."""
-    out = np.empty((len(own), probability.shape[1]))
-    by_length = defaultdict(list)
+def _log_forward(cells: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the forward sums (position, language) of one word of any length. logs: (piece, language), minus infinity for no piece."""
+    m, most = cells.shape
+    alpha = np.full((m + 1, logs.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    for j in range(1, m + 1):
+        ks = np.arange(1, min(most, j) + 1)
+        alpha[j] = np.logaddexp.reduce(alpha[j - ks] + logs[cells[j - ks, ks - 1]], axis=0)
+    return alpha
+
+
+def _scaled(probability: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    return probability * SCALE ** np.r_[vocabulary.sizes, 0.0][:, None]
+
+
+def _logs(probability: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(probability)
+
+
+def by_length(own: list[str]) -> Iterator[list[int]]:
+    """Places of words of one length, so many that the arrays over them stay small."""
+    groups = defaultdict(list)
     for i, w in enumerate(own):
-        by_length[len(w)].append(i)
-    for at in by_length.values():
-        for i in range(0, len(at), 4096):
-            lot = at[i : i + 4096]
-            out[lot] = np.log(np.maximum(_forward(_cells([own[j] for j in lot], vocabulary), probability)[:, -1], 1e-300))
+        groups[len(w)].append(i)
+    for m, at in groups.items():
+        most = 1 if m > LONG_WORD else max(1, 400_000 // (m * 16))
+        yield from (at[i : i + most] for i in range(0, len(at), most))
+
+
+def log_probabilities(own: list[str], probability: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """(word, language): log of the summed probability of all segmentations."""
+    out, scaled, logs = np.empty((len(own), probability.shape[1])), _scaled(probability, vocabulary), _logs(probability)
+    for lot in by_length(own):
+        m = len(own[lot[0]])
+        cells = vocabulary.cells([own[i] for i in lot])
+        out[lot] = np.log(_forward(cells, scaled)[:, -1]) - m * np.log(SCALE) if m <= LONG_WORD else _log_forward(cells[0], logs)[-1]
     return out
 
 
@@ -114,36 +191,51 @@ def _expected(model: str, langs: list[str], probability, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, p = pieces(model), probability.value
-        number = {x: i for i, x in enumerate(langs)}
-        total = np.zeros((len(vocabulary) + 1, len(langs)))
+        total = np.zeros((len(langs), len(vocabulary) + 1))
         for part in batches:
-            groups = defaultdict(list)
+            groups = defaultdict(lambda: ([], []))
             for lang, word, n in zip(*(part.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                groups[lang, len(word)].append((word, n))
-            for (lang, m), rows in groups.items():
-                column = number[lang]
-                one = p[:, [column]]
-                for i in range(0, len(rows), 4096):
-                    own, n = zip(*rows[i : i + 4096], strict=True)
-                    cells = _cells(list(own), vocabulary)
-                    alpha = _forward(cells, one)[:, :, 0]
-                    beta = np.zeros_like(alpha)
-                    beta[:, m] = 1.0
-                    for a in range(m - 1, -1, -1):
-                        for k in range(1, min(cells.shape[2], m - a) + 1):
-                            beta[:, a] += one[cells[:, a, k - 1], 0] * beta[:, a + k]
-                    scale = np.asarray(n) / np.maximum(alpha[:, m], 1e-300)
-                    for a in range(m):
-                        for k in range(1, min(cells.shape[2], m - a) + 1):
-                            c = cells[:, a, k - 1]
-                            gain = scale * alpha[:, a] * one[c, 0] * beta[:, a + k]
-                            np.add.at(total[:, column], c[c >= 0], gain[c >= 0])
-        piece, lang = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in lang], pa.string()), pa.array(piece.astype(np.int32)), pa.array(total[piece, lang])], schema=schema)
+                groups[lang][0].append(word)
+                groups[lang][1].append(n)
+            for lang, (own, n) in groups.items():
+                at = langs.index(lang)
+                total[at] += expected(own, np.array(n, float), p[:, [at]], vocabulary)
+        lang, piece = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in lang], pa.string()), pa.array(piece.astype(np.int32)), pa.array(total[lang, piece])], schema=schema)
 
     return run
 
 
+def expected(own: list[str], n: np.ndarray, probability: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """How often each piece is expected in words that occur n times each, over all segmentations. probability: (piece, 1)."""
+    total, scaled, logs = np.zeros(len(vocabulary) + 1), _scaled(probability, vocabulary), _logs(probability)
+    for lot in by_length(own):
+        cells = vocabulary.cells([own[i] for i in lot])
+        m, most = cells.shape[1:]
+        if m > LONG_WORD:
+            # a word from its end is a word whose pieces end where they begin
+            ends = np.full_like(cells[0], -1)
+            for k in range(1, most + 1):
+                ends[: m - k + 1, k - 1] = cells[0, m - k :: -1, k - 1]
+            alpha, beta = (_log_forward(c, logs)[:, 0] for c in (cells[0], ends))
+            start, k = np.nonzero(cells[0] >= 0)
+            own_piece = cells[0, start, k]
+            gain = np.exp(alpha[start] + logs[own_piece, 0] + beta[m - start - k - 1] - alpha[m])
+            total += np.bincount(own_piece, n[lot[0]] * gain, len(total))
+            continue
+        alpha = _forward(cells, scaled)[:, :, 0]
+        beta = np.zeros_like(alpha)
+        beta[:, m] = 1.0
+        for a in range(m - 1, -1, -1):
+            for k in range(1, min(most, m - a) + 1):
+                beta[:, a] += scaled[cells[:, a, k - 1], 0] * beta[:, a + k]
+        word, start, k = np.nonzero(cells >= 0)
+        own_piece = cells[word, start, k]
+        gain = (n[lot] / alpha[:, m])[word] * alpha[word, start] * scaled[own_piece, 0] * beta[word, start + k + 1]
+        total += np.bincount(own_piece, gain, len(total))
+    return total
+
+
 def fit(labelled: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 3000, rounds: int = 2) -> tuple[list[str], np.ndarray]:
     """Languages, in order, and probabilities (piece, language) with a last row of zeros."""
     base = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
