@@ -4,10 +4,11 @@ Texts of up to `chunk` code points are one chunk and are encoded where they are
 overlap; chunks are pre-tokenised in parallel; two neighbours are stitched at the first place in their overlap at which both
 begin a pre-token (after a character that is not white space, so that the piece before ends alike with or without what
 follows); the pieces between stitches are encoded in parallel and their ids concatenated.  Where an overlap has no such
-place (one pre-token longer than the overlap) the chunks on both sides form one piece.
+place (one pre-token longer than the overlap) the chunks on both sides are joined and pre-tokenised again as one, which is
+then stitched to its neighbours like any chunk; so a long pre-token joins the chunks that it lies in and no others.
 
-Nulls: a null text counts as empty; a null id is kept.  Empty texts give no ids.  Repeated rows each give a row.  An empty
-table gives an empty table.  Only the id and text columns are read, so further columns cannot clash.
+Nulls: a null text counts as empty; a null id is kept.  Empty texts give no ids.  Repeated rows each give a row; there is
+nothing to tie.  An empty table gives an empty table.  Only the id and text columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from weft.llm.common import slices, text_or_empty
+from weft.llm.common import save, slices, text_or_empty
 
 #: Code points before a chunk's end from which a match may still change when more text follows (the longest contraction).
 MARGIN = 3
@@ -55,59 +57,80 @@ def _cut(chunk: int, overlap: int, id_type: pa.DataType):
                 for first in range(0, n, 64):
                     ks = range(first, min(n, first + 64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(ks), pa.int64()), pa.array([key] * len(ks), id_type), pa.array(ks, pa.int64()), pa.array([text[k * chunk : (k + 1) * chunk + overlap] for k in ks], pa.string())],
-                        ["row", "id", "k", "part"],
+                        [pa.array([row] * len(ks), pa.int64()), pa.array([key] * len(ks), id_type), pa.array(ks, pa.int64()), pa.array([n] * len(ks), pa.int64()), pa.array([text[k * chunk : (k + 1) * chunk + overlap] for k in ks], pa.string())],
+                        ["row", "id", "k", "n", "part"],
                     )
 
     return run
 
 
 def _boundaries(chunk: int, overlap: int, pattern: str):
+    """Starts of pre-tokens of each part, which holds chunks k to last: heads, counted from its start, and tails, from where the next chunk starts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         compiled = regex.compile(pattern)
         for part in slices(batches, "part"):
             heads, tails = [], []
-            for text in part.column("part").to_pylist():
-                sure = len(text) if len(text) < chunk + overlap else len(text) - MARGIN
+            for text, k, last in zip(*(part.column(c).to_pylist() for c in ("part", "k", "last")), strict=True):
+                next_ = chunk * (last - k + 1)
+                sure = len(text) if len(text) < next_ + overlap else len(text) - MARGIN  # the text ends in this part, or goes on
                 starts = [m.start() for m in compiled.finditer(text) if m.start() == 0 or not text[m.start() - 1].isspace()]
                 heads.append([x for x in starts if 0 < x < overlap])
-                tails.append([x - chunk for x in starts if chunk < x <= sure])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], [*part.schema.names, "heads", "tails"])
+                tails.append([x - next_ for x in starts if next_ < x <= sure])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (heads, tails)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "k", "last")), *lists], ["row", "k", "last", "heads", "tails"])
 
     return run
 
 
+def _runs(cut: DataFrame, chunk: int, overlap: int, pattern: str) -> DataFrame:
+    """(row, k, start) for each chunk k that begins a run which can be encoded on its own, start code points into it, but the first.
+
+    cut: chunks (row, k, part).
+    """
+    bounds = "row long, k long, last long, heads array<int>, tails array<int>"
+    starts = _boundaries(chunk, overlap, pattern)
+    told = save(cut.select("row", "k", F.col("k").alias("last"), "part").repartition("row", "k").mapInArrow(starts, bounds), "boundaries")
+    order = Window.partitionBy("row").orderBy("k")  # a few numbers for each chunk of one text
+    while True:
+        stitched = told.withColumn("start", F.array_min(F.array_intersect(F.lag("tails").over(order), F.col("heads"))))
+        open_ = (F.col("k") > 0) & F.col("start").isNull()
+        joined = stitched.withColumn("unit", F.sum(F.when(open_, 0).otherwise(1)).over(order)).groupBy("row", "unit")
+        units = save(joined.agg(F.min("k").alias("k"), F.max("last").alias("last"), F.min_by("heads", "k").alias("heads"), F.max_by("tails", "k").alias("tails"), F.min_by("start", "k").alias("start"), F.count("*").alias("n")), "units")
+        again = units.filter("n > 1").select("row", F.col("k").alias("first"), "last")
+        if again.isEmpty():
+            return units.filter("k > 0").select("row", "k", "start")
+        # pre-tokenise what was joined; every part but the last gives way to the next where that starts
+        held = cut.join(again, (cut.row == again.row) & F.col("k").between(F.col("first"), F.col("last"))).drop(again.row)
+        own = F.when(F.col("k") == F.col("last"), F.col("part")).otherwise(F.left("part", F.lit(chunk)))
+        grown = held.select("row", "first", "last", "k", own.alias("own")).groupBy("row", "first", "last").agg(_joined("k", "own").alias("part"))
+        new = grown.select("row", F.col("first").alias("k"), "last", "part").repartition("row", "k").mapInArrow(starts, bounds)
+        told = save(units.filter("n = 1").select("row", "k", "last", "heads", "tails").unionByName(new), "boundaries")
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32768, overlap: int = 1024) -> DataFrame:
     """(id_col, n_tokens long, ids binary: little-endian unsigned 32-bit integers) for every row of docs."""
-    kind = docs.schema[id_col].dataType
-    arrow = T.StructType([T.StructField("id", kind)])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    id_type = to_arrow_schema(arrow).field(0).type
+    id_type = docs.schema[id_col].dataType
+    named, ids = T.StructField("id", id_type), T.StructField("ids", T.BinaryType())
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    ids = T.StructField("ids", T.BinaryType())
-    short = base.filter(F.length("text") <= chunk).select("id", F.col("text").alias("piece")).mapInArrow(_encode(rank_path, pattern, ["id"]), T.StructType([*arrow.fields, ids]))
+    short = base.filter(F.length("text") <= chunk).select("id", F.col("text").alias("piece")).mapInArrow(_encode(rank_path, pattern, ["id"]), T.StructType([named, ids]))
 
-    long_schema = T.StructType([T.StructField("row", T.LongType()), *arrow.fields, T.StructField("k", T.LongType()), T.StructField("part", T.StringType())])
-    cut = base.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut(chunk, overlap, id_type), long_schema)
-    bounds = T.StructType([*long_schema.fields, *(T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("heads", "tails"))])
-    told = cut.repartition("row", "k").mapInArrow(_boundaries(chunk, overlap, pattern), bounds)
+    chunks = T.StructType([T.StructField("row", T.LongType()), named, T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("part", T.StringType())])
+    long = base.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    cut = save(long.mapInArrow(_cut(chunk, overlap, to_arrow_schema(T.StructType([named])).field(0).type), chunks), "chunks")
+    runs = _runs(cut.select("row", "k", "part"), chunk, overlap, pattern)
     order = Window.partitionBy("row").orderBy("k")
-    stitch = F.array_min(F.array_intersect(F.lag("tails").over(order), F.col("heads")))
-    told = told.select("row", "id", "k", "part", stitch.alias("start"))
-    lost = F.max((F.col("k") > 0) & F.col("start").isNull()).over(order)  # from here on nothing proves that a chunk is in step
-    told = told.withColumn("start", F.when(~lost, F.col("start"))).withColumn("stop", F.lead("start").over(order)).withColumn("last", F.lead("k").over(order).isNull())
+    told = cut.join(runs, ["row", "k"], "left").withColumn("stop", F.lead("start").over(order))
     told = told.withColumn("run", F.sum(F.when(F.col("start").isNotNull(), 1).otherwise(0)).over(order))
     from_ = F.coalesce("start", F.lit(0))
-    to = F.when(F.col("last"), F.length("part")).otherwise(F.lit(chunk) + F.coalesce("stop", F.lit(0)))
+    to = F.when(F.col("k") == F.col("n") - 1, F.length("part")).otherwise(F.lit(chunk) + F.coalesce("stop", F.lit(0)))
     pieces = told.select("row", "id", "run", "k", F.col("part").substr(from_ + 1, to - from_).alias("own")).groupBy("row", "run").agg(F.first("id").alias("id"), _joined("k", "own").alias("piece"))
-    run_schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("run", T.LongType()), *arrow.fields, ids])
-    spread = pieces.repartition("row", "run").mapInArrow(_encode(rank_path, pattern, ["row", "run", "id"]), run_schema)
+    spread = pieces.repartition("row", "run").mapInArrow(_encode(rank_path, pattern, ["row", "run", "id"]), T.StructType([T.StructField("row", T.LongType()), T.StructField("run", T.LongType()), named, ids]))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"])
-    long = spread.groupBy("row").agg(F.first("id").alias("id"), F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids")).select("id", "ids")
-    return short.unionByName(long).select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    joined = spread.groupBy("row").agg(F.first("id").alias("id"), F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids")).select("id", "ids")
+    return short.unionByName(joined).select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def _joined(by: str, text: str) -> Column:
