@@ -1,28 +1,33 @@
 """Personal data: fixed patterns, and contexts bootstrapped from what they find, by Spark's own functions.
 
-Seeds are the matches of the base patterns.  Every token with a digit that overlaps no seed is a candidate.  The word before
-an occurrence is its context.  A context becomes a pattern if at least `support` different seed values of a kind follow it;
-patterns and instances form a graph that is scored in rounds:
+Seeds are the matches of the base patterns.  A candidate is a run of tokens with a digit or an @, or else a token of it, that
+has the shape of a kind of identifier and overlaps no seed.  The words before and after an occurrence (of the run, if the
+candidate is inside one) are its contexts.  A context becomes a pattern of a kind once `support` different known values of
+that kind have it; known are seeds, and candidates whose score has reached `confidence`, so what is found brings in further
+patterns.  Patterns and instances form a graph that is scored in rounds:
 
-  score of a pattern  = sum of the scores of the different instances after it / number of different texts with the word
+  score of a pattern   = sum of the scores of the different values with it / number of different texts with the word
   score of an instance = 1 for seeds, else 1 - product over its patterns of (1 - score), as the same value may be met in several contexts
 
-Texts in which no identifier follows the word count against it, so common words never become patterns.  Candidates that
-end with a score of `confidence` or more are added after any of their patterns, with the kind of the best one; base spans
+Texts in which no identifier is beside the word count against it, so common words never become patterns.  Candidates that
+end with a score of `confidence` or more are added beside any of their patterns, with the kind of the best one; base spans
 always stay.
 
-A null text counts as empty.  Repeated rows are scanned each; copies of a text add their value to a pattern once and
-count as one text.  An empty
-table gives an empty table.  Only the id and text columns are read, so further columns cannot clash.
+A null text counts as empty; neither has any spans.  Very long texts are searched whole.  Ties between kinds go to the first
+listed; spans that start alike are in the order of their kinds.  Repeated rows are scanned each; copies of a text add their
+value to a pattern once and count as one text.  An empty table gives an empty table.  Only the id and text columns are read,
+so further columns cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import save, text_or_empty
-from weft.llm.spans import located, spans_of
+from weft.llm.spans import SPAN, let, located
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The base patterns.  Runs before an @ or a dot are taken whole (possessive) and only begin where a run or
@@ -31,74 +36,117 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A token with a digit.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-WORD = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
+# What a candidate of each kind looks like, without the marks around it: an @ between two names; three groups or more with dots
+# or colons between them; so many digits with nothing but blanks, dots, hyphens (and, for phones, brackets) among them.
+SHAPES = [
+    r"[^@]+@[^@]+",
+    r"(?=[^0-9]*[0-9])[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){2,}",
+    r"[0-9](?:[\x20.-]?[0-9]){11,18}",
+    r"[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}",
+]
+_SPACE = r"\x20\x09-\x0D"
+_TOKEN = rf"[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+#: Tokens with a digit or an @, a blank between each two.
+RUN = rf"(?<![^{_SPACE}]){_TOKEN}(?:\x20{_TOKEN})*+"
+LAST = rf"(?<![^{_SPACE}])([^{_SPACE}]++)[{_SPACE}]*+$"
+FIRST = rf"^[{_SPACE}]*+([^{_SPACE}]++)"
+#: Marks around a candidate that are no part of it.
+BEFORE, AFTER = r"^[^A-Za-z0-9+(]+", r"[^A-Za-z0-9)]+$"
+NEAR = "array<struct<start:int,stop:int,kind:int,left:string,right:string,value:string>>"
+
+
+def _tidy(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}]+", ""))
+
 
+def _seeds(text: Column, kind: int, pattern: str, keep: Callable[[Column], Column], hint: Column) -> Column:
+    """Accepted matches as rows of NEAR, with the words before and after."""
 
-def base_spans(text: Column) -> Column:
+    def row(at: Column, m: Column, before: Column, after: Column) -> Column:
+        word = lambda gap, which: _tidy(F.regexp_extract(gap, which, 1))
+        return F.struct(at.cast("int").alias("start"), (at + F.length(m)).cast("int").alias("stop"), F.lit(kind).alias("kind"), word(before, LAST).alias("left"), word(after, FIRST).alias("right"), m.alias("value"))
+
+    return F.coalesce(F.filter(located(text, pattern, row, hint), lambda x: keep(x["value"])).cast(NEAR), F.array().cast(NEAR))
+
+
+def seeds(text: Column) -> Column:
+    """Matches of the base patterns, by start and kind, as rows of NEAR."""
     digits = lambda m: F.regexp_replace(m, "[^0-9]", "")
     n = lambda m: F.length(digits(m))
     part = lambda p: F.ltrim(p, F.lit("0"))
     small = lambda m: F.forall(F.split(m, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(part(p).try_cast("int"), F.lit(0)) <= 255))
-    found = F.concat(
-        spans_of(text, 0, EMAIL, hint=F.contains(text, F.lit("@"))),
-        spans_of(text, 1, IP, small, hint=F.rlike(text, F.lit(r"[0-9]\.[0-9]"))),
-        spans_of(text, 2, CARD, lambda m: (n(m) <= 19) & F.call_function("luhn_check", digits(m)), hint=F.rlike(text, F.lit("[0-9]"))),
-        spans_of(text, 3, PHONE, lambda m: n(m).between(10, 15), hint=F.contains(text, F.lit("+"))),
+    return F.concat(
+        _seeds(text, 0, EMAIL, lambda m: F.lit(True), F.contains(text, F.lit("@"))),
+        _seeds(text, 1, IP, small, F.rlike(text, F.lit(r"[0-9]\.[0-9]"))),
+        _seeds(text, 2, CARD, lambda m: (n(m) <= 19) & F.call_function("luhn_check", digits(m)), F.rlike(text, F.lit("[0-9]"))),
+        _seeds(text, 3, PHONE, lambda m: n(m).between(10, 15), F.contains(text, F.lit("+"))),
     )
-    return F.sort_array(found)
 
 
-def _tidy(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}]+", ""))
+def candidates(text: Column, base: Column) -> Column:
+    """Rows of NEAR without a kind: runs, or else their tokens, that have a shape and overlap nothing in base."""
 
+    def row(at: Column, m: Column, before: Column, after: Column) -> Column:
+        word = lambda gap, which: _tidy(F.regexp_extract(gap, which, 1))
+        return F.struct(at.cast("int").alias("start"), m.alias("value"), word(before, LAST).alias("left"), word(after, FIRST).alias("right"))
+
+    def bare(run: Column, start: Column, value: Column) -> Column:
+        head = F.regexp_replace(value, BEFORE, "")
+        first = (start + F.length(value) - F.length(head)).cast("int")
+        own = F.regexp_replace(head, AFTER, "")
+        return F.struct(first.alias("start"), (first + F.length(own)).cast("int").alias("stop"), F.lit(None).cast("int").alias("kind"), run["left"].alias("left"), run["right"].alias("right"), own.alias("value"))
+
+    fits = lambda c: (F.size(kinds_of(c["value"])) > 0) & ~F.exists(base, lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
+
+    def parts(run: Column) -> Column:
+        tokens = F.split(run["value"], "\x20", -1)
+        place = lambda i: run["start"] + F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice(tokens, F.lit(1), i), " ")) + 1)
+        single = F.filter(F.transform(tokens, lambda t, i: bare(run, place(i), t)), fits)
+        return let(bare(run, run["start"], run["value"]), lambda c: F.when(fits(c), F.array(c)).otherwise(single))
+
+    return F.coalesce(F.flatten(F.transform(located(text, RUN, row, F.rlike(text, F.lit("[0-9@]"))), parts)).cast(NEAR), F.array().cast(NEAR))
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Candidates outside spans, and seeds: (start, stop, kind or null, word before, value)."""
-    row = lambda at, m, before, _: F.struct(at.alias("start"), (at + F.length(m)).cast("int").alias("stop"), F.lit(None).cast("int").alias("kind"), F.regexp_extract(before, WORD, 1).alias("word"), m.alias("value"))
-    free = F.filter(located(text, TOKEN, row, F.rlike(text, F.lit("[0-9]"))), lambda c: ~F.exists(spans, lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"])))
-    seeds = F.transform(
-        spans,
-        lambda s: F.struct(s["start"], s["stop"], s["kind"], F.regexp_extract(text.substr(F.greatest(F.lit(1), s["start"] - 255), F.least(s["start"], F.lit(256))), WORD, 1).alias("word"), text.substr(s["start"] + 1, s["stop"] - s["start"]).alias("value")),
-    )
-    typed = "array<struct<start:int,stop:int,kind:int,word:string,value:string>>"
-    both = F.concat(F.coalesce(free.cast(typed), F.array().cast(typed)), seeds.cast(typed))
-    tidy = lambda c: F.struct(c["start"], c["stop"], c["kind"], _tidy(c["word"]).alias("word"), c["value"])
-    return F.transform(both, tidy)
 
+def kinds_of(value: Column) -> Column:
+    """The kinds whose shape a value has."""
+    return F.filter(F.array(*(F.when(F.rlike(value, F.lit(f"^(?:{p})$")), F.lit(k)) for k, p in enumerate(SHAPES))), lambda k: k.isNotNull())
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 4, confidence: float = 0.5, rounds: int = 3) -> DataFrame:
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 4, confidence: float = 0.5, rounds: int = 4) -> DataFrame:
     """(id_col, base, spans) for every row: arrays of (start, kind, stop), by start and kind."""
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    found = text.withColumn("base", base_spans(F.col("text"))).withColumn("near", _contexts(F.col("text"), F.col("base")))
-    held = save(found.select("row", "id", "base", "near"), "found")
-    near = held.select("row", F.explode("near").alias("c")).select("row", "c.*").filter("word <> ''")
-    values = near.groupBy("word", "kind", "value").agg(F.count("*").alias("n"))  # copies count once
-    cues = values.filter("kind is not null").groupBy("word", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    cues = save(cues, "cues")
-    alike = F.lower(F.regexp_replace(text_or_empty(text_col), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))  # each word as _tidy makes it
-    words = docs.select(F.xxhash64(text_or_empty(text_col)).alias("copy"), F.explode(F.array_distinct(F.split(alike, r"[\x20\x09-\x0D]+"))).alias("word"))
+    found = text.withColumn("seeds", seeds(F.col("text"))).withColumn("open", candidates(F.col("text"), F.col("seeds")))
+    base = F.sort_array(F.transform("seeds", lambda s: F.struct(s["start"], s["kind"], s["stop"]))).cast(SPAN)
+    held = save(found.select("row", "id", base.alias("base"), F.concat("seeds", "open").alias("near")), "found")
+    near = held.select("row", F.explode("near").alias("c")).select("row", "c.*")
+    context = F.explode(F.filter(F.array(*(F.when(F.col(w) != "", F.concat(F.lit(m), w)) for m, w in (("<", "left"), (">", "right")))), lambda c: c.isNotNull()))
+    near = near.select("row", "start", "stop", "kind", "value", context.alias("context"))
+    kinds = F.explode(F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(kinds_of(F.col("value"))))
+    values = near.select("context", kinds.alias("of"), "value", F.col("kind").isNotNull().alias("seed")).distinct()  # copies count once
+    values = save(values.withColumnRenamed("of", "kind"), "values")
+    often = save(values.groupBy("context", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("context", "kind"), "often")
     # only words that may become patterns are counted, so few rows are shuffled
-    corpus = words.join(cues.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count_distinct("copy").alias("docs_with"))
-    cues = save(cues.join(corpus, "word").select("word", "kind", "seeds", "docs_with"), "cues")
-    open_ = save(values.filter("kind is null").select("word", "value").join(cues, "word").select("word", "kind", "value", "docs_with"), "open")
-    scores = cues.select("word", "kind", F.least(F.lit(1.0), F.col("seeds") / F.col("docs_with")).alias("score"))
+    alike = F.lower(F.regexp_replace(text_or_empty(text_col), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))  # each word as _tidy makes it
+    words = docs.select(F.xxhash64(text_or_empty(text_col)).alias("copy"), F.explode(F.array_distinct(F.split(alike, rf"[{_SPACE}]+"))).alias("word"))
+    asked = save(often.select(F.expr("substring(context, 2)").alias("word")).distinct(), "words")
+    corpus = words.join(asked, "word", "left_semi").groupBy("word").agg(F.count_distinct("copy").alias("docs_with"))
+    cues = often.withColumn("word", F.expr("substring(context, 2)")).join(corpus, "word").drop("word")
+    values = save(values.join(save(cues, "cues"), ["context", "kind"]), "graph")
+    scores = values.filter("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
+    patterns = None
     for _ in range(rounds):
-        instances = _instances(open_, scores)
-        gained = open_.join(instances, ["kind", "value"]).groupBy("word", "kind").agg(F.sum("score").alias("gained"))
-        scores = cues.join(gained, ["word", "kind"], "left").select("word", "kind", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("docs_with")).alias("score"))
-        scores = save(scores, "scores")
-    best = _instances(open_, scores).filter(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-    # an instance is a value after one of its patterns; the value alone, elsewhere, is left alone
-    after = open_.select("word", "value").distinct().join(best, "value")
-    new = near.filter("kind is null").select("row", "start", "stop", "word", "value").join(after, ["word", "value"])
-    new = new.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("new"))
+        known = values.join(scores, ["kind", "value"])
+        summed = known.groupBy("context", "kind", "docs_with").agg(F.count_if(F.col("score") >= confidence).alias("known"), F.sum("score").alias("total"))
+        patterns = save(summed.filter(F.col("known") >= support).select("context", "kind", F.least(F.lit(1.0), F.col("total") / F.col("docs_with")).alias("score")), "patterns")
+        left = F.product(1 - F.col("score"))
+        gained = values.join(patterns, ["context", "kind"]).groupBy("kind", "value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - left).alias("score"))
+        seeded = values.filter("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
+        scores = save(gained.unionByName(seeded).groupBy("kind", "value").agg(F.max("score").alias("score")), "scores")
+    best = scores.filter(F.col("score") >= confidence).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    # an instance is a value beside one of its patterns; the value alone, elsewhere, is left alone
+    beside = save(values.filter("not seed").join(best, ["kind", "value"]).join(patterns, ["context", "kind"]).select("context", "value", F.col("kind").alias("of")).distinct(), "instances")
+    new = near.filter("kind is null").join(beside, ["context", "value"])
+    new = new.groupBy("row").agg(F.collect_set(F.struct("start", F.col("of").alias("kind"), "stop")).alias("new"))
     out = held.select("row", "id", "base").join(new, "row", "left")
-    spans = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "new")))
+    spans = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", F.col("new").cast(SPAN))))
     return out.select(F.col("id").alias(id_col), "base", spans.alias("spans"))
-
-
-def _instances(open_: DataFrame, scores: DataFrame) -> DataFrame:
-    left = F.product(1 - F.col("score"))
-    return open_.join(scores, ["word", "kind"]).groupBy("kind", "value").agg((1 - left).alias("score"))
