@@ -1,24 +1,26 @@
 """Quality rules with thresholds learned per language and source, by Spark's own functions.
 
-measure() adds the base statistics of each text; sketches() gathers a mergeable quantile (KLL) sketch of every ratio per
-language and source and merges them per language and for all; thresholds() reads fences off them: a ratio is out of line if
-it exceeds the upper quantile of its group by `reach` times the distance from the median to that quantile, and at least by
-the sketch-independent `slack` (zero spread would else make any value an outlier).  A group of fewer than `least` documents
-uses its language's sketch, and that of all documents if the language is small too.  judge() joins thresholds to documents.
-
-A null text has no words.  Null languages and sources are groups of their own.  Very long texts are measured whole.  Ties
-and repeated rows are measured alike.  An empty table gives an empty table.  measure() and judge() keep all other columns;
-columns of theirs that clash with added names are replaced.
+measure() gives the base statistics of each text; sketches() gathers a mergeable quantile (KLL) sketch of every ratio per
+language and source; thresholds() merges them per language and for all and reads fences off them: a ratio is out of line if it
+exceeds the upper quantile of its group by `reach` times the distance from the median to that quantile, and at least by the
+sketch-independent SLACK (zero spread would else make any value an outlier).  A group's fence is blended with its language's,
+and that with the fence of all documents: with n documents its own part is n / (n + `prior`), at every size.  judge() joins the
+fences to the statistics, and documents are joined to the verdicts.
+
+A null text, and an empty one, has no words and fails the base rules.  Null languages and sources are groups of their own.
+Very long texts are measured whole.  A ratio that equals its fence passes.  Repeated rows are measured and judged each.  An
+empty table gives an empty table.  All columns of the input stay; where it has a column named as an added one, the added one
+gets an underscore.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import WS, save, text_or_empty
+from weft.llm.common import WS, free_names, numbered, save, text_or_empty
 from weft.llm.spans import let
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -79,26 +81,27 @@ def _stats(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     }
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and the five base statistics (long)."""
+def measure(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
+    """The columns in keep and the five base statistics (long)."""
+    words, lines = free_names(docs.columns, "words", "lines")
     text = text_or_empty(text_col)
-    out = docs.drop(*STATS).withColumn("__w", _words(text)).withColumn("__l", _lines(text))
-    return out.withColumns(_stats(text, F.col("__w"), F.col("__l"))).drop("__w", "__l")
+    parts = docs.withColumn(words, _words(text)).withColumn(lines, _lines(text))
+    return parts.select(*keep, *(c.alias(k) for k, c in _stats(text, F.col(words), F.col(lines)).items()))
 
 
-def ratios(stat: Callable[[str], Column] = F.col) -> dict[str, Column]:
-    words = F.greatest(stat("n_words"), F.lit(1))
-    return {"symbol_ratio": stat("n_symbols") / words, "dup_line_ratio": stat("n_dup_lines") / F.greatest(stat("n_words") / 10, F.lit(1.0)), "long_word_ratio": stat("word_chars") / words}
+def ratios() -> dict[str, Column]:
+    words = F.greatest("n_words", F.lit(1))
+    return {"symbol_ratio": F.col("n_symbols") / words, "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_words") / 10, F.lit(1.0)), "long_word_ratio": F.col("word_chars") / words}
 
 
-def sketches(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per language and source: a KLL sketch of each ratio and the number of documents."""
-    keyed = measured.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *(c.alias(k) for k, c in ratios().items()))
+def sketches(measured: DataFrame) -> DataFrame:
+    """One row per language and source (columns lang, source): a KLL sketch of each ratio and the number of documents."""
+    keyed = measured.select("lang", "source", *(c.alias(k) for k, c in ratios().items()))
     return keyed.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k in RATIOS))
 
 
-def thresholds(sketched: DataFrame, least: int = 200, upper: float = 0.9, reach: float = 6.0) -> DataFrame:
-    """(lang, source, max_ of each ratio) from the group's sketch, else its language's, else that of all."""
+def thresholds(sketched: DataFrame, prior: int = 200, upper: float = 0.9, reach: float = 6.0) -> DataFrame:
+    """(lang, source, max_ of each ratio): the group's fence, blended with its language's and that of all documents."""
 
     def fence(k: str) -> Column:
         mid, high = (F.kll_sketch_get_quantile_double(F.col(k), F.lit(q)) for q in (0.5, upper))
@@ -112,55 +115,33 @@ def thresholds(sketched: DataFrame, least: int = 200, upper: float = 0.9, reach:
     wide = own.join(by_lang.select(F.col("lang").alias("l"), F.col("n").alias("ln"), *(F.col(c).alias(f"l_{c}") for c in names)), F.col("lang").eqNullSafe(F.col("l")))
     one = all_.select(F.struct(*names).alias("all_"), F.lit(1).alias("one"))
     wide = wide.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")  # one row
-    pick = lambda c: F.when(F.col("n") >= least, F.col(c)).when(F.col("ln") >= least, F.col(f"l_{c}")).otherwise(F.col(f"all_.{c}"))
-    return wide.select("lang", "source", *(pick(c).alias(c) for c in names))
+    blend = lambda n, mine, wider: (F.col(n) * mine + prior * wider) / (F.col(n) + prior)
+    return wide.select("lang", "source", *(blend("n", F.col(c), blend("ln", F.col(f"l_{c}"), F.col(f"all_.{c}"))).alias(c) for c in names))
 
 
-def _limited(docs: DataFrame, limits: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    """docs and the limits of each row's language and source, as columns __max_."""
-    told = limits.select(F.struct("lang").alias("__lang"), F.struct("source").alias("__source"), *(F.col(f"max_{k}").alias(f"__max_{k}") for k in RATIOS))
-    same = (F.struct(F.col(lang_col).alias("lang")) == F.col("__lang")) & (F.struct(F.col(source_col).alias("source")) == F.col("__source"))
-    return docs.join(told, same, "left").drop("__lang", "__source")
-
-
-def _verdict(stat: Callable[[str], Column]) -> dict[str, Column]:
-    bad = (stat("n_words") < 10) | (100 * stat("n_repeat_words") > 20 * stat("n_words"))
-    calm = F.lit(True)
-    for k, ratio in ratios(stat).items():
-        calm = calm & F.coalesce(ratio <= F.col(f"__max_{k}"), F.lit(True))
-    return {"base_failed": bad, "kept": ~bad & calm}
-
-
-def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """measured, which is a table, and booleans base_failed and kept."""
-    joined = _limited(measured.drop("base_failed", "kept"), limits, lang_col, source_col)
-    return joined.withColumns(_verdict(F.col)).drop(*(f"__max_{k}" for k in RATIOS))
-
-
-def measure_and_judge(docs: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs, the statistics, base_failed and kept, all from one expression.
-
-    A filter on kept is moved below what computes it.  With a column for each step it would take along copies of the steps, and
-    split the text again for each of its words; the one expression is worked out once a text.
-    """
-    text = text_or_empty(text_col)
-
-    def all_of(x: Column) -> Column:
-        stats = F.struct(*(c.alias(k) for k, c in _stats(x["t"], x["w"], x["l"]).items()))
-        return let(stats, lambda s: F.struct(*(s[k].alias(k) for k in STATS), *(c.alias(k) for k, c in _verdict(lambda k: s[k]).items())))
-
-    parts = F.struct(text.alias("t"), _words(text).alias("w"), _lines(text).alias("l"))
-    base = docs.drop(*STATS, "base_failed", "kept")
-    judged = _limited(base, limits, lang_col, source_col).withColumn("__q", let(parts, all_of))
-    return judged.select(*base.columns, "__q.*")
+    told = limits.select(F.struct("lang").alias("__lang"), F.struct("source").alias("__source"), *(f"max_{k}" for k in RATIOS))
+    same = (F.struct("lang") == F.col("__lang")) & (F.struct("source") == F.col("__source"))
+    bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    calm = reduce(lambda a, b: a & b, (F.coalesce(ratio <= F.col(f"max_{k}"), F.lit(True)) for k, ratio in ratios().items()))
+    joined = measured.join(told, same, "left")
+    return joined.withColumn("base_failed", bad).withColumn("kept", ~F.col("base_failed") & calm).select(*measured.columns, "base_failed", "kept")
 
 
 def apply_rules(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs (without its text if keep_text is false), the statistics, base_failed and kept.
+    """docs (without its text if keep_text is false) and, last, the statistics, base_failed and kept.
 
-    The statistics, without texts, are written once to the shared folder for the sketches.  Where texts are kept they are
-    measured again beside the scan: that costs less than writing and reading all texts.
+    Each text is measured once: the statistics are written to the shared folder, by row where texts are kept.
     """
-    slim = save(measure(docs, text_col).drop(text_col), "measured")
-    limits = save(thresholds(sketches(slim, lang_col, source_col)), "limits")
-    return measure_and_judge(docs, limits, lang_col, source_col, text_col) if keep_text else judge(slim, limits, lang_col, source_col)
+    added = [*STATS, "base_failed", "kept"]
+    if keep_text:
+        docs, row = numbered(docs)
+        columns, own = [c for c in docs.columns if c != row], [row]
+    else:
+        columns = own = [c for c in docs.columns if c != text_col]
+    keys = [F.struct(*own).alias("own"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
+    slim = save(measure(docs, keys, text_col), "measured")
+    judged = judge(slim, save(thresholds(sketches(slim)), "limits"))
+    told = judged.select("own.*", *(F.col(c).alias(n) for c, n in zip(added, free_names(docs.columns, *added), strict=True)))
+    return docs.join(told, row).select(*columns, *told.columns[1:]) if keep_text else told
