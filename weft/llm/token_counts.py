@@ -10,8 +10,8 @@ pre-token meet in one task, which counts its pieces once, joins the count to the
 to a bucket of its task's own, so a frequent pre-token is counted in several tasks (once in each) instead of filling one.
 The sums go back, packed, to the block of documents that they belong to and are added up there.
 
-A null text counts as empty and has no tokens.  Repeated rows each give a row.  An empty table gives an empty table.  Only
-the id and text columns are read, so further columns cannot clash.
+A null text counts as empty and has no tokens.  Very long texts are counted whole.  Repeated rows each give a row; there is
+nothing to tie.  An empty table gives an empty table.  Only the id and text columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from weft.llm.common import slices, text_or_empty
 
 BLANK = "▁"
 PRETOKEN = re.compile(" +[^ \n]*|[^ \n]+|\n")
+#: Documents whose sums are added up together.
+BLOCK = 2048
 #: Postings and distinct pre-tokens that a task holds before it gives its lists; documents in a list that counts as long.
 MOST_POSTINGS, MOST_UNITS, LONG_LIST = 4_000_000, 600_000, 1024
 
@@ -141,10 +143,15 @@ def _sums(model: str, schema: pa.Schema):
             out = {f.name: [] for f in schema}
             for x in part.to_pylist():
                 if x["rows"] is None:
-                    for name in ("base", "at", "ids", "bytes"):
-                        out[name].append(x[name])
-                    out["rows"].append(None)
-                    out["sums"].append(None)
+                    block = np.array(x["at"]) // BLOCK
+                    for k in np.unique(block).tolist():
+                        own = np.flatnonzero(block == k).tolist()
+                        out["base"].append(x["base"] + k * BLOCK)
+                        out["at"].append([x["at"][i] - k * BLOCK for i in own])
+                        for name in ("ids", "bytes"):
+                            out[name].append([x[name][i] for i in own])
+                        out["rows"].append(None)
+                        out["sums"].append(None)
                     continue
                 units = [u or "\n" for u in x["units"].split("\n")]
                 new = [u for u in units if u not in known]
@@ -157,12 +164,15 @@ def _sums(model: str, schema: pa.Schema):
                 n = int(sizes.sum())
                 tokens = np.repeat(pieces, sizes) * _unpacked(x["freqs"], n, "u1")
                 rows, where = np.unique(_unpacked(x["rows"], n, "<u2"), return_inverse=True)
-                out["base"].append(x["base"])
-                out["rows"].append(_packed(rows, "<u2"))
-                out["sums"].append(np.bincount(where, tokens).astype("<u4").tobytes())
-                for name in ("at", "ids", "bytes"):
-                    out[name].append(None)
-            yield _batch(schema, part.num_rows, out)
+                total = np.bincount(where, tokens).astype("<u4")
+                cuts = np.flatnonzero(np.diff(rows // BLOCK, prepend=-1))  # each block of documents gets its own sums
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+                    out["base"].append(x["base"] + int(rows[a]) // BLOCK * BLOCK)
+                    out["rows"].append(_packed(rows[a:b] % BLOCK, "<u2"))
+                    out["sums"].append(total[a:b].tobytes())
+                    for name in ("at", "ids", "bytes"):
+                        out[name].append(None)
+            yield _batch(schema, len(out["base"]), out)
 
     return run
 
