@@ -5,13 +5,14 @@ hash) into groups of about `group_docs`; within a group rests are placed by firs
 the first sequence with room, which a tournament tree over the sequences' free room finds in logarithmic time.  Groups are
 independent, so packing scales with the data, and each group leaves a few half-filled sequences at most.
 
-A null text counts as empty: it has the end token alone.  Repeated rows are packed each.  A text longer than a sequence gives
-several pieces.  An empty table gives an empty table.  Only the id and text columns are read, so further columns cannot clash.
+A null text counts as empty, and like an empty one has the end token alone.  Repeated rows are packed each.  A text longer than
+a sequence gives several pieces.  Ties in length are broken by the order in which a group's pieces come.  An empty table gives an empty table.  Only the id and text columns are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -26,6 +27,11 @@ from pyspark.sql import types as T
 
 from weft.llm.common import slices, text_or_empty
 
+# How a tokenizer must treat text for its words, between white space, to have tokens that depend on nothing else.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 #: A word whose tokens depend on nothing else, in the alphabet of which each letter is its own normal form, and a mark after it.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)")
 MOST_KNOWN = 800_000
@@ -44,12 +50,15 @@ def _letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Token ids of texts, working out each white-space separated word once."""
+    """Token ids of texts, working out each white-space separated word once; whole texts where the tokenizer is of another make."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        made = json.loads(self.library.to_str())
+        self.by_word = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and made["model"]["type"] == "BPE"
+        self.special = {t["content"][:2].encode() for t in made["added_tokens"]}
         self.clear()
 
     def clear(self) -> None:
@@ -78,7 +87,7 @@ class WordIds:
         return self.flat[self.start[at] : self.start[at] + self.size[at]]
 
     def encode(self, text: bytes, end: int) -> np.ndarray:
-        if b"<|" in text:  # may hold a special token, which the library looks for before all else
+        if not self.by_word or any(t in text for t in self.special):  # may hold a special token, which is looked for before all else
             return np.array([*self.library.encode(text.decode(), add_special_tokens=False).ids, end], np.uint32)
         own = text.lower().split()
         number = self.number

@@ -5,9 +5,11 @@ spans) in a folder the cluster shares: one row for each blob that was scanned un
 distinct blobs of its documents, leaves out those that the ledger holds for this rule version, scans the rest, appends their
 findings in one commit, and joins the ledger's findings back to all documents (all paths and versions) with that content.
 
-A null text counts as empty.  Documents without findings are in the ledger too, with an empty list.  Repeated rows and
-copies share one blob and each get its findings.  An empty table gives an empty table and leaves the ledger as it was.
-Columns beside id and text pass through scan() under their own names, whatever they are called.
+A null text counts as empty; empty and very long texts are blobs like any other and are scanned whole.  Documents without
+findings are in the ledger too, with an empty list.  Repeated rows and copies share one blob and each get its findings.  Ties:
+findings that start alike are in the order of their kinds.  An empty table gives an empty table and leaves the ledger as it
+was.  All columns of the input pass through scan() under their own names; where it has columns blob or spans, the added ones
+get an underscore.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.spans import SPAN, spans_of
-from weft.llm.common import save, text_or_empty
+from weft.llm.common import free_names, save, text_or_empty
 
 KINDS = ["assign", "access", "hex"]
 RULES = "secrets-1"
@@ -46,18 +48,18 @@ def ledger(spark, path: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, path: str, rules: str = RULES, text_col: str = "text", finder=find) -> DataFrame:
-    """docs and columns blob and spans (replacing any columns so named); the ledger at path holds their blobs afterwards."""
-    spark = docs.sparkSession
-    named = docs.drop("blob", "spans").withColumn("blob", F.sha2(text_or_empty(text_col), 256))
-    texts = named.select("blob", text_or_empty(text_col).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    """docs and, last, columns blob and spans; the ledger at path holds their blobs afterwards."""
+    spark, (blob, spans) = docs.sparkSession, free_names(docs.columns, "blob", "spans")
+    named = docs.withColumn(blob, F.sha2(text_or_empty(text_col), 256))
+    texts = named.select(F.col(blob).alias("blob"), text_or_empty(text_col).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     seen = ledger(spark, path).filter(F.col("rules") == rules).select("blob")
     unseen = texts.join(seen, "blob", "left_anti").select("blob", F.lit(rules).alias("rules"), finder(F.col("text")).alias("spans"))
     unseen.write.mode("append").parquet(path)
     held = ledger(spark, path).filter(F.col("rules") == rules)
     # a commit that was repeated after a lost driver may have left a blob twice
     once = held.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
-    found = save(once, "findings")  # a table of its own, so that Spark can split the rows of a blob with many copies in the join
-    return named.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    found = save(once.toDF(blob, spans), "findings")  # a table of its own, so that Spark can split the rows of a blob with many copies in the join
+    return named.join(found, blob, "left").select(*docs.columns, blob, F.coalesce(spans, F.array().cast(SPAN)).alias(spans))
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:

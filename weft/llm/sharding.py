@@ -6,8 +6,9 @@ shard so gets an equal share of slots (to one), and few slots change hands when
 slot, and the broadcast table tells the shard: one look-up per row, no shuffle, whatever the keys' skew.
 
 The table has `slots` rows whatever the data's size (65,537 by default), so the broadcast is bounded.  A null key is placed
-as the empty key.  Equal keys go to one shard.  An empty table gives an empty table; no shard at all is an error.  Columns
-of the input named slot or shard are replaced.
+as the empty key.  Equal keys, in repeated rows too, go to one shard.  Texts are not read, so their length plays no part.
+Ties cannot arise: shards take their turns in the order of their names, which differ.  An empty table gives an empty table; no
+shard at all is an error.  All columns of the input stay; where it has columns slot or shard, the added ones get an underscore.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm.common import free_names
+
 
 def _is_prime(n: int) -> bool:
     return n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
@@ -50,8 +53,9 @@ def table(spark: SparkSession, shards: Sequence[str], slots: int = 65_537) -> Da
 
 
 def place(docs: DataFrame, shards: Sequence[str], key_col: str = "doc_id", slots: int = 65_537) -> DataFrame:
-    """docs and columns slot (long) and shard (string)."""
+    """docs and, last, columns slot (long) and shard (string)."""
+    at, name = free_names(docs.columns, "slot", "shard")
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
-    slot = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % slots
-    placed = docs.drop("slot", "shard").withColumn("slot", slot)
-    return placed.join(F.broadcast(table(docs.sparkSession, shards, slots)), "slot")
+    placed = docs.withColumn(at, F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % slots)
+    owners = table(docs.sparkSession, shards, slots).toDF(at, name)
+    return placed.join(F.broadcast(owners), at).select(*docs.columns, at, name)  # as many rows as slots
