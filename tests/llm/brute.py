@@ -133,3 +133,84 @@ def word_ids(texts):
 
     own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     return [[*own.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def lookup_table(shards, slots):
+    """Shards take turns by name; each claims the first free slot of offset, offset + skip, offset + 2 skip, ..."""
+    names = sorted(shards)
+    orders = []
+    for s in names:
+        d = hashlib.sha256(s.encode()).digest()
+        offset, skip = int.from_bytes(d[:8], "big") % slots, int.from_bytes(d[8:16], "big") % (slots - 1) + 1
+        orders.append(iter([(offset + j * skip) % slots for j in range(slots)]))
+    owner = {}
+    turn = 0
+    while len(owner) < slots:
+        k = turn % len(names)
+        owner[next(x for x in orders[k] if x not in owner)] = k
+        turn += 1
+    return [owner[i] for i in range(slots)]
+
+
+def slot(key, slots):
+    return int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % slots
+
+
+def kept(rows, prior=200, upper=0.9, reach=6.0, slack=(0.1, 0.3, 6.0)):
+    """Verdicts for rows (text, lang, source) with exact quantiles, which a sketch gives for so few rows."""
+    stats = [quality(t) for t, *_ in rows]
+    ratios = [(s[2] / max(s[0], 1), s[3] / max(s[0] / 10, 1.0), s[1] / max(s[0], 1)) for s in stats]
+
+    def fences(own):
+        out = []
+        for k in range(3):
+            v = sorted(r[k] for r in own)
+            at = lambda q: v[max(0, -(-int(round(q * len(v) * 1000)) // 1000) - 1)]  # noqa: B023, E731
+            out.append(at(upper) + max(reach * (at(upper) - at(0.5)), slack[k]))
+        return len(own), out
+
+    groups = defaultdict(list)
+    for r, (_, lang, source) in zip(ratios, rows, strict=True):
+        groups[lang, source].append(r)
+        groups[lang].append(r)
+    every = fences(ratios)[1] if rows else None
+    made = {key: fences(own) for key, own in groups.items()}
+    out = []
+    for s, r, (_, lang, source) in zip(stats, ratios, rows, strict=True):
+        ok = s[0] >= 10 and 100 * s[4] <= 20 * s[0]
+        for k in range(3):
+            (n, own), (m, wide) = made[lang, source], made[lang]
+            limit = (m * wide[k] + prior * every[k]) / (m + prior)
+            ok = ok and r[k] <= (n * own[k] + prior * limit) / (n + prior)
+        out.append(ok)
+    return out
+
+
+def similar_components(sets, similarity=0.8):
+    """For each set the number of the first one that similar pairs lead to."""
+    top = list(range(len(sets)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= similarity * len(x | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+def redacted(text):
+    """Overlapping secrets as one mark."""
+    runs = []
+    for a, _, b in sorted(secrets(text)):
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    for a, b in reversed(runs):
+        text = text[:a] + "[secret]" + text[b:]
+    return text
