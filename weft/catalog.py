@@ -15,6 +15,7 @@ from weft.functions import languages as lang
 from weft.functions import text as tx
 from weft.functions.punctuation import normalize_corpus, normalize_request
 from weft.operators import corpus, metrics, translation, vocabulary
+from weft.plans import prepare
 from weft.session import ship
 from weft.sources.bitext import hypotheses
 from weft.sources.bitext import vocabulary as vocabulary_lines
@@ -102,9 +103,8 @@ FROM sentences LEFT JOIN keys ON {loose_sql("text")} = k GROUP BY lang""")
 def decontam_loose_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences a language, and how many of them the benchmark has."""
     rows, pool = sentence_rows(spark, sf_dir), bench_rows(spark, sf_dir).select(tx.loose_key(F.col("text")))
-    kept = corpus.anti_join_any(rows, [([tx.loose_key(F.col("text"))], pool)]).groupBy("lang").agg(F.count("*").alias("kept"))
-    total = rows.groupBy("lang").agg(F.count("*").alias("total"))
-    return total.join(kept, "lang", "left").select("lang", "total", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("total") - F.coalesce("kept", F.lit(0))).alias("removed"))
+    told = corpus.flagged(rows, [tx.loose_key(F.col("text"))], pool, "held")
+    return told.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(~F.col("held")).alias("kept"), F.count_if("held").alias("removed"))
 
 
 @query(f"""WITH {LINES}, keys AS (SELECT DISTINCT {loose_sql("t")} AS k FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM benchmark) WHERE {strip_sql("t")} <> '')
@@ -114,16 +114,52 @@ def decontam_loose_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.anti_join_any(lines(spark, sf_dir), [([tx.loose_key(F.col("text"))], pool)]).select("doc_id", "line_no", "text")
 
 
-@query(f"""WITH {TURNS}, held AS (SELECT * FROM turns WHERE line_no % 7 < 2),
+@query(f"""WITH {TURNS}, held AS (SELECT * FROM turns WHERE line_no % 7 < 2 AND pair IN (SELECT pair FROM turns GROUP BY pair HAVING count(*) FILTER (line_no % 7 = 0) > 0 AND count(*) FILTER (line_no % 7 = 1) > 0)),
 s AS (SELECT DISTINCT {strict_sql("src_text")} AS k FROM held), t AS (SELECT DISTINCT pair, {strict_sql("tgt_text")} AS k FROM held)
 SELECT line_no, x.pair, src_text, tgt_text FROM turns x WHERE line_no % 7 >= 2 AND {strict_sql("src_text")} NOT IN (SELECT k FROM s)
 AND NOT EXISTS (SELECT 1 FROM t WHERE t.pair = x.pair AND t.k = {strict_sql("x.tgt_text")})""")
 def decontam_strict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of seven rows are held out (dev and test); the rest must not have their keys."""
+    """Of seven rows one is held out for dev and one for test; the rest must not have the keys of pairs that have both."""
     rows = turns(spark, sf_dir)
     held = rows.filter("line_no % 7 < 2").withColumn("benchmark", F.lit("held")).withColumn("split", F.when(F.col("line_no") % 7 == 0, "dev").otherwise("test"))
-    both = held.select("benchmark", "pair", F.lit("dev").alias("split"), "src_text", "tgt_text").unionByName(held.select("benchmark", "pair", F.lit("test").alias("split"), "src_text", "tgt_text"))
-    return corpus.decontaminate_strict(rows.filter("line_no % 7 >= 2"), both).select("line_no", "pair", "src_text", "tgt_text")
+    return corpus.decontaminate_strict(rows.filter("line_no % 7 >= 2"), held.select("benchmark", "pair", "split", "src_text", "tgt_text")).select("line_no", "pair", "src_text", "tgt_text")
+
+
+def _by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, text): the benchmark's lines, dealt to the languages of the turns by their lengths."""
+    codes = F.array(*(F.lit(c) for c in ("eng_Latn", "hin_Deva", "tam_Taml", "urd_Arab")))
+    lines_ = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("text"))
+    return lines_.select(F.get(codes, (F.length("text") % 4).cast("int")).alias("lang"), "text")
+
+
+def _turns_with_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, and each benchmark line as a source and, with its blanks doubled, as a target beside a text of its own."""
+    bench = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "text"))
+    at = F.lit(-1) - (F.col("item_id") * 1000 + F.col("i")) * 2
+    pair = lambda s, t: [F.lit(f"{s}-{t}").alias("pair"), F.lit(s).alias("src_lang"), F.lit(t).alias("tgt_lang")]
+    own = F.concat(F.lit("line "), at.cast("string"))
+    first = bench.select(*pair("eng_Latn", "hin_Deva"), at.alias("line_no"), F.concat("text", F.lit(" !")).alias("src_text"), own.alias("tgt_text"))
+    second = bench.select(*pair("tam_Taml", "urd_Arab"), (at - 1).alias("line_no"), own.alias("src_text"), F.replace("text", F.lit(" "), F.lit("  ")).alias("tgt_text"))
+    rows = turns(spark, sf_dir).select(first.columns)
+    return rows.unionByName(first).unionByName(second)
+
+
+_WITH_BENCH = """b AS (SELECT item_id, unnest(generate_series(0, len(l) - 1)) AS i, unnest(l) AS text FROM (SELECT item_id, string_split(coalesce(text, ''), chr(10)) AS l FROM benchmark)),
+more AS (SELECT pair, src_lang, tgt_lang, line_no, src_text, tgt_text FROM turns
+  UNION ALL SELECT 'eng_Latn-hin_Deva', 'eng_Latn', 'hin_Deva', -1 - (item_id * 1000 + i) * 2, text || ' !', 'line ' || (-1 - (item_id * 1000 + i) * 2) FROM b
+  UNION ALL SELECT 'tam_Taml-urd_Arab', 'tam_Taml', 'urd_Arab', -2 - (item_id * 1000 + i) * 2, 'line ' || (-1 - (item_id * 1000 + i) * 2), replace(text, ' ', '  ') FROM b)"""
+
+
+def squeeze_sql(x: str) -> str:
+    return strip_sql(f"replace(regexp_replace({x}, ' +', ' ', 'g'), chr(10), '')")
+
+
+@query(f"""WITH {TURNS}, {_WITH_BENCH}, keys AS (SELECT DISTINCT ['eng_Latn', 'hin_Deva', 'tam_Taml', 'urd_Arab'][length(text) % 4 + 1] AS lang, {loose_sql("text")} AS k FROM b WHERE {strip_sql("text")} <> '')
+SELECT line_no, pair, {squeeze_sql("src_text")} AS src_text, {squeeze_sql("tgt_text")} AS tgt_text FROM more m
+WHERE NOT EXISTS (SELECT 1 FROM keys WHERE lang = m.src_lang AND k = {loose_sql("m.src_text")}) AND NOT EXISTS (SELECT 1 FROM keys WHERE lang = m.tgt_lang AND k = {loose_sql("m.tgt_text")})""")
+def decontam_loose_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of each turn, and of pairs made of benchmark lines, against the benchmark of their own languages."""
+    return corpus.decontaminate_loose(_turns_with_bench(spark, sf_dir), _by_lang(spark, sf_dir)).select("line_no", "pair", "src_text", "tgt_text")
 
 
 @query(f"""WITH {TURNS} SELECT pair, min(line_no) AS line_no, src_text, tgt_text FROM turns GROUP BY pair, src_text, tgt_text""")
@@ -140,12 +176,13 @@ def merge_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LINES}, p AS (SELECT {strip_sql("text")} AS k, source, doc_id * 100000 + line_no AS pos FROM lines WHERE {strip_sql("text")} <> ''),
 a AS (SELECT k, max(pos) AS src FROM p WHERE source IN ('src0', 'src1', 'src2') GROUP BY k)
-SELECT DISTINCT src::VARCHAR AS src_text, p.pos::VARCHAR AS tgt_text FROM p JOIN a USING (k) WHERE source IN ('src3', 'src4', 'src5')""")
+SELECT DISTINCT src::VARCHAR AS src_text, p.pos::VARCHAR AS tgt_text FROM p JOIN a USING (k) WHERE coalesce(source, '') NOT IN ('src0', 'src1', 'src2')""")
 def pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two groups of sources as two languages over equal lines."""
+    """Three sources as one language and all others, none or null too, as another over equal lines."""
     rows = lines(spark, sf_dir).withColumn("at", F.col("doc_id") * 100000 + F.col("line_no")).filter(tx.strip(F.col("text")) != "")
-    side = lambda names: rows.filter(F.col("source").isin(names)).select(F.col("text").alias("pivot_text"), F.col("at").cast("string").alias("text"), F.col("at").alias("line_no"))
-    return corpus.pivot_join(side(["src0", "src1", "src2"]), side(["src3", "src4", "src5"]))
+    first = F.coalesce("source", F.lit("")).isin("src0", "src1", "src2")
+    side = lambda which: rows.filter(which).select(F.col("text").alias("pivot_text"), F.col("at").cast("string").alias("text"), F.col("at").alias("line_no"))
+    return corpus.pivot_join(side(first), side(~first))
 
 
 @query(f"""WITH {LINES}, p AS (SELECT {strip_sql("text")} AS k, md5(coalesce(source, '')) < '8' AS one, doc_id * 100000 + line_no AS pos FROM lines WHERE {strip_sql("text")} <> ''),
@@ -301,6 +338,80 @@ def listed_sql(pattern: str) -> str:
     return f"'[' || array_to_string(regexp_extract_all(x, '{own}', 0), ', ') || ']'"
 
 
+def replaced_sql(x: str, *pairs: tuple[str, str]) -> str:
+    for a, b in pairs:
+        x = f"replace({x}, {a}, {b})"
+    return x
+
+
+def _request_sql() -> str:
+    """The rules for requests, written for SQL on their own: brackets, marks, quotes, dashes, guillemets, no-break spaces, runs, digits of any script."""
+    nb, q = "chr(160)", "chr(39)"
+    x = replaced_sql("x", ("chr(13)", "''"), ("'('", "' ('"), ("')'", "') '"), ("'( '", "'('"), ("' )'", "')'"), ("' :'", "':'"), ("' ;'", "';'"), ("chr(96)", q))
+    x = replaced_sql(x, *((f"chr({c})", "chr(34)") for c in (0x201E, 0x201C, 0x201D)), ("chr(8211)", "'-'"), ("chr(8212)", "' - '"), *((f"chr({c})", q) for c in (0xB4, 0x2018, 0x201A, 0x2019)), (f"{q} || {q}", "chr(34)"), ("chr(8230)", "'...'"))
+    x = replaced_sql(x, (f"{nb} || chr(171) || {nb}", "' ' || chr(34)"), (f"chr(171) || {nb}", "chr(34)"), ("chr(171)", "chr(34)"), (f"{nb} || chr(187) || {nb}", "chr(34) || ' '"), (f"{nb} || chr(187)", "chr(34)"), ("chr(187)", "chr(34)"))
+    x = replaced_sql(x, (f"{nb} || '%'", "'%'"), (f"'n' || chr(186) || {nb}", "'n' || chr(186) || ' '"), (f"{nb} || ':'", "':'"), (f"{nb} || chr(186) || 'C'", "' ' || chr(186) || 'C'"), (f"{nb} || 'cm'", "' cm'"), *((f"{nb} || '{c}'", f"'{c}'") for c in "?!;"), (f"',' || {nb}", "', '"))
+    for what, by in ((" {2,}", " "), (r"\.{2,}", "."), (r"\) ([.!:?;,])", r")\1"), (r"(\p{Nd}) %", r"\1%"), (r'"([,.]+)', r'\1"'), ("(\\p{Nd})\u00a0(\\p{Nd})", r"\1.\2")):
+        x = f"regexp_replace({x}, '{what}', '{by}', 'g')"
+    return f"trim({x}, ' ')"
+
+
+_REQUEST_SQL = _request_sql()
+
+# Entities in SQL, whose patterns know no look-around: a URL starts after what is neither a word's character nor a slash or dot, takes
+# all characters that it may hold, and gives back those at its end that are in no word.
+_W = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+_URL_SQL = rf"""list_filter(list_transform(regexp_extract_all({{x}}, '(?:^|[^{_W}/.])((?:(?:https?|ftp)://[{_W}-]+|[{_W}][{_W}-]*)\.[{_W}/\-?#&=%][{_W}/\-?#&=%.]*)', 1), lambda u: regexp_replace(u, '[^{_W}]+$', '')),
+ lambda u: regexp_matches(u, '^(?:(?:https?|ftp)://)?[{_W}-]+\.[{_W}/\-?#&=%]'))"""
+
+
+def found_sql(x: str, name: str) -> str:
+    """The matches of an entity pattern in x, as a list."""
+    if name == "url":
+        return _URL_SQL.replace("{x}", x)
+    own = tx.ENTITIES[name].replace(r"\d", r"\p{Nd}").replace(r"\w", f"[{_W}]").replace(r"\s", r"[\s\x{85}\p{Z}]").replace("'", "''")
+    return f"regexp_extract_all({x}, '{own}', 0)"
+
+
+def once_sql(found: str) -> str:
+    return f"list_filter({found}, lambda m, i: list_position({found}, m) = i)"
+
+
+_SPACES = r"[\s\x{85}\p{Z}]+"
+_DIGITS = f"translate({{x}}, '{tx.DIGITS_FROM}', '{tx.DIGITS_TO}')"
+
+
+def _wrapped_sql(x: str, found: str) -> str:
+    return f"regexp_replace(list_reduce({found}, lambda a, m: replace(a, m, ' <dnt> ' || m || ' </dnt> '), {x}), '{_SPACES}', ' ', 'g')"
+
+
+def wrap_steps_sql(source: str, keys: str) -> str:
+    """CTEs w0 to w4 over source (keys, x): digits, then each kind of entity tagged in turn; x of w4 is the result."""
+    ctes = [f"w0 AS (SELECT {keys}, {_DIGITS.replace('{x}', 'x')} AS x FROM {source})"]
+    for i, name in enumerate(tx.ENTITIES):
+        ctes.append(f"f{i} AS (SELECT {keys}, x, {found_sql('x', name)} AS f FROM w{i}), w{i + 1} AS (SELECT {keys}, {_wrapped_sql('x', once_sql('f'))} AS x FROM f{i})")
+    return ", ".join(ctes)
+
+
+def placeholder_steps_sql(source: str, keys: str) -> str:
+    """CTEs over source (keys, x); p has keys, text with placeholders and e, the list of entities."""
+    ctes = [f"p0 AS (SELECT {keys}, {{'t': {_DIGITS.replace('{x}', 'x')}, 'e': []::VARCHAR[]}} AS s FROM {source})"]
+    for i, name in enumerate(tx.ENTITIES):
+        keep = {"url": "length(replace(m, '.', '')) >= 4", "numeral": "length(translate(m, ' .:', '')) >= 4"}.get(name, "true")
+        step = "lambda a, m: {'t': replace(a.t, m.t, '<ID' || (len(a.e) + 1) || '>'), 'e': list_append(a.e, m.t)}"
+        ctes.append(f"q{i} AS (SELECT {keys}, s, {found_sql('s.t', name)} AS f FROM p{i})")
+        ctes.append(f"r{i} AS (SELECT {keys}, s, list_filter({once_sql('f')}, lambda m: {keep}) AS f FROM q{i})")
+        ctes.append(f"p{i + 1} AS (SELECT {keys}, list_reduce(list_prepend(s, list_transform(f, lambda m: {{'t': m, 'e': []::VARCHAR[]}})), {step}) AS s FROM r{i})")
+    ctes.append(f"p AS (SELECT {keys}, {strip_sql(f"replace(regexp_replace(s.t, '{_SPACES}', ' ', 'g'), '>/', '>')")} AS text, s.e AS e FROM p{len(tx.ENTITIES)})")
+    return ", ".join(ctes)
+
+
+_RESTORED = """list_reduce(list_prepend({'t': {x}, 'n': 0::BIGINT}, list_transform(e, lambda m, i: {'t': m, 'n': i})),
+ lambda a, m: {'t': replace(replace(a.t, '<ID' || m.n || '>', m.t), '< ID' || m.n || ' >', m.t), 'n': m.n}).t"""
+_UNWRAPPED = lambda x: strip_sql(f"regexp_replace(replace({strip_sql(f"regexp_replace(replace({x}, '<dnt>', ' '), '{_SPACES}', ' ', 'g')")}, '</dnt>', ' '), '{_SPACES}', ' ', 'g')")
+_M = lines_sql("x").split(" SELECT doc_id, line_no, x AS out")[0]
+
+
 def _text_queries() -> None:
     from weft.functions import punctuation as p
 
@@ -311,14 +422,14 @@ def _text_queries() -> None:
         ("digit_normalize", tx.ascii_digits, f"translate(x, '{tx.DIGITS_FROM}', '{tx.DIGITS_TO}')"),
         ("punct_corpus_en", lambda c: normalize_corpus(c, "en"), end(steps_sql(steps_sql(start, p.CORPUS_START), p.ENGLISH_QUOTE))),
         ("punct_corpus_other", lambda c: normalize_corpus(c, "hi"), end(steps_sql(steps_sql(start, p.CORPUS_START), p.OTHER_QUOTE))),
-        ("punct_request", normalize_request, f"trim({steps_sql('x', p.REQUEST)}, ' ')"),
+        ("punct_request", normalize_request, _REQUEST_SQL),
         ("output_clean", tx.clean_output, strip_sql(r"regexp_replace(x, '\s+', ' ', 'g')")),
         ("output_one_line", tx.one_line, strip_sql("replace(x, chr(10), '')")),
         ("piece_join", tx.join_pieces, strip_sql("replace(replace(x, ' ', ''), '▁', ' ')")),
         ("key_loose", tx.loose_key, loose_sql("x")),
         ("key_strict", tx.strict_key, strict_sql("x")),
         ("entities_email", lambda c: tx.matches(c, tx.EMAIL).cast("string"), listed_sql(tx.EMAIL)),
-        ("entities_url", lambda c: tx.matches(c, tx.URL).cast("string"), None),
+        ("entities_url", lambda c: tx.matches(c, tx.URL).cast("string"), f"'[' || array_to_string({found_sql('x', 'url')}, ', ') || ']'"),
         ("entities_numeral", lambda c: tx.matches(c, tx.NUMERAL).cast("string"), listed_sql(tx.NUMERAL)),
         ("entities_other", lambda c: tx.matches(c, tx.OTHER).cast("string"), listed_sql(tx.OTHER)),
         ("dnt_wrap", tx.wrap, None),
@@ -329,12 +440,27 @@ def _text_queries() -> None:
         QUERIES[name] = on_lines(f)
         if sql is not None:
             SQL[name] = lines_sql(sql)
+    keys = "doc_id, line_no"
+    SQL["dnt_wrap"] = f"{_M}, {wrap_steps_sql('m', keys)} SELECT {keys}, {strip_sql('x')} AS out FROM w4"
+    SQL["dnt_unwrap"] = f"{_M}, {wrap_steps_sql('m', keys)} SELECT {keys}, {_UNWRAPPED(strip_sql('x'))} AS out FROM w4"
+    SQL["placeholder_wrap"] = f"{_M}, {placeholder_steps_sql('m', keys)} SELECT {keys}, text AS out FROM p"
+    SQL["placeholder_roundtrip"] = f"{_M}, {placeholder_steps_sql('m', keys)} SELECT {keys}, {_RESTORED.replace('{x}', 'text')} AS out FROM p"
 
 
 _text_queries()
 
 
-@query()
+def wrap_pair_steps_sql(source: str, keys: str) -> str:
+    """CTEs w0 to w4 over source (keys, x, y): the entities that both sides hold tagged in both."""
+    ctes = [f"w0 AS (SELECT {keys}, {_DIGITS.replace('{x}', 'x')} AS x, {_DIGITS.replace('{x}', 'y')} AS y FROM {source})"]
+    for i, name in enumerate(tx.ENTITIES):
+        ctes.append(f"f{i} AS (SELECT {keys}, x, y, {found_sql('x', name)} AS f, {found_sql('y', name)} AS g FROM w{i})")
+        ctes.append(f"g{i} AS (SELECT {keys}, x, y, list_filter({once_sql('f')}, lambda m: list_contains(g, m)) AS f FROM f{i})")
+        ctes.append(f"w{i + 1} AS (SELECT {keys}, {_wrapped_sql('x', 'f')} AS x, {_wrapped_sql('y', 'f')} AS y FROM g{i})")
+    return ", ".join(ctes)
+
+
+@query(f"""WITH {TURNS}, t AS (SELECT line_no, src_text AS x, tgt_text AS y FROM turns), {wrap_pair_steps_sql("t", "line_no")} SELECT line_no, x AS src_text, y AS tgt_text FROM w4""")
 def dnt_wrap_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).select("line_no", tx.wrap_common(F.col("src_text"), F.col("tgt_text")).alias("w"))
     return rows.select("line_no", F.col("w.src").alias("src_text"), F.col("w.tgt").alias("tgt_text"))
@@ -355,7 +481,10 @@ def chunk_256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "chunk_no", F.array_join("words", " ").alias("text"))
 
 
-@query()
+@query(f"""WITH {SENTENCES}, words AS (SELECT doc_id, sentence_no, string_split(text, ' ') AS w FROM sentences),
+parts AS (SELECT doc_id, sentence_no, i AS chunk_no, array_to_string(w[i * 256 + 1 : i * 256 + 256], ' ') AS x FROM (SELECT *, unnest(generate_series(0, greatest(ceil(len(w) / 256)::INT - 1, 0))) AS i FROM words)),
+{placeholder_steps_sql("parts", "doc_id, sentence_no, chunk_no")}, done AS (SELECT doc_id, string_agg({_RESTORED.replace("{x}", "'hi: ' || text")}, ' ' ORDER BY sentence_no, chunk_no) AS text FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(done.text, '') AS text FROM (SELECT doc_id FROM documents) LEFT JOIN done USING (doc_id)""")
 def translate_paragraphs_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("en").alias("src"), F.lit("hi").alias("tgt"), F.coalesce("text", F.lit("")).alias("text"))
@@ -387,8 +516,8 @@ def hyp_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH n AS (SELECT max(conv_id) AS n FROM conversations) SELECT i::INT AS id, coalesce(hyp, '') AS hyp FROM (SELECT unnest(generate_series(0, (SELECT n * 2 + 1 FROM n))) AS i) LEFT JOIN {_LAST} h ON h.id = i")
 def hyp_left_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    most = table(spark, sf_dir, "conversations").agg(F.max("conv_id").alias("n"))
-    ids = most.select(F.explode(F.sequence(F.lit(0), (F.col("n") * 2 + 1).cast("int"))).alias("id"))
+    most = table(spark, sf_dir, "conversations").agg(F.max("conv_id")).first()[0]
+    ids = spark.range(0 if most is None else most * 2 + 2).select(F.col("id").cast("int").alias("id"))
     return translation.fill_missing(ids, hypotheses(_log(spark, sf_dir)))
 
 
@@ -413,12 +542,22 @@ def vocab_threshold5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.numbered(vocabulary.token_counts(lines(spark, sf_dir)))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT string_split(regexp_replace(CASE WHEN line_no % 3 = 0 THEN text ELSE source || ' ' || line_no END, '^[\\r\\n ]+|[\\r\\n ]+$', '', 'g'), ' ') AS p FROM lines)
-SELECT p[1] AS token, try_cast(p[2] AS BIGINT) AS freq FROM s WHERE len(p) = 2 AND try_cast(p[2] AS BIGINT) IS NOT NULL""")
+@query(f"""WITH {LINES}, a AS (SELECT text FROM lines UNION ALL SELECT concat_ws(' ', source, line_no) FROM lines),
+s AS (SELECT string_split(regexp_replace(text, '^[\\r\\n ]+|[\\r\\n ]+$', '', 'g'), ' ') AS p FROM a)
+SELECT p[1] AS token, CASE WHEN regexp_matches(p[2], '^[0-9]{{1,18}}$') THEN p[2]::BIGINT END AS freq FROM s WHERE len(p) = 2""")
 def vocab_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.when(F.col("line_no") % 3 == 0, F.col("text")).otherwise(F.concat_ws(" ", "source", F.col("line_no").cast("string")))
-    good, _ = vocabulary_lines(lines(spark, sf_dir).select(own.alias("text")).filter(~F.rlike(own, F.lit("^ *[^ ]+ [^ ]*[^0-9 ][^ ]* *$"))))
-    return good
+    """Every line of documents, and for each a line of a vocabulary, read as vocabulary lines."""
+    rows = lines(spark, sf_dir)
+    both = rows.select("text").unionByName(rows.select(F.concat_ws(" ", "source", F.col("line_no").cast("string")).alias("text")))
+    good, _ = vocabulary_lines(both)
+    return good.select("token", "freq")
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_no::INT AS line_no, text FROM lines WHERE len(string_split(regexp_replace(text, '^[\\r\\n ]+|[\\r\\n ]+$', '', 'g'), ' ')) <> 2""")
+def vocab_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that are no vocabulary lines."""
+    _, bad = vocabulary_lines(lines(spark, sf_dir))
+    return bad.select("doc_id", "line_no", "text")
 
 
 @query(f"""WITH d AS (SELECT doc_id, string_split({strip_sql("replace(coalesce(text, ''), chr(10), ' ')")}, ' ') AS l FROM documents),
@@ -508,3 +647,143 @@ def bootstrap_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = metrics.bleu_statistics(systems(spark, sf_dir).drop("pair"), ["line_no", "system"])
     scores = metrics.paired_bootstrap(stats, "line_no", "system")
     return scores.groupBy("sample").pivot("system", ["a", "b"]).agg(F.round(F.first("bleu"), 6)).withColumn("a_wins", F.col("a") > F.col("b"))
+
+
+# Several systems against one
+
+
+def three_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As systems(), and a third that drops every seventh word."""
+    words = tx.pieces_of(F.col("tgt_text"))
+    own = turns(spark, sf_dir).select("pair", "line_no", F.col("tgt_text").alias("ref"), F.lit("c").alias("system"), F.array_join(F.filter(words, lambda _, i: i % 7 != 6), " ").alias("hyp"))
+    return systems(spark, sf_dir).unionByName(own)
+
+
+_THREE = _SYSTEMS[:-1] + """
+  UNION ALL SELECT pair, line_no, ref, 'c', array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda i: (i - 1) % 7 <> 6), lambda i: w[i]), ' ') FROM w)"""
+
+
+@query(f"""WITH {_THREE}, {_grams_sql(_WORDS, 4)}, l AS (SELECT line_no, system, n, sum(m) AS m, sum(h) AS h, sum(r) AS r FROM stats GROUP BY ALL),
+k AS (SELECT sample, line_no, ('0x' || left(md5(sample || ':' || line_no), 8))::BIGINT / 4294967296::DOUBLE AS u FROM (SELECT unnest(generate_series(1, 200)) AS sample), (SELECT DISTINCT line_no FROM l)),
+t AS (SELECT sample, line_no, {_TIMES} AS times FROM k UNION ALL SELECT 0, line_no, 1 FROM (SELECT DISTINCT line_no FROM l)),
+b AS (SELECT sample, system, n, sum(m * times)::DOUBLE AS m, sum(h * times)::DOUBLE AS h, sum(r * times)::DOUBLE AS r FROM l JOIN t USING (line_no) WHERE times > 0 GROUP BY ALL),
+z AS (SELECT sample, system, least(1, exp(1 - max(r) FILTER (n = 1) / max(h) FILTER (n = 1))) * exp(avg(ln(100 * m / h))) AS bleu FROM b GROUP BY ALL),
+d AS (SELECT z.system, z.sample, z.bleu, abs(z.bleu - o.bleu) AS diff FROM z JOIN z o ON o.sample = z.sample AND o.system = 'a'),
+g AS (SELECT system, avg(diff) FILTER (sample > 0) AS mid, max(diff) FILTER (sample = 0) AS seen FROM d GROUP BY system)
+SELECT system, round(max(bleu) FILTER (sample = 0), 6) AS bleu, round(avg(bleu) FILTER (sample > 0), 6) AS mean,
+  CASE WHEN system <> 'a' THEN round((count(*) FILTER (sample > 0 AND abs(diff - mid) > seen) + 1) / 201, 6) END AS p_value FROM d JOIN g USING (system) GROUP BY system""")
+def bootstrap_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two systems against a baseline by paired resampling."""
+    stats = metrics.bleu_statistics(three_systems(spark, sf_dir).drop("pair"), ["line_no", "system"])
+    return metrics.significance(stats, "line_no", "system", "a").select("system", *(F.round(c, 6).alias(c) for c in ("bleu", "mean", "p_value")))
+
+
+# Whole jobs
+
+
+@query(" UNION ALL ".join(f"SELECT pair, system, '{m}' AS metric, {c} AS value FROM ({SQL[q]})" for m, c, q in (("bleu", "bleu", "bleu_corpus"), ("chrf", "chrf", "chrf_corpus"), ("chrf++", "chrf", "chrfpp_corpus"))))
+def evaluate_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of both systems, predictions and references aligned by line."""
+    rows = systems(spark, sf_dir)
+    predictions = rows.select("pair", "system", "line_no", F.col("hyp").alias("text"))
+    references = turns(spark, sf_dir).select("pair", "line_no", F.col("tgt_text").alias("text"))
+    return prepare.evaluate(predictions, references).withColumn("value", F.round("value", 6))
+
+
+def _prepare_sql() -> str:
+    from weft.functions import punctuation as p
+
+    def punctuated(text: str, lang_: str) -> str:
+        start = steps_sql(f"({text} || chr(10))", p.CORPUS_START)
+        end = lambda x: f"regexp_replace(regexp_replace({x}, '([0-9]){p.N}([0-9])', '\\1.\\2', 'g'), '\\n$', '')"
+        return f"CASE WHEN {lang_} = 'eng_Latn' THEN {end(steps_sql(start, p.ENGLISH_QUOTE))} ELSE {end(steps_sql(start, p.OTHER_QUOTE))} END"
+
+    kept = SQL["decontam_loose_pairs"].replace("SELECT line_no, pair,", "SELECT line_no, pair, src_lang, tgt_lang,").split("WITH ", 1)[1]
+    head, select = kept.rsplit("\nSELECT line_no, pair, src_lang", 1)
+    return f"""WITH {head}, kept AS (SELECT line_no, pair, src_lang{select}),
+one AS (SELECT pair, src_lang, tgt_lang, min(line_no) AS line_no, src_text, tgt_text FROM kept GROUP BY ALL),
+t AS (SELECT line_no, pair, src_lang, tgt_lang, {punctuated("src_text", "src_lang")} AS x, {punctuated("tgt_text", "tgt_lang")} AS y FROM one),
+{wrap_pair_steps_sql("t", "line_no, pair, src_lang, tgt_lang")}, z AS (SELECT line_no, pair, src_lang, tgt_lang, {strip_sql("x")} AS x, {_UNWRAPPED("y")} AS y FROM w4)
+SELECT line_no, pair, src_lang || ' ' || tgt_lang || ' ' || x AS src_text, y AS tgt_text FROM z WHERE {_pieces("x")} <= 200 AND {_pieces("y")} <= 200"""
+
+
+@query(_prepare_sql())
+def prepare_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and benchmark lines made ready for training: decontaminated, distinct, normalised, tagged, of at most 200 pieces."""
+    return prepare.prepare(_turns_with_bench(spark, sf_dir), _by_lang(spark, sf_dir), 200).select("line_no", "pair", "src_text", "tgt_text")
+
+
+# Further operators on pairs
+
+
+@query(f"""WITH {TURNS} SELECT line_no, pair, src_text, tgt_text FROM turns WHERE src_lang <> tgt_lang""")
+def strict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.strict_bitext(turns(spark, sf_dir)).select("line_no", "pair", "src_text", "tgt_text")
+
+
+@query(f"""WITH {TURNS} SELECT line_no, pair, src_text, tgt_text FROM turns WHERE line_no % 3 > 0 AND line_no % 5 > 0""")
+def align_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides that lack every third and every fifth line, put together by line."""
+    rows = turns(spark, sf_dir)
+    return corpus.align(rows.filter("line_no % 3 > 0").select("pair", "line_no", "src_text"), rows.filter("line_no % 5 > 0").select("pair", "line_no", "tgt_text"), ["pair", "line_no"])
+
+
+@query(f"""WITH {TURNS}, d AS (SELECT * FROM {values_sql(lang.iso_rows(), "iso, flores")}), i AS (SELECT flores, min(iso) AS iso FROM d GROUP BY flores)
+SELECT line_no, coalesce(a.flores, 'xx') || '-' || tgt_lang AS pair, coalesce(a.flores, 'xx') AS src_lang, tgt_lang FROM (
+  SELECT line_no, CASE WHEN line_no % 2 = 0 THEN 'xx' ELSE s.iso END AS iso, tgt_lang FROM turns JOIN i s ON s.flores = src_lang) LEFT JOIN d a USING (iso)""")
+def full_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with short codes, or none that is known, renamed to full codes."""
+    dim = lang.iso_dim(spark)
+    short = dim.groupBy("flores").agg(F.min("iso").alias("iso"))
+    rows = turns(spark, sf_dir).join(F.broadcast(short.withColumnRenamed("flores", "src_lang")), "src_lang")  # 38 rows
+    rows = rows.withColumn("src_lang", F.when(F.col("line_no") % 2 == 0, "xx").otherwise(F.col("iso"))).drop("iso")
+    return corpus.to_full_codes(rows, dim).select("line_no", "pair", "src_lang", "tgt_lang")
+
+
+@query(f"""WITH {TURNS} SELECT line_no, 'eng_Latn-' || CASE WHEN tgt_lang = 'eng_Latn' THEN src_lang ELSE tgt_lang END AS pair,
+CASE WHEN tgt_lang = 'eng_Latn' THEN tgt_text ELSE src_text END AS src_text, CASE WHEN tgt_lang = 'eng_Latn' THEN src_text ELSE tgt_text END AS tgt_text FROM turns WHERE 'eng_Latn' IN (src_lang, tgt_lang)""")
+def pivot_as_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pivot_first(turns(spark, sf_dir)).select("line_no", "pair", "src_text", "tgt_text")
+
+
+@query(f"""WITH {TURNS}, f AS (SELECT DISTINCT pair, CASE WHEN line_no % 2 = 0 OR pair LIKE 'tam%' THEN src_lang ELSE tgt_lang END AS lang FROM turns)
+SELECT pair, lang FROM f WHERE pair IN (SELECT pair FROM f GROUP BY pair HAVING count(*) = 2)""")
+def files_of_whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when((F.col("line_no") % 2 == 0) | F.col("pair").startswith("tam"), F.col("src_lang")).otherwise(F.col("tgt_lang"))
+    return corpus.complete_pairs(turns(spark, sf_dir).select("pair", own.alias("lang")).distinct()).select("pair", "lang")
+
+
+@query(f"SELECT system, flores, code AS sys_code FROM {values_sql(lang.system_rows(), 'system, flores, code')} WHERE contains(system, 'b')")
+def system_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang.systems_named(lang.system_dim(spark), "b")
+
+
+@query(f"""WITH {TURNS} SELECT line_no, pair FROM turns""")
+def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.shuffled(turns(spark, sf_dir).select("line_no", "pair"), 7, "line_no")
+
+
+@query()
+def sample_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten predictions to look at."""
+    return corpus.sample(systems(spark, sf_dir).select("pair", "line_no", "system", "hyp"), 10, seed=3)
+
+
+_LEFT = " " + " ".join(["؟", "۔", "،", "ٮ۪", "ଯ଼"])
+_CODE = "['urd_Arab', 'ory_Orya', 'kas_Aran', 'eng_Latn'][line_no % 4 + 1]"
+
+
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, line_no::INT AS line_no, text || '{_LEFT}' AS x, {_CODE} AS code FROM lines)
+SELECT doc_id, line_no, CASE WHEN right(code, 5) IN ('_Arab', '_Aran') THEN replace(replace(replace(replace(x, ' ؟', '؟'), ' ۔', '۔'), ' ،', '،'), 'ٮ۪', 'ؠ')
+  WHEN code LIKE 'ory%' THEN replace(x, 'ଯ଼', 'ୟ') ELSE x END AS out FROM m""")
+def script_mend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.get(F.array(*(F.lit(c) for c in ("urd_Arab", "ory_Orya", "kas_Aran", "eng_Latn"))), F.col("line_no") % 4)
+    return lines(spark, sf_dir).select("doc_id", "line_no", tx.mend_script(F.concat("text", F.lit(_LEFT)), code).alias("out"))
+
+
+@query(SQL["dnt_wrap"])
+def tags_mend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags that were taken apart, and digits between them that were spaced, against the texts before."""
+    raw = lines(spark, sf_dir).select("doc_id", "line_no", tx.wrap(_mixed()).alias("raw"))
+    apart = F.replace(F.replace(F.regexp_replace("raw", "([0-9])([:/.][0-9])(?=[^<]*</dnt>)", "$1 $2"), F.lit("<dnt>"), F.lit("< dnt >")), F.lit("</dnt>"), F.lit("< / dnt >"))
+    return raw.select("doc_id", "line_no", tx.mend_tags(apart, F.col("raw")).alias("out"))

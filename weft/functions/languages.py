@@ -6,89 +6,214 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Code of language and script, code for processing, unique short code.
-LANGUAGES = """
-asm_Beng as as
-awa_Deva hi awa
-ben_Beng bn bn
-bho_Deva hi bho
-brx_Deva hi brx
-doi_Deva hi doi
-eng_Latn en en
-gom_Deva kK gom
-guj_Gujr gu gu
-hin_Deva hi hi
-hne_Deva hi hne
-kan_Knda kn kn
-kas_Arab ur ksa
-kas_Deva hi ksd
-kha_Latn en kha
-lus_Latn en lus
-mag_Deva hi mag
-mai_Deva hi mai
-mal_Mlym ml ml
-mar_Deva mr mr
-mni_Beng bn mnib
-mni_Mtei hi mnim
-npi_Deva ne ne
-ory_Orya or or
-pan_Guru pa pa
-san_Deva hi sa
-sat_Olck or sat
-snd_Arab ur sda
-snd_Deva hi sdd
-tam_Taml ta ta
-tel_Telu te te
-urd_Arab ur ur
-"""
+LANGUAGES = [
+    ("asm_Beng", "as", "as"),
+    ("awa_Deva", "hi", "awa"),
+    ("ben_Beng", "bn", "bn"),
+    ("bho_Deva", "hi", "bho"),
+    ("brx_Deva", "hi", "brx"),
+    ("doi_Deva", "hi", "doi"),
+    ("eng_Latn", "en", "en"),
+    ("gom_Deva", "kK", "gom"),
+    ("guj_Gujr", "gu", "gu"),
+    ("hin_Deva", "hi", "hi"),
+    ("hne_Deva", "hi", "hne"),
+    ("kan_Knda", "kn", "kn"),
+    ("kas_Arab", "ur", "ksa"),
+    ("kas_Deva", "hi", "ksd"),
+    ("kha_Latn", "en", "kha"),
+    ("lus_Latn", "en", "lus"),
+    ("mag_Deva", "hi", "mag"),
+    ("mai_Deva", "hi", "mai"),
+    ("mal_Mlym", "ml", "ml"),
+    ("mar_Deva", "mr", "mr"),
+    ("mni_Beng", "bn", "mnib"),
+    ("mni_Mtei", "hi", "mnim"),
+    ("npi_Deva", "ne", "ne"),
+    ("ory_Orya", "or", "or"),
+    ("pan_Guru", "pa", "pa"),
+    ("san_Deva", "hi", "sa"),
+    ("sat_Olck", "or", "sat"),
+    ("snd_Arab", "ur", "sda"),
+    ("snd_Deva", "hi", "sdd"),
+    ("tam_Taml", "ta", "ta"),
+    ("tel_Telu", "te", "te"),
+    ("urd_Arab", "ur", "ur"),
+]
 
 # Further short codes of languages written in two scripts.
-TWO_SCRIPTS = """
-ks kas_Arab
-ks_Deva kas_Deva
-mni mni_Mtei
-mni_Beng mni_Beng
-sd snd_Arab
-sd_Deva snd_Deva
-"""
-
-# Languages of each punctuation convention.
-PUNCTUATION = {
-    "hi": "asm_Beng ben_Beng brx_Deva doi_Deva gom_Deva guj_Gujr hin_Deva kan_Knda kas_Deva mai_Deva mar_Deva mal_Mlym mni_Beng npi_Deva ory_Orya pan_Guru san_Deva sat_Olck snd_Deva tam_Taml tel_Telu",
-    "en": "eng_Latn mni_Mtei",
-    "ar": "kas_Arab snd_Arab urd_Arab",
-}
-
-# Languages that each system supports, and its codes for them where they differ from the short code.
-SYSTEMS = {
-    "m2m100": "eng_Latn:en ben_Beng:bn guj_Gujr:gu hin_Deva:hi kan_Knda:kn mal_Mlym:ml mar_Deva:mr npi_Deva:ne ory_Orya:or pan_Guru:pa snd_Arab:sd tam_Taml:ta urd_Arab:ur",
-    "mbart": "eng_Latn:en_XX guj_Gujr:gu_IN hin_Deva:hi_IN npi_Deva:ne_NP ben_Beng:bn_IN mal_Mlym:ml_IN mar_Deva:mr_IN tam_Taml:ta_IN tel_Telu:te_IN urd_Arab:ur_PK",
-    "nllb": "asm_Beng ben_Beng guj_Gujr eng_Latn hin_Deva kas_Deva kas_Arab kan_Knda mal_Mlym mai_Deva mar_Deva mni_Beng npi_Deva ory_Orya pan_Guru san_Deva snd_Arab sat_Olck:sat_Beng tam_Taml tel_Telu urd_Arab",
-    "google": "asm_Beng:as ben_Beng:bn doi_Deva:doi eng_Latn:en gom_Deva:gom guj_Gujr:gu hin_Deva:hi kan_Knda:kn mai_Deva:mai mal_Mlym:ml mar_Deva:mr mni_Mtei:mni-Mtei npi_Deva:ne ory_Orya:or pan_Guru:pa san_Deva:sa sat_Olck:sat snd_Arab:sd tam_Taml:ta tel_Telu:te urd_Arab:ur",
-    "azure": "asm_Beng:as ben_Beng:bn brx_Deva:brx doi_Deva:doi eng_Latn:en gom_Deva:gom guj_Gujr:gu hin_Deva:hi kan_Knda:kn kas_Arab:ks kas_Deva:ks_Deva mai_Deva:mai mal_Mlym:ml mar_Deva:mr mni_Beng:mni_Beng mni_Mtei:mni npi_Deva:ne ory_Orya:or pan_Guru:pa san_Deva:sa sat_Olck:sat snd_Arab:sd snd_Deva:sd_Deva tam_Taml:ta tel_Telu:te urd_Arab:ur",
-    "comet": "asm_Beng ben_Beng guj_Gujr hin_Deva kan_Knda mal_Mlym mar_Deva ory_Orya pan_Guru tam_Taml tel_Telu urd_Arab",
-}
+TWO_SCRIPTS = [
+    ("ks", "kas_Arab"),
+    ("ks_Deva", "kas_Deva"),
+    ("mni", "mni_Mtei"),
+    ("mni_Beng", "mni_Beng"),
+    ("sd", "snd_Arab"),
+    ("sd_Deva", "snd_Deva"),
+]
+
+# The punctuation convention of each language.
+PUNCTUATION = [
+    ("asm_Beng", "hi"),
+    ("ben_Beng", "hi"),
+    ("brx_Deva", "hi"),
+    ("doi_Deva", "hi"),
+    ("gom_Deva", "hi"),
+    ("guj_Gujr", "hi"),
+    ("hin_Deva", "hi"),
+    ("kan_Knda", "hi"),
+    ("kas_Deva", "hi"),
+    ("mai_Deva", "hi"),
+    ("mar_Deva", "hi"),
+    ("mal_Mlym", "hi"),
+    ("mni_Beng", "hi"),
+    ("npi_Deva", "hi"),
+    ("ory_Orya", "hi"),
+    ("pan_Guru", "hi"),
+    ("san_Deva", "hi"),
+    ("sat_Olck", "hi"),
+    ("snd_Deva", "hi"),
+    ("tam_Taml", "hi"),
+    ("tel_Telu", "hi"),
+    ("eng_Latn", "en"),
+    ("mni_Mtei", "en"),
+    ("kas_Arab", "ar"),
+    ("snd_Arab", "ar"),
+    ("urd_Arab", "ar"),
+]
+
+# Languages that each system supports, and the system's code for them.
+SYSTEMS = [
+    ("m2m100", "eng_Latn", "en"),
+    ("m2m100", "ben_Beng", "bn"),
+    ("m2m100", "guj_Gujr", "gu"),
+    ("m2m100", "hin_Deva", "hi"),
+    ("m2m100", "kan_Knda", "kn"),
+    ("m2m100", "mal_Mlym", "ml"),
+    ("m2m100", "mar_Deva", "mr"),
+    ("m2m100", "npi_Deva", "ne"),
+    ("m2m100", "ory_Orya", "or"),
+    ("m2m100", "pan_Guru", "pa"),
+    ("m2m100", "snd_Arab", "sd"),
+    ("m2m100", "tam_Taml", "ta"),
+    ("m2m100", "urd_Arab", "ur"),
+    ("mbart", "eng_Latn", "en_XX"),
+    ("mbart", "guj_Gujr", "gu_IN"),
+    ("mbart", "hin_Deva", "hi_IN"),
+    ("mbart", "npi_Deva", "ne_NP"),
+    ("mbart", "ben_Beng", "bn_IN"),
+    ("mbart", "mal_Mlym", "ml_IN"),
+    ("mbart", "mar_Deva", "mr_IN"),
+    ("mbart", "tam_Taml", "ta_IN"),
+    ("mbart", "tel_Telu", "te_IN"),
+    ("mbart", "urd_Arab", "ur_PK"),
+    ("nllb", "asm_Beng", "asm_Beng"),
+    ("nllb", "ben_Beng", "ben_Beng"),
+    ("nllb", "guj_Gujr", "guj_Gujr"),
+    ("nllb", "eng_Latn", "eng_Latn"),
+    ("nllb", "hin_Deva", "hin_Deva"),
+    ("nllb", "kas_Deva", "kas_Deva"),
+    ("nllb", "kas_Arab", "kas_Arab"),
+    ("nllb", "kan_Knda", "kan_Knda"),
+    ("nllb", "mal_Mlym", "mal_Mlym"),
+    ("nllb", "mai_Deva", "mai_Deva"),
+    ("nllb", "mar_Deva", "mar_Deva"),
+    ("nllb", "mni_Beng", "mni_Beng"),
+    ("nllb", "npi_Deva", "npi_Deva"),
+    ("nllb", "ory_Orya", "ory_Orya"),
+    ("nllb", "pan_Guru", "pan_Guru"),
+    ("nllb", "san_Deva", "san_Deva"),
+    ("nllb", "snd_Arab", "snd_Arab"),
+    ("nllb", "sat_Olck", "sat_Beng"),
+    ("nllb", "tam_Taml", "tam_Taml"),
+    ("nllb", "tel_Telu", "tel_Telu"),
+    ("nllb", "urd_Arab", "urd_Arab"),
+    ("google", "asm_Beng", "as"),
+    ("google", "ben_Beng", "bn"),
+    ("google", "doi_Deva", "doi"),
+    ("google", "eng_Latn", "en"),
+    ("google", "gom_Deva", "gom"),
+    ("google", "guj_Gujr", "gu"),
+    ("google", "hin_Deva", "hi"),
+    ("google", "kan_Knda", "kn"),
+    ("google", "mai_Deva", "mai"),
+    ("google", "mal_Mlym", "ml"),
+    ("google", "mar_Deva", "mr"),
+    ("google", "mni_Mtei", "mni-Mtei"),
+    ("google", "npi_Deva", "ne"),
+    ("google", "ory_Orya", "or"),
+    ("google", "pan_Guru", "pa"),
+    ("google", "san_Deva", "sa"),
+    ("google", "sat_Olck", "sat"),
+    ("google", "snd_Arab", "sd"),
+    ("google", "tam_Taml", "ta"),
+    ("google", "tel_Telu", "te"),
+    ("google", "urd_Arab", "ur"),
+    ("azure", "asm_Beng", "as"),
+    ("azure", "ben_Beng", "bn"),
+    ("azure", "brx_Deva", "brx"),
+    ("azure", "doi_Deva", "doi"),
+    ("azure", "eng_Latn", "en"),
+    ("azure", "gom_Deva", "gom"),
+    ("azure", "guj_Gujr", "gu"),
+    ("azure", "hin_Deva", "hi"),
+    ("azure", "kan_Knda", "kn"),
+    ("azure", "kas_Arab", "ks"),
+    ("azure", "kas_Deva", "ks_Deva"),
+    ("azure", "mai_Deva", "mai"),
+    ("azure", "mal_Mlym", "ml"),
+    ("azure", "mar_Deva", "mr"),
+    ("azure", "mni_Beng", "mni_Beng"),
+    ("azure", "mni_Mtei", "mni"),
+    ("azure", "npi_Deva", "ne"),
+    ("azure", "ory_Orya", "or"),
+    ("azure", "pan_Guru", "pa"),
+    ("azure", "san_Deva", "sa"),
+    ("azure", "sat_Olck", "sat"),
+    ("azure", "snd_Arab", "sd"),
+    ("azure", "snd_Deva", "sd_Deva"),
+    ("azure", "tam_Taml", "ta"),
+    ("azure", "tel_Telu", "te"),
+    ("azure", "urd_Arab", "ur"),
+    ("comet", "asm_Beng", "asm_Beng"),
+    ("comet", "ben_Beng", "ben_Beng"),
+    ("comet", "guj_Gujr", "guj_Gujr"),
+    ("comet", "hin_Deva", "hin_Deva"),
+    ("comet", "kan_Knda", "kan_Knda"),
+    ("comet", "mal_Mlym", "mal_Mlym"),
+    ("comet", "mar_Deva", "mar_Deva"),
+    ("comet", "ory_Orya", "ory_Orya"),
+    ("comet", "pan_Guru", "pan_Guru"),
+    ("comet", "tam_Taml", "tam_Taml"),
+    ("comet", "tel_Telu", "tel_Telu"),
+    ("comet", "urd_Arab", "urd_Arab"),
+]
 
 #: Scripts whose text is not converted to the common script.
 OWN_SCRIPTS = ["Arab", "Aran", "Olck", "Mtei", "Latn"]
 
 
 def language_rows() -> list[tuple[str, str, str]]:
-    return [tuple(x.split()) for x in LANGUAGES.split("\n") if x]
+    return LANGUAGES
 
 
 def iso_rows() -> list[tuple[str, str]]:
     """Short code and full code; the codes of two-script languages come on top."""
-    known = {iso: flores for flores, _, iso in language_rows()}
-    return sorted((known | dict(x.split() for x in TWO_SCRIPTS.split("\n") if x)).items())
+    known = {iso: flores for flores, _, iso in LANGUAGES}
+    return sorted((known | dict(TWO_SCRIPTS)).items())
 
 
 def punctuation_rows() -> list[tuple[str, str]]:
-    return sorted((code, kind) for kind, codes in PUNCTUATION.items() for code in codes.split())
+    return sorted(PUNCTUATION)
 
 
 def system_rows() -> list[tuple[str, str, str]]:
     """System, language, the system's code for it."""
-    return [(s, c.partition(":")[0], c.partition(":")[2] or c) for s, codes in SYSTEMS.items() for c in codes.split()]
+    return SYSTEMS
+
+
+def systems_named(systems: DataFrame, part: str) -> DataFrame:
+    """Rows of the systems (column system) whose name holds part."""
+    return systems.filter(F.contains("system", F.lit(part)))
 
 
 def language_dim(spark: SparkSession) -> DataFrame:

@@ -31,7 +31,7 @@ CORPUS_START = [
 ]
 REQUEST = [
     ("\r", ""), *BRACKETS, *INNER_BRACKETS, *COLONS, ("`", "'"), *DOUBLE, *DASHES, ("´", "'"), ("‘", "'"), ("‚", "'"), ("’", "'"), ("''", '"'), ("…", "..."), *GUILLEMETS, *NO_BREAK,
-    ("re: {2,}", " "), (r"re:\.{2,}", "."), *AFTER_BRACKET, *PERCENT, *ENGLISH_QUOTE, (f"re:([0-9]){N}([0-9])", "$1.$2"),
+    ("re: {2,}", " "), (r"re:\.{2,}", "."), *AFTER_BRACKET, (r"re:(?U)(\d) %", "$1%"), *ENGLISH_QUOTE, (f"re:(?U)(\\d){N}(\\d)", "$1.$2"),
 ]
 
 #: Languages in which a no-break space between digits becomes a comma.
@@ -56,5 +56,5 @@ def normalize_corpus(x: Column, lang: str = "en") -> Column:
 
 
 def normalize_request(x: Column) -> Column:
-    """The convention for requests: English rules whatever the language."""
+    """The convention for requests: English rules whatever the language; digits of any script."""
     return F.trim(apply_steps(x, REQUEST))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.text import loose_key, pieces_of, strict_key, strip
+from weft.functions.text import loose_key, pieces_of, squeeze, strict_key, strip
 
 
 def union_distinct(domains: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -40,13 +40,22 @@ def anti_join_any(df: DataFrame, pools: list[tuple[list[Column], DataFrame]]) ->
     return df
 
 
+def flagged(df: DataFrame, keys: list[Column], pool: DataFrame, flag: str) -> DataFrame:
+    """df and whether the pool, whose columns are taken in the order of the keys, holds the row's keys.  df is read once."""
+    names = [f"__k{j}" for j in range(len(keys))]
+    held = pool.toDF(*names).distinct().withColumn("__in", F.lit(True))
+    joined = df.join(held, reduce(lambda a, b: a & b, (k == F.col(n) for k, n in zip(keys, names, strict=True))), "left")
+    return joined.select(*df.columns, F.coalesce("__in", F.lit(False)).alias(flag))
+
+
 def decontaminate_loose(bitext: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """bitext without rows whose source or target has the loose key of a benchmark text in its language.
+    """bitext without rows whose source or target has the loose key of a benchmark text in its language; texts on one line, in single blanks.
 
     benchmark: (lang, text); blank texts are no keys.
     """
     pool = benchmark.filter(strip(F.col("text")) != "").select("lang", loose_key(F.col("text")).alias("key"))
-    return anti_join_any(bitext, [([F.col("src_lang"), loose_key(F.col("src_text"))], pool), ([F.col("tgt_lang"), loose_key(F.col("tgt_text"))], pool)])
+    clean = bitext.withColumn("src_text", squeeze(F.col("src_text"))).withColumn("tgt_text", squeeze(F.col("tgt_text")))
+    return anti_join_any(clean, [([F.col("src_lang"), loose_key(F.col("src_text"))], pool), ([F.col("tgt_lang"), loose_key(F.col("tgt_text"))], pool)])
 
 
 def decontaminate_strict(bitext: DataFrame, devtest: DataFrame) -> DataFrame:
@@ -93,8 +102,11 @@ def offsets(stats: DataFrame) -> DataFrame:
 
 
 def expand_runs(stats: DataFrame) -> DataFrame:
-    """One row (src_lang, tgt_lang) for each counted line."""
-    return stats.filter("cnt > 0").select("src_lang", "tgt_lang", F.explode(F.sequence(F.lit(1), F.col("cnt"))).alias("i")).drop("i")
+    """One row (src_lang, tgt_lang) for each counted line: blocks of lines are dealt out, and each is spread where it lands."""
+    block = 1 << 16
+    blocks = stats.filter("cnt > 0").select("src_lang", "tgt_lang", "cnt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cnt") - 1, F.lit(block).cast("long"))).alias("from"))
+    dealt = blocks.repartition("src_lang", "tgt_lang", "from")
+    return dealt.select("src_lang", "tgt_lang", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), F.col("cnt") - F.col("from")))).alias("i")).drop("i")
 
 
 def language_pairs(languages: DataFrame, ordered: bool = True) -> DataFrame:
@@ -108,14 +120,55 @@ def add_tags(bitext: DataFrame, text_col: str = "src_text") -> DataFrame:
     return bitext.withColumn(text_col, F.concat_ws(" ", "src_lang", "tgt_lang", strip(F.col(text_col))))
 
 
+def _ranked(df: DataFrame, by: str, order: str, to: str, block: int = 1 << 20) -> DataFrame:
+    """df and each row's place from 0 within its pair, in the order of a whole number.
+
+    Rows are ranked within blocks of that number and shifted by the sizes of the blocks before, so no task holds a large pair.
+    """
+    held = df.withColumn("__block", F.floor(F.col(order) / block))
+    sizes = held.groupBy(by, "__block").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    sizes = sizes.select(by, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = held.join(sizes, [by, "__block"]).withColumn("__place", F.col("__before") + F.row_number().over(Window.partitionBy(by, "__block").orderBy(order)) - 1)
+    return placed.withColumn(to, F.col("__place").cast("long")).select(*df.columns, *([] if to in df.columns else [to]))
+
+
 def renumber(df: DataFrame, by: str = "pair", order: str = "line_no") -> DataFrame:
     """Line numbers from 0 within each pair, in the old order."""
-    return df.withColumn(order, (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
+    return _ranked(df, by, order, order)
 
 
 def batches(df: DataFrame, size: int, by: str = "pair", order: str = "line_no") -> DataFrame:
     """df and batch: consecutive rows of a pair, `size` a batch."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("long"))
+    return _ranked(df, by, order, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
+
+
+def to_full_codes(bitext: DataFrame, isos: DataFrame) -> DataFrame:
+    """bitext with full codes of its languages in place of short ones, also in its pairs; other codes stay. isos: (iso, flores), a row each language."""
+    for c in ("src_lang", "tgt_lang"):
+        told = isos.select(F.col("iso").alias(c), F.col("flores").alias("__full"))
+        bitext = bitext.join(F.broadcast(told), c, "left").withColumn(c, F.coalesce("__full", c)).select(bitext.columns)
+    return bitext.withColumn("pair", F.concat_ws("-", "src_lang", "tgt_lang"))
+
+
+def pivot_first(bitext: DataFrame, pivot: str = "eng_Latn") -> DataFrame:
+    """Pairs with the pivot language, with it as their source."""
+    turn = F.col("tgt_lang") == pivot
+    swap = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a)
+    turned = {"src_lang": "tgt_lang", "tgt_lang": "src_lang", "src_text": "tgt_text", "tgt_text": "src_text"}
+    kept = bitext.filter((F.col("src_lang") == pivot) | turn).select(*(swap(c, turned[c]) if c in turned else F.col(c) for c in bitext.columns))
+    return kept.withColumn("pair", F.concat_ws("-", "src_lang", "tgt_lang"))
+
+
+def complete_pairs(files: DataFrame) -> DataFrame:
+    """Of files (pair, lang, ...) those of pairs that have both of their languages."""
+    both = files.filter(F.col("lang").isin(F.substring_index("pair", "-", 1), F.substring_index("pair", "-", -1))).groupBy("pair").agg(F.count_distinct("lang").alias("n"))
+    return files.join(both.filter("n = 2").select("pair"), "pair", "left_semi")
+
+
+def sample(df: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
+    """n rows drawn at random."""
+    return df.orderBy(F.rand(seed)).limit(n)
 
 
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:

@@ -1,16 +1,26 @@
 """Corpus-level translation metrics from n-gram statistics that add up over rows.
 
-Input rows: (group columns..., row id, hyp, ref).  Statistics are computed per row, so one shuffle by row serves every metric
-and every resample; scores come from their sums.
+Input rows: (group columns..., row id, hyp, ref).  Statistics are computed per row, beside the scan; what is shuffled is a row's
+few counts, and scores and resamples come from their sums.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions.punctuation import apply_steps
-from weft.functions.text import let, strip
+from weft.functions.text import strip
+from weft.session import ship
+
+#: Bytes of text that are counted at a time.
+MOST_BYTES = 1 << 20
 
 # The steps of the mteval-v13a tokeniser, on a text with a blank at both ends.
 V13A = [
@@ -52,20 +62,61 @@ def words_and_marks(x: Column) -> Column:
     return F.flatten(F.transform(tokens(x), parts))
 
 
-def _grams(items: Column, n: int) -> Column:
-    last = F.size(items) - n
-    made = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(items, i + 1, F.lit(n)), "\u0001"))
-    return F.when(last >= 0, made).otherwise(F.array().cast("array<string>"))
+def _codes(hyp: pa.Array, ref: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each item of all texts, hypotheses first, and how many items each text has; items are characters, or a list's words."""
+    both = pa.concat_arrays([hyp, ref])
+    if pa.types.is_list(both.type):
+        return both.flatten().dictionary_encode().indices.to_numpy().astype(np.int64), pc.fill_null(pc.list_value_length(both), 0).to_numpy().astype(np.int64)
+    texts = "".join(pc.fill_null(both, "").to_pylist())
+    return np.frombuffer(texts.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), pc.fill_null(pc.utf8_length(both), 0).to_numpy().astype(np.int64)
+
+
+def _row_counts(hyp: pa.Array, ref: pa.Array, orders: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order n: n, and each row's clipped matches, n-grams of the hypothesis and of the reference.
+
+    An n-gram's number is that of its row, the n-gram before it less its first item, and its last item: equal numbers, equal n-grams.
+    """
+    rows = len(hyp)
+    items, sizes = _codes(hyp, ref)
+    text = np.repeat(np.arange(2 * rows), sizes)
+    left = np.cumsum(sizes)[text] - np.arange(len(items))  # items from here to the text's end
+    base = int(items.max(initial=0)) + 1
+    gram, at = (text % rows).astype(np.int64) if rows else text, np.arange(len(items))
+    for n in range(1, orders.stop):
+        at = at[left[at] >= n]
+        named, first, gram_at = np.unique(gram[at] * base + items[at + n - 1], return_index=True, return_inverse=True)
+        gram = np.zeros(len(items), np.int64)
+        gram[at] = gram_at
+        if n not in orders:
+            continue
+        mine = text[at] < rows
+        counts = [np.bincount(gram_at[side], minlength=len(named)) for side in (mine, ~mine)]
+        row = text[at[first]] % rows if rows else first
+        yield n, *(np.bincount(row, weights=c, minlength=rows).astype(np.int64) for c in (np.minimum(*counts), *counts))
 
 
 def overlaps(rows: DataFrame, keys: list[str], hyp: Column, ref: Column, orders: range, kind: str) -> DataFrame:
-    """(keys, kind, n, matched, hyp_n, ref_n): clipped matches and totals of each order for each row."""
-    # items are worked out once a text, not once an n-gram
-    of = lambda side, x: let(x, lambda items: F.array(*(F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), _grams(items, n).alias("grams")) for n in orders)))
-    sides = F.explode(F.concat(of(0, hyp), of(1, ref)))
-    grams = rows.select(*keys, sides.alias("s")).select(*keys, "s.side", "s.n", F.explode("s.grams").alias("gram"))
-    counted = grams.groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("__h"), F.count_if(F.col("side") == 1).alias("__r"))
-    return counted.groupBy(*keys, "n").agg(F.sum(F.least("__h", "__r")).alias("matched"), F.sum("__h").alias("hyp_n"), F.sum("__r").alias("ref_n")).withColumn("kind", F.lit(kind))
+    """(keys, n, matched, hyp_n, ref_n, kind): clipped matches and totals of each order for each row, worked out where the row is.
+
+    hyp, ref: texts, whose items are their characters, or arrays of words.
+    """
+    ship(rows.sparkSession)
+    given = rows.select(*keys, hyp.alias("__hyp"), ref.alias("__ref"))
+    counts = [T.StructField(c, T.LongType()) for c in ("matched", "hyp_n", "ref_n")]
+    schema = T.StructType([*(given.schema[k] for k in keys), T.StructField("n", T.IntegerType()), *counts])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = max(1, batch.num_rows * MOST_BYTES // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, most):
+                part = batch.slice(i, most)
+                for n, *found in _row_counts(part.column("__hyp"), part.column("__ref"), orders):
+                    some = np.flatnonzero(found[1] + found[2])
+                    own = [part.column(k).take(pa.array(some)) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(some), n, np.int32)), *(pa.array(c[some]) for c in found)], names)
+
+    return given.mapInArrow(run, schema).withColumn("kind", F.lit(kind))
 
 
 def bleu_statistics(rows: DataFrame, keys: list[str], tokenize: str = "none") -> DataFrame:
@@ -75,8 +126,7 @@ def bleu_statistics(rows: DataFrame, keys: list[str], tokenize: str = "none") ->
 
 
 def chrf_statistics(rows: DataFrame, keys: list[str], word_order: int = 0) -> DataFrame:
-    letters = lambda x: F.split(F.regexp_replace(x, r"(?U)\s+", ""), "")
-    own = lambda x: F.filter(letters(x), lambda c: c != "")
+    own = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
     chars = overlaps(rows, keys, own(F.col("hyp")), own(F.col("ref")), range(1, 7), "char")
     if not word_order:
         return chars
@@ -131,3 +181,19 @@ def paired_bootstrap(statistics: DataFrame, row: str, system: str, samples: int
     drawn = statistics.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("times", draws(F.col(row), F.col("sample"))).filter("times > 0")
     weighted = drawn.select("sample", system, "n", *((F.col(c) * F.col("times")).alias(c) for c in ("matched", "hyp_n", "ref_n")))
     return bleu(weighted, ["sample", system])
+
+
+def significance(statistics: DataFrame, row: str, system: str, baseline: str, samples: int = 200) -> DataFrame:
+    """(system, bleu, mean, p_value): each system's score, its mean over resamples, and how likely a difference to the baseline as
+    large as that seen is by chance: the share of resamples (with one added to both) whose difference lies further from the
+    mean difference than the difference seen is large.  The baseline has no p_value.  Systems are few, so its scores are joined to all."""
+    drawn = paired_bootstrap(statistics, row, system, samples).select("sample", F.col(system).alias("system"), "bleu")
+    whole = bleu(statistics, [system]).select(F.col(system).alias("system"), F.col("bleu").alias("whole"))
+    base, seen = drawn.filter(F.col("system") == baseline), whole.filter(F.col("system") == baseline)
+    both = drawn.join(base.select("sample", F.col("bleu").alias("base")), "sample").join(whole, "system").withColumn("diff", F.abs(F.col("bleu") - F.col("base")))
+    means = both.groupBy("system").agg(F.avg("diff").alias("middle"), F.avg("bleu").alias("mean"))
+    seen = seen.select(F.col("whole").alias("seen"), F.lit(1).alias("one"))
+    told = both.join(means, "system").withColumn("one", F.lit(1)).join(F.broadcast(seen), "one")  # one row
+    beyond = F.count_if(F.abs(F.col("diff") - F.col("middle")) > F.abs(F.col("whole") - F.col("seen")))
+    p = F.when(F.col("system") != baseline, (beyond + 1) / (F.count("*") + 1)).alias("p_value")
+    return told.groupBy("system", F.col("whole").alias("bleu"), "mean").agg(p).select("system", "bleu", "mean", "p_value")

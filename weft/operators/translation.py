@@ -20,6 +20,16 @@ def echo(texts: Sequence[str], src: str, tgt: str) -> list[str]:
     return [f"{tgt}: {t}" for t in texts]
 
 
+def _by_direction(texts: pd.Series, src: pd.Series, tgt: pd.Series, translator: Translator, batch: int) -> pd.Series:
+    done = pd.Series(index=texts.index, dtype=object)
+    for (a, b), own in texts.groupby([src, tgt], sort=False):
+        order = own.str.len().sort_values(kind="stable").index
+        for i in range(0, len(order), batch):
+            at = order[i : i + batch]
+            done.loc[at] = list(translator(own.loc[at].tolist(), a, b))
+    return done
+
+
 def translate(rows: DataFrame, translator: Translator, batch: int = 128, text_col: str = "text") -> DataFrame:
     """rows with text_col translated from column src to column tgt; the translator gets up to `batch` texts of one direction.
 
@@ -28,13 +38,7 @@ def translate(rows: DataFrame, translator: Translator, batch: int = 128, text_co
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            done = pd.Series(index=part.index, dtype=object)
-            for (src, tgt), own in part.groupby(["src", "tgt"], sort=False):
-                order = own[text_col].str.len().sort_values(kind="stable").index
-                for i in range(0, len(order), batch):
-                    at = order[i : i + batch]
-                    done.loc[at] = list(translator(own.loc[at, text_col].tolist(), src, tgt))
-            yield part.assign(**{text_col: done})
+            yield part.assign(**{text_col: _by_direction(part[text_col], part["src"], part["tgt"], translator, batch)})
 
     return rows.mapInPandas(run, rows.schema)
 
@@ -63,15 +67,20 @@ def translate_paragraphs(paragraphs: DataFrame, translator: Translator, keys: li
     return paragraphs.select(*keys).join(joined, keys, "left").select(*keys, F.coalesce("__done", F.lit("")).alias(text_col))
 
 
-def translate_routed(requests: DataFrame, translator: Translator, direct: list[str], text_col: str = "text") -> DataFrame:
+def translate_routed(requests: DataFrame, translator: Translator, direct: list[str], text_col: str = "text", batch: int = 128) -> DataFrame:
     """Requests translated by the model that covers them, or over the pivot in two steps; a pair no model covers is an error."""
-    rows = requests.withColumn("__hops", hops(F.col("src"), F.col("tgt"), direct)).withColumn("__src", F.col("src")).withColumn("__tgt", F.col("tgt"))
-    for i in range(2):
-        step = F.get(F.col("__hops"), i)
-        now = rows.withColumn("src", step["src"]).withColumn("tgt", step["tgt"])
-        active = translate(now.filter(step.isNotNull()), translator, text_col=text_col)
-        rows = active.unionByName(now.filter(step.isNull()))
-    return rows.drop("src", "tgt", "__hops").withColumnsRenamed({"__src": "src", "__tgt": "tgt"}).select(requests.columns)
+    step = hops(F.col("src"), F.col("tgt"), direct)
+    names = requests.columns
+    rows = requests.select(*names, *(F.get(step, i)[side].alias(f"__{side}{i}") for i in range(2) for side in ("src", "tgt")))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(2):  # both hops in one pass, so nothing is translated twice
+                active = part[part[f"__src{i}"].notna()]
+                part = part.assign(**{text_col: part[text_col].where(part[f"__src{i}"].isna(), _by_direction(active[text_col], active[f"__src{i}"], active[f"__tgt{i}"], translator, batch))})
+            yield part[names]
+
+    return rows.mapInPandas(run, requests.schema)
 
 
 def best_hypotheses(hypotheses: DataFrame, n: int = 1) -> DataFrame:

@@ -1,43 +1,41 @@
 """Reading line-aligned text into tables and writing it back.
 
-Files are read once into Parquet with a line number on every row; all later work is on tables.  A line's number comes from
-where it stands in its file: tasks read whole files, so no driver-side numbering and no shuffle is needed, and the many files
-of a corpus are read in parallel.
+Files are read once into Parquet with a line number on every row; all later work is on tables.  Files are split: a task reads a
+block of a file, and a line's number is its place in the block and the number of lines in the blocks before.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LINES = "path string, line_no long, text string"
-
+from weft.functions.text import strip
 
-def _split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        for path, content in zip(part["path"], part["content"], strict=True):
-            lines = bytes(content).decode("utf-8", "ignore").split("\n")
-            if lines and not lines[-1]:
-                lines.pop()  # the end of the last line, not a line of its own
-            for i in range(0, len(lines), 50_000):
-                own = lines[i : i + 50_000]
-                yield pd.DataFrame({"path": path, "line_no": range(i, i + len(own)), "text": own})
+LINES = "path string, line_no long, text string"
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, line_no, text) for each line of each file; paths that match nothing give no rows."""
+    """(path, line_no, text) for each line of each file; paths that match nothing give no rows.
+
+    Only a line feed ends a line.  Bytes that are no UTF-8 are left out.
+    """
     try:
-        files = spark.read.format("binaryFile").load(paths)
+        files = spark.read.option("lineSep", "\n").text(paths)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
         return spark.createDataFrame([], LINES)
-    return files.select("path", "content").mapInPandas(_split, LINES)
+    # a block's lines are read in order by one task, so these numbers rise by one within it
+    placed = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = placed.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a file
+    blocks = blocks.select("path", "block", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first")).alias("shift"))
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
+    return placed.join(blocks, ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("line_no"), text.alias("text"))
 
 
 def read_bitext(spark: SparkSession, root: str, split: str = "train", domain: str | None = None) -> DataFrame:
@@ -54,17 +52,13 @@ def read_bitext(spark: SparkSession, root: str, split: str = "train", domain: st
 
 def read_domains(spark: SparkSession, root: str, domains: list[str], split: str = "train") -> DataFrame:
     """Bitext of several domains; a domain without files adds nothing."""
-    read = [read_bitext(spark, f"{root}/{d}", split, d) for d in domains]
-    out = read[0]
-    for more in read[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, (read_bitext(spark, f"{root}/{d}", split, d) for d in domains))
 
 
 def read_benchmark(spark: SparkSession, root: str) -> DataFrame:
-    """(lang, line_no, text) from {root}/{lang}; blank lines are left out."""
+    """(lang, line_no, text) from {root}/{lang}; lines of nothing but white space, by Unicode's meaning, are left out."""
     lines = read_lines(spark, f"{root}/*").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("lang"), "line_no", "text")
-    return lines.filter(F.trim("text") != "")
+    return lines.filter(strip(F.col("text")) != "")
 
 
 def read_hypotheses(spark: SparkSession, path: str) -> DataFrame:
@@ -80,14 +74,15 @@ def hypotheses(lines: DataFrame) -> DataFrame:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Valid rows (token, freq) of a `token count` file, and the other lines."""
+    """Valid rows (token, freq, text) of a `token count` file, and the other lines."""
     return vocabulary(read_lines(spark, path))
 
 
 def vocabulary(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of two fields as (token, freq, text), freq being null where the second field is no number, and the other lines."""
     part = F.split(F.regexp_replace("text", "^[\r\n ]+|[\r\n ]+$", ""), " ", -1)
     valid = F.size(part) == 2
-    good = lines.filter(valid).select(F.get(part, F.lit(0)).alias("token"), F.get(part, F.lit(1)).cast("long").alias("freq"))
+    good = lines.filter(valid).select(F.get(part, F.lit(0)).alias("token"), F.get(part, F.lit(1)).try_cast("long").alias("freq"), "text")
     return good, lines.filter(~valid).withColumn("points", F.hex(F.encode("text", "UTF-32")))
 
 
@@ -100,8 +95,45 @@ def write_pair_counts(stats: DataFrame, path: str) -> None:
 
 
 def write_bitext(bitext: DataFrame, path: str) -> None:
-    """Parquet by pair and split, each pair's rows in the order of their lines."""
-    bitext.repartition("pair", "split").sortWithinPartitions("pair", "split", "line_no").write.mode("overwrite").partitionBy("pair", "split").parquet(path)
+    """Parquet by pair and split, in files of line ranges: a large pair goes to many tasks, and files hold their lines in order."""
+    keys = ["pair", "split", "line_no"]
+    bitext.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("pair", "split").parquet(path)
+
+
+def read_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, text) of a file to be translated, stripped: empty lines are left out before, so one of blanks alone stays, as an empty text."""
+    return read_lines(spark, path).filter(F.col("text") != "").select("line_no", strip(F.col("text")).alias("text"))
+
+
+def read_bitext_strict(spark: SparkSession, root: str, split: str = "train") -> DataFrame:
+    """As read_bitext(); a pair of different languages whose sides differ in length, or of which one is missing, is an error."""
+    at = r"([^/]+)-([^/-]+)/" + re.escape(split) + r"\.([^/]+)$"
+    sides = read_lines(spark, f"{root}/*-*/{split}.*").select(F.regexp_extract("path", at, 1).alias("s"), F.regexp_extract("path", at, 2).alias("t"), F.regexp_extract("path", at, 3).alias("lang")).filter("s <> t and lang in (s, t)")
+    sizes = sides.groupBy("s", "t").agg(F.count_if(F.col("lang") == F.col("s")).alias("n"), F.count_if(F.col("lang") == F.col("t")).alias("m"))
+    uneven = sizes.filter("n <> m").first()
+    if uneven:
+        raise ValueError("source and target differ in length: {s}-{t} {n} {m}".format(**uneven.asDict()))
+    return read_bitext(spark, root, split).filter("src_lang <> tgt_lang")
+
+
+def write_joint(bitext: DataFrame, path: str, src_lang: str = "SRC", tgt_lang: str = "TGT", split: str = "train") -> None:
+    """All pairs one after the other, in their order and that of their lines, as one source and one target text, and the counts of
+    pairs: {path}/{split}.{SRC or TGT}/part-* and {path}/{split}.metadata.  The parts of both sides hold the same lines."""
+    keys = ["src_lang", "tgt_lang", "line_no"]
+    ordered = bitext.select(*keys, *(F.coalesce(c, F.lit("")).alias(c) for c in ("src_text", "tgt_text"))).orderBy(*keys)
+    rows = ordered.select("src_text", "tgt_text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    held = f"{path}/{split}.rows"
+    rows.write.mode("overwrite").parquet(held)  # sorted once for both sides
+    both = bitext.sparkSession.read.schema(rows.schema).parquet(held)
+    for name, col in ((src_lang, "src_text"), (tgt_lang, "tgt_text")):
+        both.repartitionByRange("part").sortWithinPartitions("part", "at").select(col).write.mode("overwrite").text(f"{path}/{split}.{name}")
+    counts = bitext.groupBy("src_lang", "tgt_lang").agg(F.count("*").alias("cnt"))
+    counts.orderBy("src_lang", "tgt_lang").write.mode("overwrite").csv(f"{path}/{split}.metadata", sep="\t")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """A report of scores (pair, system, metric, value), one line each, in order; a few lines for each pair."""
+    scores.select("pair", "system", "metric", "value").orderBy("pair", "system", "metric").write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def export_lines(bitext: DataFrame, path: str, text_col: str) -> None:
