@@ -214,3 +214,150 @@ def redacted(text):
     for a, b in reversed(runs):
         text = text[:a] + "[secret]" + text[b:]
     return text
+
+
+def pii_candidates(text, base):
+    """(start, stop, kinds, left, right, value): runs of tokens with a digit or an @ that look like identifiers, or else their tokens."""
+    import regex
+
+    token = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+    runs = list(regex.finditer(rf"(?<![^\x20\x09-\x0D]){token}(?:\x20{token})*+", text))
+    digits = lambda v: len(re.sub("[^0-9]", "", v))
+    shapes = [
+        lambda v: v.count("@") == 1 and 0 < v.index("@") < len(v) - 1,
+        lambda v: digits(v) > 0 and re.fullmatch("[0-9A-Fa-f.:]+", v) is not None and len(re.findall("[.:]", v)) >= 2,
+        lambda v: re.fullmatch(r"[0-9](?:[\x20.-]?[0-9])+", v) is not None and 12 <= digits(v) <= 19,
+        lambda v: re.fullmatch(r"[+(]?[0-9](?:[\x20()./-]{0,2}[0-9])+", v) is not None and 7 <= digits(v) <= 15,
+    ]
+
+    def bare(start, value):
+        head = re.sub("^[^A-Za-z0-9+(]+", "", value)
+        tail = re.sub("[^A-Za-z0-9]+$", "", head)
+        own = tail[1:] if tail[:1] == "(" and ")" not in tail else tail
+        first = start + len(value) - len(head) + len(tail) - len(own)
+        kinds = [k for k, f in enumerate(shapes) if f(own)]
+        return (first, first + len(own), kinds, own) if kinds and not any(a < first + len(own) and first < b for a, _, b in base) else None
+
+    out = []
+    for n, m in enumerate(runs):
+        left, right = beside(text[runs[n - 1].end() if n else 0 : m.start()], text[m.end() : runs[n + 1].start() if n + 1 < len(runs) else len(text)])
+        found = [bare(m.start(), m[0])]
+        if found == [None]:
+            at, found = m.start(), []
+            for t in m[0].split(" "):
+                found.append(bare(at, t))
+                at += len(t) + 1
+        out += [(c[0], c[1], c[2], left, right, c[3]) for c in found if c]
+    return out
+
+
+def beside(before, after):
+    """The last word before and the first one after, bare and in lower case."""
+    import regex
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in (before, after)]
+    return tuple(regex.sub(r"[^\p{L}\p{N}]+", "", x[i]).lower() if x else "" for x, i in zip(words, (-1, 0), strict=True))
+
+
+def pii_spans(texts, support=4, confidence=0.5, rounds=4):
+    """All spans of each text by the bootstrapped method: base spans and what patterns find."""
+    import regex
+
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9]){13,}", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    texts = [t or "" for t in texts]
+    base = [pii(t) for t in texts]
+    edges, open_, words_of = set(), [], defaultdict(set)
+    for n, t in enumerate(texts):
+        for k, p in enumerate(patterns):
+            found = list(re.finditer(p, t))
+            for i, m in enumerate(found):
+                if (m.start(), k, m.end()) in base[n]:
+                    left, right = beside(t[found[i - 1].end() if i else 0 : m.start()], t[m.end() : found[i + 1].start() if i + 1 < len(found) else len(t)])
+                    edges |= {(c, k, m[0], True) for c in ("<" + left, ">" + right) if len(c) > 1}
+        for start, stop, kinds, left, right, value in pii_candidates(t, base[n]):
+            own = [c for c in ("<" + left, ">" + right) if len(c) > 1]
+            edges |= {(c, k, value, False) for c in own for k in kinds}
+            open_.append((n, start, stop, value, own))
+        for w in re.split(r"[\x20\x09-\x0D]+", regex.sub(r"[^\p{L}\p{N}\x20\x09-\x0D]+", "", t).lower()):
+            words_of[w].add(t)
+    often = Counter((c, k) for c, k, *_ in edges)
+    edges = {e for e in edges if often[e[:2]] >= support and words_of[e[0][1:]]}
+    seeds = {(k, v) for _, k, v, seed in edges if seed}
+    score = {s: 1.0 for s in seeds}
+    found = {}
+    for _ in range(rounds):
+        total, known = defaultdict(float), Counter()
+        for c, k, v, _ in edges:
+            total[c, k] += score.get((k, v), 0.0)
+            known[c, k] += score.get((k, v), 0.0) >= confidence
+        found = {p: min(1.0, total[p] / len(words_of[p[0][1:]])) for p in total if known[p] >= support}
+        miss = defaultdict(lambda: 1.0)
+        for c, k, v, _ in edges:
+            if (c, k) in found:
+                miss[k, v] *= 1 - found[c, k]
+        score = {key: 1 - m for key, m in miss.items()} | {s: 1.0 for s in seeds}
+    best = {}
+    for (k, v), s in score.items():
+        if s >= confidence:
+            best[v] = max(best.get(v, (0, -9)), (s, -k))
+    out = [set(b) for b in base]
+    for n, start, stop, value, own in open_:
+        if value in best:
+            k = -best[value][1]
+            if any((c, k) in found and (c, k, value, False) in edges for c in own):
+                out[n].add((start, k, stop))
+    return out
+
+
+def language_model(rows, model, rounds=2):
+    """Languages and the probability of each piece (None: another character) in each, by expectation-maximisation over whole words."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=model)
+    names = {own.id_to_piece(i).lower() for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i))} - {""}
+    names = sorted(names)
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        counts[lang].update(plain_words(text))
+    p = {lang: {x: 1.0 / (len(names) + 1) for x in [None, *names]} for lang in counts}
+    for _ in range(rounds):
+        for lang, words in counts.items():
+            gain = Counter()
+            for w, n in words.items():
+                a, b = sums(w, p[lang]), sums(w[::-1], p[lang], True)
+                for i in range(len(w)):
+                    for j in range(i + 1, min(len(w), i + 16) + 1):
+                        x = piece_in(w[i:j], p[lang])
+                        if x is not False:
+                            gain[x] += n * a[i] * p[lang][x] * b[len(w) - j] / a[-1]
+            whole = sum(gain.values()) + 0.05 * (len(names) + 1)
+            p[lang] = {x: (gain[x] + 0.05) / whole for x in p[lang]}
+    return sorted(counts), p
+
+
+def piece_in(x, p):
+    return x if x in p else None if len(x) == 1 else False
+
+
+def sums(word, p, turned=False):
+    """For each length of a prefix the probability of all its segmentations; turned: word and pieces are read backwards."""
+    a = [1.0]
+    for j in range(1, len(word) + 1):
+        total = 0.0
+        for i in range(max(0, j - 16), j):
+            x = piece_in(word[i:j][::-1] if turned else word[i:j], p)
+            if x is not False:
+                total += a[i] * p[x]
+        a.append(total)
+    return a
+
+
+def plain_words(text):
+    out, word = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            out.append("▁" + word)
+            word = ""
+    return out

@@ -51,7 +51,7 @@ RUN = rf"(?<![^{_SPACE}]){_TOKEN}(?:\x20{_TOKEN})*+"
 LAST = rf"(?<![^{_SPACE}])([^{_SPACE}]++)[{_SPACE}]*+$"
 FIRST = rf"^[{_SPACE}]*+([^{_SPACE}]++)"
 #: Marks around a candidate that are no part of it.
-BEFORE, AFTER = r"^[^A-Za-z0-9+(]+", r"[^A-Za-z0-9)]+$"
+BEFORE, AFTER = r"^[^A-Za-z0-9+(]+", r"[^A-Za-z0-9]+$"
 NEAR = "array<struct<start:int,stop:int,kind:int,left:string,right:string,value:string>>"
 
 
@@ -92,8 +92,9 @@ def candidates(text: Column, base: Column) -> Column:
 
     def bare(run: Column, start: Column, value: Column) -> Column:
         head = F.regexp_replace(value, BEFORE, "")
-        first = (start + F.length(value) - F.length(head)).cast("int")
-        own = F.regexp_replace(head, AFTER, "")
+        tail = F.regexp_replace(head, AFTER, "")
+        own = F.regexp_replace(tail, r"^\(([^)]*)$", "$1")  # a bracket that nothing closes
+        first = (start + F.length(value) - F.length(head) + F.length(tail) - F.length(own)).cast("int")
         return F.struct(first.alias("start"), (first + F.length(own)).cast("int").alias("stop"), F.lit(None).cast("int").alias("kind"), run["left"].alias("left"), run["right"].alias("right"), own.alias("value"))
 
     fits = lambda c: (F.size(kinds_of(c["value"])) > 0) & ~F.exists(base, lambda s: (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
