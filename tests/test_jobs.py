@@ -64,6 +64,11 @@ def test_domains_benchmarks_and_inputs(spark, tmp_path):
     assert sorted(tuple(r) for r in bitext.read_inputs(spark, f"{root}/ask").collect()) == [(0, "a"), (2, ""), (3, "b")]
 
 
+def test_lookup_table(spark, tmp_path):
+    root = files(tmp_path, {"map.tsv": "asm_Beng\thi\neng_Latn\ten\n"})
+    assert sorted(map(tuple, bitext.read_lookup(spark, f"{root}/map.tsv", ["code", "to"]).collect())) == [("asm_Beng", "hi"), ("eng_Latn", "en")]
+
+
 def test_strict_reader(spark, tmp_path):
     root = files(tmp_path, {"good/en-hi/train.en": "a\nb\n", "good/en-hi/train.hi": "x\ny\n", "good/en-en/train.en": "s\n", "uneven/en-hi/train.en": "a\nb\n", "uneven/en-hi/train.hi": "x\n", "lone/en-hi/train.en": "a\n"})
     assert bitext.read_bitext_strict(spark, f"{root}/good").count() == 2

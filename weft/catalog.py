@@ -323,15 +323,6 @@ def lines_sql(expression: str) -> str:
     return f"WITH {LINES}, m AS (SELECT doc_id, line_no::INT AS line_no, {_MIXED.replace('lang', "coalesce(lang, '')")} AS x FROM lines) SELECT doc_id, line_no, {expression} AS out FROM m"
 
 
-def steps_sql(x: str, steps: list[tuple[str, str]]) -> str:
-    import re
-
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    for what, by in steps:
-        x = f"regexp_replace({x}, {quote(what[3:])}, {quote(re.sub(r'[$]([0-9])', r'\\\1', by))}, 'g')" if what.startswith("re:") else f"replace({x}, {quote(what)}, {quote(by)})"
-    return x
-
-
 def listed_sql(pattern: str) -> str:
     """All matches in x, written as Spark writes an array; classes by Unicode, as the engine of the SQL has them in ASCII only."""
     own = pattern.replace(r"\d", r"\p{Nd}").replace(r"\w", r"[\p{L}\p{M}\p{Nd}\p{Pc}]").replace("'", "''")
@@ -344,18 +335,42 @@ def replaced_sql(x: str, *pairs: tuple[str, str]) -> str:
     return x
 
 
+_NB, _Q, _QQ = "chr(160)", "chr(39)", "chr(34)"
+
+
+def subbed_sql(x: str, *pairs: tuple[str, str]) -> str:
+    for what, by in pairs:
+        x = f"regexp_replace({x}, '{what}', '{by}', 'g')"
+    return x
+
+
+def _marks_sql(x: str) -> str:
+    """Guillemets and no-break spaces, which both conventions treat alike."""
+    x = replaced_sql(x, (f"{_NB} || chr(171) || {_NB}", f"' ' || {_QQ}"), (f"chr(171) || {_NB}", _QQ), ("chr(171)", _QQ), (f"{_NB} || chr(187) || {_NB}", f"{_QQ} || ' '"), (f"{_NB} || chr(187)", _QQ), ("chr(187)", _QQ))
+    return replaced_sql(x, (f"{_NB} || '%'", "'%'"), (f"'n' || chr(186) || {_NB}", "'n' || chr(186) || ' '"), (f"{_NB} || ':'", "':'"), (f"{_NB} || chr(186) || 'C'", "' ' || chr(186) || 'C'"), (f"{_NB} || 'cm'", "' cm'"), *((f"{_NB} || '{c}'", f"'{c}'") for c in "?!;"), (f"',' || {_NB}", "', '"))
+
+
 def _request_sql() -> str:
     """The rules for requests, written for SQL on their own: brackets, marks, quotes, dashes, guillemets, no-break spaces, runs, digits of any script."""
-    nb, q = "chr(160)", "chr(39)"
-    x = replaced_sql("x", ("chr(13)", "''"), ("'('", "' ('"), ("')'", "') '"), ("'( '", "'('"), ("' )'", "')'"), ("' :'", "':'"), ("' ;'", "';'"), ("chr(96)", q))
-    x = replaced_sql(x, *((f"chr({c})", "chr(34)") for c in (0x201E, 0x201C, 0x201D)), ("chr(8211)", "'-'"), ("chr(8212)", "' - '"), *((f"chr({c})", q) for c in (0xB4, 0x2018, 0x201A, 0x2019)), (f"{q} || {q}", "chr(34)"), ("chr(8230)", "'...'"))
-    x = replaced_sql(x, (f"{nb} || chr(171) || {nb}", "' ' || chr(34)"), (f"chr(171) || {nb}", "chr(34)"), ("chr(171)", "chr(34)"), (f"{nb} || chr(187) || {nb}", "chr(34) || ' '"), (f"{nb} || chr(187)", "chr(34)"), ("chr(187)", "chr(34)"))
-    x = replaced_sql(x, (f"{nb} || '%'", "'%'"), (f"'n' || chr(186) || {nb}", "'n' || chr(186) || ' '"), (f"{nb} || ':'", "':'"), (f"{nb} || chr(186) || 'C'", "' ' || chr(186) || 'C'"), (f"{nb} || 'cm'", "' cm'"), *((f"{nb} || '{c}'", f"'{c}'") for c in "?!;"), (f"',' || {nb}", "', '"))
-    for what, by in ((" {2,}", " "), (r"\.{2,}", "."), (r"\) ([.!:?;,])", r")\1"), (r"(\p{Nd}) %", r"\1%"), (r'"([,.]+)', r'\1"'), ("(\\p{Nd})\u00a0(\\p{Nd})", r"\1.\2")):
-        x = f"regexp_replace({x}, '{what}', '{by}', 'g')"
+    x = replaced_sql("x", ("chr(13)", "''"), ("'('", "' ('"), ("')'", "') '"), ("'( '", "'('"), ("' )'", "')'"), ("' :'", "':'"), ("' ;'", "';'"), ("chr(96)", _Q))
+    x = replaced_sql(x, *((f"chr({c})", _QQ) for c in (0x201E, 0x201C, 0x201D)), ("chr(8211)", "'-'"), ("chr(8212)", "' - '"), *((f"chr({c})", _Q) for c in (0xB4, 0x2018, 0x201A, 0x2019)), (f"{_Q} || {_Q}", _QQ), ("chr(8230)", "'...'"))
+    x = subbed_sql(_marks_sql(x), (" {2,}", " "), (r"\.{2,}", "."), (r"\) ([.!:?;,])", r")\1"), (r"(\p{Nd}) %", r"\1%"), (r'"([,.]+)', r'\1"'), ("(\\p{Nd})\u00a0(\\p{Nd})", r"\1.\2"))
     return f"trim({x}, ' ')"
 
 
+def corpus_sql(x: str, lang_: str) -> str:
+    """The rules for corpora, written for SQL on their own; a line feed stands at the text's end meanwhile."""
+    x = subbed_sql(replaced_sql(f"({x} || chr(10))", ("chr(13)", "''"), ("'('", "' ('"), ("')'", "') '")), (" +", " "), (r"\) ([.!:?;,])", r")\1"))
+    x = subbed_sql(replaced_sql(x, ("'( '", "'('"), ("' )'", "')'")), ("([0-9]) %", r"\1%"))
+    x = replaced_sql(x, ("' :'", "':'"), ("' ;'", "';'"), ("chr(96)", _Q), (f"{_Q} || {_Q}", f"' ' || {_QQ} || ' '"), *((f"chr({c})", _QQ) for c in (0x201E, 0x201C, 0x201D)), ("chr(8211)", "'-'"), ("chr(8212)", "' - '"))
+    x = replaced_sql(subbed_sql(x, (" +", " ")), ("chr(180)", _Q))
+    x = subbed_sql(x, ("([A-Za-z])\u2018([A-Za-z])", "\\1''\\2"), ("([A-Za-z])\u2019([A-Za-z])", "\\1''\\2"))
+    x = replaced_sql(x, ("chr(8216)", _Q), ("chr(8218)", _Q), ("chr(8217)", _QQ), (f"{_Q} || {_Q}", _QQ), ("chr(8230)", "'...'"))
+    x = subbed_sql(_marks_sql(x), (" +", " "))
+    x = subbed_sql(x, (r'"([,.]+)', r'\1"')) if lang_ == "en" else subbed_sql(replaced_sql(x, (f"',' || {_QQ}", f"{_QQ} || ','")), (r'(\.+)"([ \t\n\x0b\f\r]*[^<])', r'"\1\2'))
+    return subbed_sql(x, ("([0-9])\u00a0([0-9])", r"\1.\2"), (r"\n$", ""))
+
+
 _REQUEST_SQL = _request_sql()
 
 # Entities in SQL, whose patterns know no look-around: a URL starts after what is neither a word's character nor a slash or dot, takes
@@ -413,15 +428,10 @@ _M = lines_sql("x").split(" SELECT doc_id, line_no, x AS out")[0]
 
 
 def _text_queries() -> None:
-    from weft.functions import punctuation as p
-
-    N = p.N
-    start = f"(x || chr(10))"
-    end = lambda x, by=".": f"regexp_replace(regexp_replace({x}, '([0-9]){N}([0-9])', '\\1{by}\\2', 'g'), '\\n$', '')"
     for name, f, sql in (
         ("digit_normalize", tx.ascii_digits, f"translate(x, '{tx.DIGITS_FROM}', '{tx.DIGITS_TO}')"),
-        ("punct_corpus_en", lambda c: normalize_corpus(c, "en"), end(steps_sql(steps_sql(start, p.CORPUS_START), p.ENGLISH_QUOTE))),
-        ("punct_corpus_other", lambda c: normalize_corpus(c, "hi"), end(steps_sql(steps_sql(start, p.CORPUS_START), p.OTHER_QUOTE))),
+        ("punct_corpus_en", lambda c: normalize_corpus(c, "en"), corpus_sql("x", "en")),
+        ("punct_corpus_other", lambda c: normalize_corpus(c, "hi"), corpus_sql("x", "hi")),
         ("punct_request", normalize_request, _REQUEST_SQL),
         ("output_clean", tx.clean_output, strip_sql(r"regexp_replace(x, '\s+', ' ', 'g')")),
         ("output_one_line", tx.one_line, strip_sql("replace(x, chr(10), '')")),
@@ -624,7 +634,9 @@ def chrfpp_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.chrf(metrics.chrf_statistics(systems(spark, sf_dir), [*groups, "line_no"], 2), groups).select(*groups, F.round("chrf", 6).alias("chrf"))
 
 
-_V13A = _WORDS.replace("{x}", steps_sql("(' ' || {x} || ' ')", metrics.V13A))
+# The steps of mteval-v13a: entities, then every ASCII mark but apostrophe, hyphen, comma and dot, then these where no digit is beside them
+_V13A = replaced_sql("(' ' || {x} || ' ')", ("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"), ("'&quot;'", "chr(34)"), ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'"))
+_V13A = _WORDS.replace("{x}", subbed_sql(_V13A, (r"([ !-&(-+/:-@\x5B-`{-~])", r" \1 "), ("([^0-9])([.,])", r"\1 \2 "), ("([.,])([^0-9])", r" \1 \2"), ("([0-9])(-)", r"\1 \2 ")))
 
 
 @query(f"""WITH {_SYSTEMS}, {_grams_sql(_V13A, 4)}
@@ -690,14 +702,33 @@ def evaluate_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.evaluate(predictions, references).withColumn("value", F.round("value", 6))
 
 
-def _prepare_sql() -> str:
-    from weft.functions import punctuation as p
+def _scores_sql(rows: str) -> str:
+    """BLEU with halved imagined matches, chrF and chrF++ of rows (pair, line_no, ref, system, hyp)."""
+    logs = "CASE WHEN m = 0 THEN ln(100 / (pow(2, count(*) FILTER (m = 0) OVER (PARTITION BY pair, system ORDER BY n)) * h)) ELSE ln(100 * m / h) END"
+    bleu = f"""SELECT pair, system, 'bleu' AS metric, round(CASE WHEN count(*) < 4 OR max(m) FILTER (n = 1) = 0 THEN 0 ELSE least(1, exp(1 - max(r) FILTER (n = 1) / max(h) FILTER (n = 1))) * exp(avg(l)) END, 6) AS value
+  FROM (SELECT *, {logs} AS l FROM (WITH {_grams_sql(_WORDS, 4)} SELECT * FROM sums WHERE h > 0)) GROUP BY pair, system"""
+    score = "round(CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0 END, 6)"
+    chrf = f"SELECT pair, system, 'chrf' AS metric, {score} AS value FROM (SELECT pair, system, avg(m / h) AS p, avg(m / r) AS q FROM chars WHERE h > 0 AND r > 0 GROUP BY pair, system)"
+    chrfpp = f"SELECT pair, system, 'chrf++' AS metric, {score} AS value FROM (SELECT pair, system, avg(m / h) AS p, avg(m / r) AS q FROM (FROM chars UNION ALL FROM parts) WHERE h > 0 AND r > 0 GROUP BY pair, system)"
+    return f"""WITH {TURNS}, systems AS ({rows}), chars AS MATERIALIZED (WITH {_grams_sql(_CHARS, 6)} SELECT * FROM sums), parts AS (WITH {_grams_sql(_PARTS, 2)} SELECT * FROM sums)
+{bleu} UNION ALL {chrf} UNION ALL {chrfpp}"""
+
 
-    def punctuated(text: str, lang_: str) -> str:
-        start = steps_sql(f"({text} || chr(10))", p.CORPUS_START)
-        end = lambda x: f"regexp_replace(regexp_replace({x}, '([0-9]){p.N}([0-9])', '\\1.\\2', 'g'), '\\n$', '')"
-        return f"CASE WHEN {lang_} = 'eng_Latn' THEN {end(steps_sql(start, p.ENGLISH_QUOTE))} ELSE {end(steps_sql(start, p.OTHER_QUOTE))} END"
+_DIRECTIONS = """SELECT pair, line_no, tgt_text AS ref, 'forward' AS system, tgt_lang || ': ' || src_text AS hyp FROM turns
+UNION ALL SELECT tgt_lang || '-' || src_lang, line_no, src_text, 'reversed', src_lang || ': ' || tgt_text FROM turns
+UNION ALL SELECT pair, line_no, tgt_text, 'pivoted', tgt_lang || ': eng_Latn: ' || src_text FROM turns WHERE 'eng_Latn' NOT IN (src_lang, tgt_lang)"""
 
+
+@query(_scores_sql(_DIRECTIONS))
+def evaluate_directions_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in translator scored forward, backward and, for pairs without English, over English."""
+    ship(spark)
+    told = prepare.evaluate_translator(turns(spark, sf_dir), translation.echo, pivot="eng_Latn")
+    return told.withColumn("value", F.round("value", 6))
+
+
+def _prepare_sql() -> str:
+    punctuated = lambda text, code: f"CASE WHEN {code} = 'eng_Latn' THEN {corpus_sql(text, 'en')} ELSE {corpus_sql(text, 'hi')} END"
     kept = SQL["decontam_loose_pairs"].replace("SELECT line_no, pair,", "SELECT line_no, pair, src_lang, tgt_lang,").split("WITH ", 1)[1]
     head, select = kept.rsplit("\nSELECT line_no, pair, src_lang", 1)
     return f"""WITH {head}, kept AS (SELECT line_no, pair, src_lang{select}),

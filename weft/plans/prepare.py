@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from weft.functions.languages import punctuation_language
 from weft.functions.punctuation import normalize_corpus
 from weft.functions.text import strip, unwrap, wrap_common
 from weft.operators import corpus, metrics
+from weft.operators.translation import Translator, translate
 
 
 def _punctuated(df: DataFrame, code_col: str, text_col: str) -> DataFrame:
@@ -35,15 +38,28 @@ def prepare(bitext: DataFrame, benchmark: DataFrame | None = None, most_pieces:
 
 def evaluate(predictions: DataFrame, references: DataFrame, keys: list[str] | None = None, tokenize: str = "none") -> DataFrame:
     """(pair, system, metric, value) of predictions (pair, system, line_no, text) against references (pair, line_no, text)."""
-    groups = keys or ["pair", "system"]
     rows = predictions.withColumnRenamed("text", "hyp").join(references.withColumnRenamed("text", "ref"), ["pair", "line_no"])
+    return _scored(rows, keys or ["pair", "system"], tokenize)
+
+
+def _scored(rows: DataFrame, groups: list[str], tokenize: str) -> DataFrame:
     on = [*groups, "line_no"]
     scored = [
         metrics.bleu(metrics.bleu_statistics(rows, on, tokenize), groups).select(*groups, F.lit("bleu").alias("metric"), F.col("bleu").alias("value")),
         metrics.chrf(metrics.chrf_statistics(rows, on), groups).select(*groups, F.lit("chrf").alias("metric"), F.col("chrf").alias("value")),
         metrics.chrf(metrics.chrf_statistics(rows, on, 2), groups).select(*groups, F.lit("chrf++").alias("metric"), F.col("chrf").alias("value")),
     ]
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, scored)
+
+
+def evaluate_translator(bitext: DataFrame, translator: Translator, pivot: str, tokenize: str = "none") -> DataFrame:
+    """(pair, system, metric, value): a translator's scores on bitext from source to target (system forward), from target to source
+    (reversed), and, for pairs without the pivot language, from source over the pivot to target (pivoted)."""
+    sides = lambda src, tgt: [F.concat_ws("-", f"{src}_lang", f"{tgt}_lang").alias("pair"), "line_no", F.col(f"{src}_lang").alias("src"), F.col(f"{tgt}_lang").alias("tgt"), F.col(f"{src}_text").alias("text"), F.col(f"{tgt}_text").alias("ref")]
+    forward, back = bitext.select(*sides("src", "tgt")), bitext.select(*sides("tgt", "src"))
+    over = forward.filter((F.col("src") != pivot) & (F.col("tgt") != pivot))
+    first = translate(over.withColumn("end", F.col("tgt")).withColumn("tgt", F.lit(pivot)), translator)
+    second = translate(first.withColumn("src", F.lit(pivot)).withColumn("tgt", F.col("end")).drop("end"), translator)
+    done = {"forward": translate(forward, translator), "reversed": translate(back, translator), "pivoted": second}
+    rows = reduce(DataFrame.unionByName, (df.select("pair", F.lit(name).alias("system"), "line_no", F.col("text").alias("hyp"), "ref") for name, df in done.items()))
+    return _scored(rows, ["pair", "system"], tokenize)

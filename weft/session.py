@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,8 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers of the session's application, once."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
-        root = Path(__file__).resolve().parent
-        at = os.path.join(tempfile.mkdtemp(prefix="weft-code-"), "weft_code.zip")
+        root, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="weft-code-")
+        atexit.register(shutil.rmtree, folder, True)
+        at = os.path.join(folder, "weft_code.zip")
         with zipfile.ZipFile(at, "w") as out:
             for path in sorted(root.rglob("*.py")):
                 out.write(path, path.relative_to(root.parent))

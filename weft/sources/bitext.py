@@ -86,6 +86,11 @@ def vocabulary(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, lines.filter(~valid).withColumn("points", F.hex(F.encode("text", "UTF-32")))
 
 
+def read_lookup(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """A lookup table of tab-separated fields, as texts, under the given names; fields that a line lacks are null."""
+    return spark.read.csv(path, sep="\t", schema=", ".join(f"`{n}` string" for n in names))
+
+
 def read_pair_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="src_lang string, tgt_lang string, cnt long")
 
