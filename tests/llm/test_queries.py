@@ -233,3 +233,16 @@ def test_ledger_used_twice(spark):
     got = secrets.scan(second, path)
     assert secrets.ledger(spark, path).count() == 10 + 7  # five new versions of old documents, two new documents
     assert got.filter(F.size("spans") == 1).count() == 12
+
+
+def test_op7_keeps_the_ledger_that_the_session_names(spark):
+    from weft.llm.common import scratch_path
+
+    path = scratch_path(spark, "ledger")
+    spark.conf.set("spark.weft.ledger", path)
+    try:
+        first = result(spark, "op7_secrets")
+        held = secrets.ledger(spark, path).count()
+        assert result(spark, "op7_secrets") == first and secrets.ledger(spark, path).count() == held == len({r["blob"] for r in secrets.ledger(spark, path).collect()})
+    finally:
+        spark.conf.unset("spark.weft.ledger")

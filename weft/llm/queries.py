@@ -56,7 +56,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_documents(spark, sf_dir).select("doc_id", "text"), scratch_path(spark, "ledger"))
+    # a ledger that is kept, so that later runs scan new blobs only, where the session names one; a new one else
+    ledger = spark.conf.get("spark.weft.ledger", None) or scratch_path(spark, "ledger")
+    found = secrets.scan(_documents(spark, sf_dir).select("doc_id", "text"), ledger)
     counts = [count_of(F.col("spans"), i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
     spans = as_text(F.col("spans"), secrets.KINDS)
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
