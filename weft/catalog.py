@@ -16,7 +16,7 @@ from weft.functions import text as tx
 from weft.functions.punctuation import normalize_corpus, normalize_request
 from weft.operators import corpus, metrics, translation, vocabulary
 from weft.plans import prepare
-from weft.session import ship
+from weft.session import read_table, ship
 from weft.sources.bitext import hypotheses
 from weft.sources.bitext import vocabulary as vocabulary_lines
 
@@ -36,7 +36,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

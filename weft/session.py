@@ -1,4 +1,4 @@
-"""What every session needs: the package itself on the executors."""
+"""What every session needs: the package itself on the executors, and tables whose rows keep all cores busy."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +27,11 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(at)
         _shipped.add(app)
     return spark
+
+
+def read_table(spark: SparkSession, path: str, small: int = 64 << 20) -> DataFrame:
+    """A Parquet table.  A task reads a row group at least, and a small table often has one only: tables of less than `small` bytes
+    in few parts are dealt out to all cores; others are read as they are, without a shuffle."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1 << 18 < size < small and df.rdd.getNumPartitions() <= 2 * cores else df
