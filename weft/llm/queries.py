@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from weft.llm import bpe, exact_dedup, langid, packing, pii, quality, secrets, sharding, simhash, token_counts
 from weft.llm.common import scratch_path
 from weft.llm.spans import as_text, count_of
-from weft.session import ship
+from weft.session import read_table, ship
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(ship(spark), f"{sf_dir}/documents.parquet")
 
 
 def _tokenizer(name: str) -> str:
