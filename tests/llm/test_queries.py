@@ -246,3 +246,18 @@ def test_op7_keeps_the_ledger_that_the_session_names(spark):
         assert result(spark, "op7_secrets") == first and secrets.ledger(spark, path).count() == held == len({r["blob"] for r in secrets.ledger(spark, path).collect()})
     finally:
         spark.conf.unset("spark.weft.ledger")
+
+
+def test_rows_of_any_table_are_numbered(spark, tmp_path):
+    from weft.llm.common import free_names, numbered
+
+    rows_ = [(i, "own") for i in range(20)]
+    made = spark.createDataFrame(rows_, "n long, row string").repartition(3)
+    made.write.json(f"file://{tmp_path}/json")
+    made.write.parquet(f"file://{tmp_path}/parquet")
+    kinds = [made, made.groupBy("n", "row").count().drop("count"), spark.read.schema("n long, row string").json(f"file://{tmp_path}/json"), spark.read.parquet(f"file://{tmp_path}/parquet").filter("n < 90")]
+    for df in kinds:
+        held, name = numbered(df)
+        assert name == "row_" and held.columns == [*df.columns, name] and held.select(name).distinct().count() == 20
+        assert sorted((r["n"], r["row"]) for r in held.collect()) == rows_ and held.collect() == held.collect()
+    assert free_names(["Blob", "x"], "blob", "blob_") == ["blob_", "blob__"]

@@ -88,14 +88,14 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs and, last, what tells each row apart however often it is read (its file and place there), and that column's name.
 
-    A table that comes from no file is written to files of its own first.
+    A table that comes from no Parquet file is written to files of its own first.
     """
     (name,) = free_names(docs.columns, "row")
     try:
         at = docs.metadataColumn("_metadata")
         return docs.withColumn(name, F.concat_ws(":", at["file_path"], at["row_index"])), name
     except AnalysisException as e:
-        if not str(e.getCondition()).startswith("UNRESOLVED_COLUMN"):
+        if not str(e.getCondition()).startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):  # no file, or one without row numbers
             raise
         return numbered(save(docs, "documents"))
 
