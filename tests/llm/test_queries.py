@@ -222,6 +222,27 @@ def test_recall_of_similar_groups(spark):
     assert len(set(got.values())) >= 120
 
 
+@pytest.mark.parametrize("heavy", [50_000, 8])
+def test_similar_groups_of_many_copies(spark, heavy):
+    """A third of the rows are copies, a third differ in case alone, and leaves with too many documents are dealt out in pieces."""
+    base = words(41, 80)
+    texts = [base] * 40 + [base.replace("x", "X") + " " * i for i in range(40)] + [words(600 + i, 80) for i in range(40)] + [None, "", " "]
+    docs = save(spark.createDataFrame(list(enumerate(texts)), "n long, text string"), "docs")
+    got = {x["n"]: x["component"] for x in simhash.similar_groups(docs, "n", heavy=heavy).collect()}
+    assert len({got[i] for i in range(80)}) == 1 and len({got[i] for i in range(80, 120)} - {got[0]}) == 40
+    assert got[120] == got[121] == got[122] not in {got[i] for i in range(120)}
+
+
+def test_leaves_in_pieces(spark):
+    rows_ = spark.createDataFrame([(0, i, i % 7, 5 if i < 50 else 6 if i < 60 else 1 << 20) for i in range(80)], "table int, node long, fp0 long, value long")
+    got = simhash._subtrees(rows_, 0, 32, 8).collect()
+    held = {}
+    for r in got:
+        held.setdefault((r["a"], r["b"], r["piece"]), set()).add(r["node"])
+    leaf = {k: v for k, v in held.items() if k[0] == k[1] == 5}
+    assert set().union(*leaf.values()) == set(range(50)) and len(leaf) == 7 and all(0 in v for v in leaf.values())
+
+
 def test_ledger_used_twice(spark):
     from weft.llm.common import scratch_path
 

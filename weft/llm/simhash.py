@@ -40,7 +40,7 @@ BITS = 64
 SPLIT = 8
 #: Edge-disjoint spanning forests of what meets in a lot that are compared: all pairs of a few documents, a few pairs a document of many.
 FORESTS = 4
-PAIR = ["table", "turn", "deep", "a", "b"]
+PAIR = ["table", "turn", "deep", "a", "b", "piece"]
 
 
 def _hashes(text: bytes, words: int) -> np.ndarray:
@@ -223,17 +223,31 @@ def _subtrees(values: DataFrame, budget: int, width: int, heavy: int) -> DataFra
     offsets, widths = _widths(budget, width)
     turns = F.explode(F.array(*(F.struct(F.lit(t).alias("turn"), F.lit(widths[t]).alias("deep"), _turned(F.col("value"), offsets[t], width).alias("turned")) for t in range(budget + 1))))
     rows = values.withColumn("t", turns).select(*(c for c in values.columns if c != "value"), "t.*").withColumn("a", F.expr(f"shiftrightunsigned(turned, {width} - deep)"))
-    rows = rows.withColumn("b", F.col("a")).withColumn("side", F.lit(0)).withColumn("diff", F.lit(0))
+    rows = rows.withColumns({"b": F.col("a"), "side": F.lit(0), "diff": F.lit(0), "piece": F.lit(0)})
+    node = F.col("node") if "node" in values.columns else F.lit(None).cast("long")  # without nodes numbers are different, and leaves small
+    first = [F.min(F.when(F.col("side") == i, node)).alias(f"first{i}") for i in range(2)]
     ready, now = [], rows
     while True:
-        sizes = save(now.groupBy(*PAIR).agg(F.count("*").alias("n"), F.sum("side").alias("n1")).filter("if(a = b, n > 1, n1 > 0 and n1 < n)"), "sizes")
-        ready.append(now.join(sizes.filter(F.col("n") <= heavy).select(*PAIR), PAIR, "left_semi"))
-        if sizes.filter(F.col("n") > heavy).isEmpty():
+        sizes = now.groupBy(*PAIR).agg(F.count("*").alias("n"), F.sum("side").alias("n1"), *first).filter("if(a = b, n > 1, n1 > 0 and n1 < n)")
+        sizes = save(sizes.withColumn("kind", F.when(F.col("n") <= heavy, "light").when(F.col("deep") < width, "heavy").otherwise("leaf")), "sizes")
+        kinds = {r["kind"] for r in sizes.select("kind").distinct().collect()}
+        ready.append(now.join(sizes.filter("kind = 'light'").select(*PAIR), PAIR, "left_semi"))
+        if "leaf" in kinds:
+            ready.append(_pieces(now.join(sizes.filter("kind = 'leaf'").select(*PAIR, "n", "first0", "first1"), PAIR), heavy).select(now.columns))
+        if "heavy" not in kinds:
             break
-        now = save(_split(now.join(sizes.filter(F.col("n") > heavy).select(*PAIR), PAIR, "left_semi"), budget, width), "subtrees")
+        now = save(_split(now.join(sizes.filter("kind = 'heavy'").select(*PAIR), PAIR, "left_semi"), budget, width), "subtrees")
     return reduce(DataFrame.unionByName, ready).repartition(*PAIR).sortWithinPartitions(*PAIR)
 
 
+def _pieces(rows: DataFrame, heavy: int) -> DataFrame:
+    """Rows of leaves with too many documents: a leaf on its own in pieces that share its first document, of a pair of leaves the first document of each."""
+    pieces = F.ceil(F.col("n") / heavy).cast("int")
+    own = F.when(F.col("node") == F.col("first0"), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), pieces).cast("int")))
+    alone = rows.filter("a = b").withColumn("piece", F.explode(own))
+    return alone.unionByName(rows.filter("a <> b and node = if(side = 0, first0, first1)"))
+
+
 def links(distinct: DataFrame, budget: int = 2, heavy: int = 50_000) -> DataFrame:
     """(a, b) with a < b for all pairs of the distinct fingerprints in column fp that differ in at most `budget` bits."""
     offsets, _ = _widths(budget, BITS)
@@ -415,9 +429,12 @@ def similar_groups(
     per = BITS // width
     cell = lambda t: F.shiftrightunsigned(F.col(f"fp{t // per}"), width * (t % per)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("table"), cell(t).alias("value")) for t in range(lanes * per))))
-    values = held.drop("name").withColumn("t", tables).select("node", *(f"fp{k}" for k in range(lanes)), "t.*")
+    bits = [f"fp{k}" for k in range(lanes)]
+    classes = save(held.groupBy(*bits).agg(F.min("node").alias("node")), "classes")  # documents with all bits alike meet the first of them
+    alike = held.join(classes.withColumnRenamed("node", "a"), bits).filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    values = classes.withColumn("t", tables).select("node", *bits, "t.*")
     met = _subtrees(values, budget, width, heavy).mapInArrow(_candidates(lanes, budget, width, int(spread * BITS * lanes)), "a long, b long")
-    pairs = save(met.distinct(), "pairs")
+    pairs = save(met.distinct().unionByName(alike), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = save(held.select("node", "name").join(wanted, "node", "left_semi"), "wanted")
     asked = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(wanted, "name")
