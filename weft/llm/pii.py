@@ -126,11 +126,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     values = near.select("context", kinds.alias("of"), "value", F.col("kind").isNotNull().alias("seed")).distinct()  # copies count once
     values = save(values.withColumnRenamed("of", "kind"), "values")
     often = save(values.groupBy("context", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("context", "kind"), "often")
-    # only words that may become patterns are counted, so few rows are shuffled
+    # all words are counted: those beside four values become more and more common as the input grows, and so would a join with them
     alike = F.lower(F.regexp_replace(text_or_empty(text_col), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))  # each word as _tidy makes it
     words = docs.select(F.xxhash64(text_or_empty(text_col)).alias("copy"), F.explode(F.array_distinct(F.split(alike, rf"[{_SPACE}]+"))).alias("word"))
-    asked = save(often.select(F.expr("substring(context, 2)").alias("word")).distinct(), "words")
-    corpus = words.join(asked, "word", "left_semi").groupBy("word").agg(F.count_distinct("copy").alias("docs_with"))
+    corpus = words.groupBy("word").agg(F.count_distinct("copy").alias("docs_with"))
     cues = often.withColumn("word", F.expr("substring(context, 2)")).join(corpus, "word").drop("word")
     values = save(values.join(save(cues, "cues"), ["context", "kind"]), "graph")
     scores = values.filter("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
