@@ -118,7 +118,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     found = text.withColumn("seeds", seeds(F.col("text"))).withColumn("open", candidates(F.col("text"), F.col("seeds")))
     base = F.sort_array(F.transform("seeds", lambda s: F.struct(s["start"], s["kind"], s["stop"]))).cast(SPAN)
-    held = save(found.select("row", "id", base.alias("base"), F.concat("seeds", "open").alias("near")), "found")
+    held = save(found.select("row", "id", F.xxhash64("text").alias("copy"), base.alias("base"), F.concat("seeds", "open").alias("near")), "found")
     near = held.select("row", F.explode("near").alias("c")).select("row", "c.*")
     context = F.explode(F.filter(F.array(*(F.when(F.col(w) != "", F.concat(F.lit(m), w)) for m, w in (("<", "left"), (">", "right")))), lambda c: c.isNotNull()))
     near = near.select("row", "start", "stop", "kind", "value", context.alias("context"))
@@ -128,8 +128,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     often = save(values.groupBy("context", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("context", "kind"), "often")
     # all words are counted: those beside four values become more and more common as the input grows, and so would a join with them
     alike = F.lower(F.regexp_replace(text_or_empty(text_col), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))  # each word as _tidy makes it
-    words = docs.select(F.xxhash64(text_or_empty(text_col)).alias("copy"), F.explode(F.array_distinct(F.split(alike, rf"[{_SPACE}]+"))).alias("word"))
-    corpus = words.groupBy("word").agg(F.count_distinct("copy").alias("docs_with"))
+    copies = save(held.groupBy("copy").agg(F.count("*").alias("n")).filter("n > 1"), "copies")
+    texts = docs.select(F.xxhash64(text_or_empty(text_col)).alias("copy"), F.array_distinct(F.split(alike, rf"[{_SPACE}]+")).alias("words")).join(copies, "copy", "left")
+    # n copies count 1 / n each, so tasks add up their own words before the shuffle; explode() would have Spark split the texts once more, to filter
+    words = texts.select(F.explode_outer("words").alias("word"), (1 / F.coalesce("n", F.lit(1))).alias("part"))
+    corpus = words.groupBy("word").agg(F.round(F.sum("part"), 3).alias("docs_with"))
     cues = often.withColumn("word", F.expr("substring(context, 2)")).join(corpus, "word").drop("word")
     values = save(values.join(save(cues, "cues"), ["context", "kind"]), "graph")
     scores = values.filter("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
