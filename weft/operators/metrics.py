@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,27 +173,30 @@ def draws(key: Column, sample: Column) -> Column:
     return times
 
 
-def paired_bootstrap(statistics: DataFrame, row: str, system: str, samples: int = 200) -> DataFrame:
-    """(sample, system, bleu) for resamples of rows, the same rows for each system.
+def paired_bootstrap(statistics: DataFrame, row: str, system: str, samples: int = 200, first: int = 1) -> DataFrame:
+    """(sample, system, bleu) for resamples of rows, the same rows for each system; sample 0, if first is 0, has each row once.
 
-    Statistics are multiplied by draws and summed per sample before they are shuffled: samples x systems x 4 rows a task.
+    A row's statistics are brought together (a few numbers for each system), so a draw is made once a row and sample.  They are
+    multiplied by draws and summed per sample before they are shuffled: samples x systems x 4 rows a task.
     """
-    drawn = statistics.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("times", draws(F.col(row), F.col("sample"))).filter("times > 0")
-    weighted = drawn.select("sample", system, "n", *((F.col(c) * F.col("times")).alias(c) for c in ("matched", "hyp_n", "ref_n")))
+    held = statistics.groupBy(row).agg(F.collect_list(F.struct(system, "n", "matched", "hyp_n", "ref_n")).alias("s"))
+    drawn = held.withColumn("sample", F.explode(F.sequence(F.lit(first), F.lit(samples))))
+    times = F.when(F.col("sample") == 0, 1).otherwise(draws(F.col(row), F.col("sample"))).alias("times")
+    drawn = drawn.select("sample", times, "s").filter("times > 0").select("sample", "times", F.explode("s").alias("s"))
+    weighted = drawn.select("sample", F.col(f"s.{system}").alias(system), "s.n", *((F.col(f"s.{c}") * F.col("times")).alias(c) for c in ("matched", "hyp_n", "ref_n")))
     return bleu(weighted, ["sample", system])
 
 
 def significance(statistics: DataFrame, row: str, system: str, baseline: str, samples: int = 200) -> DataFrame:
     """(system, bleu, mean, p_value): each system's score, its mean over resamples, and how likely a difference to the baseline as
     large as that seen is by chance: the share of resamples (with one added to both) whose difference lies further from the
-    mean difference than the difference seen is large.  The baseline has no p_value.  Systems are few, so its scores are joined to all."""
-    drawn = paired_bootstrap(statistics, row, system, samples).select("sample", F.col(system).alias("system"), "bleu")
-    whole = bleu(statistics, [system]).select(F.col(system).alias("system"), F.col("bleu").alias("whole"))
-    base, seen = drawn.filter(F.col("system") == baseline), whole.filter(F.col("system") == baseline)
-    both = drawn.join(base.select("sample", F.col("bleu").alias("base")), "sample").join(whole, "system").withColumn("diff", F.abs(F.col("bleu") - F.col("base")))
-    means = both.groupBy("system").agg(F.avg("diff").alias("middle"), F.avg("bleu").alias("mean"))
-    seen = seen.select(F.col("whole").alias("seen"), F.lit(1).alias("one"))
-    told = both.join(means, "system").withColumn("one", F.lit(1)).join(F.broadcast(seen), "one")  # one row
-    beyond = F.count_if(F.abs(F.col("diff") - F.col("middle")) > F.abs(F.col("whole") - F.col("seen")))
-    p = F.when(F.col("system") != baseline, (beyond + 1) / (F.count("*") + 1)).alias("p_value")
-    return told.groupBy("system", F.col("whole").alias("bleu"), "mean").agg(p).select("system", "bleu", "mean", "p_value")
+    mean difference than the difference seen is large.  The baseline has no p_value."""
+    scores = paired_bootstrap(statistics, row, system, samples, first=0).withColumnRenamed(system, "system")
+    base = F.max(F.when(F.col("system") == baseline, F.col("bleu"))).over(Window.partitionBy("sample"))  # a row for each system
+    own = Window.partitionBy("system")  # a row for each sample
+    told = scores.withColumn("diff", F.abs(F.col("bleu") - base))
+    told = told.withColumn("middle", F.avg(F.when(F.col("sample") > 0, F.col("diff"))).over(own)).withColumn("seen", F.max(F.when(F.col("sample") == 0, F.col("diff"))).over(own))
+    beyond = F.count_if((F.col("sample") > 0) & (F.abs(F.col("diff") - F.col("middle")) > F.col("seen")))
+    p = F.when(F.col("system") != baseline, (beyond + 1) / F.lit(samples + 1)).alias("p_value")
+    whole, mean = F.max(F.when(F.col("sample") == 0, F.col("bleu"))), F.avg(F.when(F.col("sample") > 0, F.col("bleu")))
+    return told.groupBy("system").agg(whole.alias("bleu"), mean.alias("mean"), p)
