@@ -180,6 +180,8 @@ def paired_bootstrap(statistics: DataFrame, row: str, system: str, samples: int
     multiplied by draws and summed per sample before they are shuffled: samples x systems x 4 rows a task.
     """
     held = statistics.groupBy(row).agg(F.collect_list(F.struct(system, "n", "matched", "hyp_n", "ref_n")).alias("s"))
+    # few bytes, but each row is drawn for every sample: Spark is not to put them all in one task
+    held = held.repartition(statistics.sparkSession.sparkContext.defaultParallelism)
     drawn = held.withColumn("sample", F.explode(F.sequence(F.lit(first), F.lit(samples))))
     times = F.when(F.col("sample") == 0, 1).otherwise(draws(F.col(row), F.col("sample"))).alias("times")
     drawn = drawn.select("sample", times, "s").filter("times > 0").select("sample", "times", F.explode("s").alias("s"))
