@@ -361,3 +361,20 @@ def plain_words(text):
             out.append("▁" + word)
             word = ""
     return out
+
+
+def repeats(rows, width=20):
+    """rows: (doc_id, text), ids not null, of equal ids the first given first; (doc_id, n_words, n_removed, sha of what is kept) each."""
+    order = sorted(range(len(rows)), key=lambda k: rows[k][0])
+    seen, out = set(), [None] * len(rows)
+    for k in order:
+        words = re.findall(r"[^\x20\x09-\x0D]+", rows[k][1] or "")
+        gone = [False] * len(words)
+        for i in range(len(words) - width + 1):
+            window = tuple(words[i : i + width])
+            if window in seen:
+                gone[i : i + width] = [True] * width
+            seen.add(window)
+        kept = [w for w, g in zip(words, gone, strict=True) if not g]
+        out[k] = (rows[k][0], len(words), sum(gone), sha(" ".join(kept).encode()))
+    return out

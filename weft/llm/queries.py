@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, exact_dedup, langid, packing, pii, quality, secrets, sharding, simhash, token_counts
+from weft.llm import bpe, exact_dedup, langid, packing, pii, quality, recompression, secrets, sharding, simhash, token_counts
 from weft.llm.common import scratch_path
 from weft.llm.spans import as_text, count_of
 from weft.session import read_table, ship
@@ -81,6 +81,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.repeats(_documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.col("sha256").alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_bpe, op2_simhash, op3_sharding, op4_pii, op5_quality, op6_exact_dedup, op7_secrets, op8_token_counts, op9_langid, op10_packing, pipeline]
+    named = [op1_bpe, op2_simhash, op3_sharding, op4_pii, op5_quality, op6_exact_dedup, op7_secrets, op8_token_counts, op9_langid, op10_packing, op11_recompression, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -123,4 +129,14 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, sha256(regexp_repl
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY norm ORDER BY size DESC, doc_id)"""
-    return {"op6_exact_dedup": dedup_sql, "op7_secrets": secrets_sql}
+    repeats_sql = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS words FROM starts),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)"""
+    return {"op11_recompression": repeats_sql, "op6_exact_dedup": dedup_sql, "op7_secrets": secrets_sql}
