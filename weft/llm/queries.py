@@ -130,7 +130,7 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS size, sha256(regexp_repl
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY norm ORDER BY size DESC, doc_id)"""
     repeats_sql = r"""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t),
 windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS words FROM starts),
 later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1),
