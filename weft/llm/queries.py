@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, exact_dedup, langid, packing, pii, quality, recompression, secrets, sharding, simhash, token_counts
+from weft.llm import bpe, exact_dedup, langid, packing, pii, quality, recompression, secrets, sharding, simhash, spelling, token_counts
 from weft.llm.common import scratch_path
 from weft.llm.spans import as_text, count_of
 from weft.session import read_table, ship
@@ -87,6 +87,10 @@ def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.col("sha256").alias("kept_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir), drop_every=31)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_bpe, op2_simhash, op3_sharding, op4_pii, op5_quality, op6_exact_dedup, op7_secrets, op8_token_counts, op9_langid, op10_packing, op11_recompression, pipeline]
+    named = [op1_bpe, op2_simhash, op3_sharding, op4_pii, op5_quality, op6_exact_dedup, op7_secrets, op8_token_counts, op9_langid, op10_packing, op11_recompression, op12_spelling, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -108,6 +112,14 @@ _VALUES = [
 ]
 
 
+#: CTEs that give the crc32 of every string in column s of the CTE named strings: crc(s, h).
+_CRC = """
+crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+crc_bytes AS (SELECT s, hex(encode(s)) AS x FROM strings),
+crc AS (SELECT s, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) AS h
+        FROM crc_bytes, crc_table)"""
+
+
 def oracle_sql() -> dict[str, str]:
     listed = " UNION ALL ".join(_SPANS.replace("{value}", v).replace("{pattern}", p).replace("{kind}", str(i)) for i, (p, v) in enumerate(_VALUES))
     secrets_sql = rf"""
@@ -139,4 +151,22 @@ words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM t LEFT JOIN kept USING (doc_id)"""
-    return {"op11_recompression": repeats_sql, "op6_exact_dedup": dedup_sql, "op7_secrets": secrets_sql}
+    spelling_sql = rf"""
+WITH RECURSIVE found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents),
+runs AS (SELECT doc_id || ':' || translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s, count(*) AS k FROM found GROUP BY s),
+strings AS (SELECT s FROM runs), {_CRC},
+cut AS (SELECT substr(s, instr(s, ':') + 1) AS run, h, k FROM runs JOIN crc USING (s)),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM cut GROUP BY word HAVING length(word) >= 7 AND sum(k) >= 2),
+shorter AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, min({{'m': -m, 'other': other}}) AS best FROM near GROUP BY word),
+told AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * n THEN best.other END AS form, CASE WHEN -best.m >= 10 * n THEN -best.m END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS d FROM told UNION ALL SELECT c.word, t.form, d + 1 FROM chain c JOIN told t ON t.word = c.root WHERE t.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, d) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM told JOIN roots USING (word)"""
+    return {"op11_recompression": repeats_sql, "op12_spelling": spelling_sql, "op6_exact_dedup": dedup_sql, "op7_secrets": secrets_sql}
