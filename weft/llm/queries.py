@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, exact_dedup, langid, packing, pii, quality, recompression, secrets, sharding, simhash, spelling, token_counts
+from weft.llm import bpe, exact_dedup, langid, packing, pii, quality, recompression, resampling, secrets, sharding, simhash, spelling, token_counts
 from weft.llm.common import scratch_path
 from weft.llm.spans import as_text, count_of
 from weft.session import read_table, ship
@@ -91,6 +91,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_documents(spark, sf_dir), drop_every=31)
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = read_table(spark, f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(_documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_bpe, op2_simhash, op3_sharding, op4_pii, op5_quality, op6_exact_dedup, op7_secrets, op8_token_counts, op9_langid, op10_packing, op11_recompression, op12_spelling, pipeline]
+    named = [op1_bpe, op2_simhash, op3_sharding, op4_pii, op5_quality, op6_exact_dedup, op7_secrets, op8_token_counts, op9_langid, op10_packing, op11_recompression, op12_spelling, op13_resampling, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -169,4 +174,25 @@ told AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 1
 chain AS (SELECT word, word AS root, 0 AS d FROM told UNION ALL SELECT c.word, t.form, d + 1 FROM chain c JOIN told t ON t.word = c.root WHERE t.form IS NOT NULL),
 roots AS (SELECT word, arg_max(root, d) AS root FROM chain GROUP BY word)
 SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM told JOIN roots USING (word)"""
-    return {"op11_recompression": repeats_sql, "op12_spelling": spelling_sql, "op6_exact_dedup": dedup_sql, "op7_secrets": secrets_sql}
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grams = " UNION ALL ".join(f"SELECT doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' '))) AS s FROM {{}}" for n in (1, 2, 3))
+    resampling_sql = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id AS doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+of_docs AS (SELECT doc_id, s, count(*) AS k FROM ({grams.format("d", "d", "d")}) GROUP BY doc_id, s),
+of_target AS (SELECT s, count(*) AS k FROM ({grams.format("b", "b", "b")}) GROUP BY s),
+strings AS (SELECT s FROM of_docs UNION SELECT s FROM of_target), {_CRC},
+own AS (SELECT h % 10000 AS bucket, sum(k) AS n FROM of_docs JOIN crc USING (s) GROUP BY bucket),
+target AS (SELECT h % 10000 AS bucket, sum(k) AS n FROM of_target JOIN crc USING (s) GROUP BY bucket),
+all_ AS (SELECT (SELECT coalesce(sum(n), 0) FROM own)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM target)::DOUBLE AS t),
+gains AS (
+  SELECT r.bucket, floor(1000 * ln((coalesce(target.n, 0)::DOUBLE + 1) * (all_.s + 10000) / ((coalesce(own.n, 0)::DOUBLE + 1) * (all_.t + 10000))))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) r LEFT JOIN own USING (bucket) LEFT JOIN target USING (bucket), all_),
+weights AS (SELECT doc_id, sum(k)::BIGINT AS n_features, sum(k * gain)::BIGINT AS weight FROM of_docs JOIN crc USING (s) JOIN gains ON bucket = h % 10000 GROUP BY doc_id),
+scores AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scores WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM scores LEFT JOIN ranks USING (doc_id)"""
+    return {"op11_recompression": repeats_sql, "op12_spelling": spelling_sql, "op13_resampling": resampling_sql, "op6_exact_dedup": dedup_sql, "op7_secrets": secrets_sql}
