@@ -378,3 +378,66 @@ def repeats(rows, width=20):
         kept = [w for w, g in zip(words, gone, strict=True) if not g]
         out[k] = (rows[k][0], len(words), sum(gone), sha(" ".join(kept).encode()))
     return out
+
+
+def variants(rows, chars=7, least=2, times=10, drop_every=31):
+    """rows: (doc_id, text); {word: (form, root, n, n_near, form_n)}."""
+    import zlib
+
+    counts = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if drop_every and h % drop_every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= chars:
+                counts[run] += 1
+    words = {w: n for w, n in counts.items() if n >= least}
+
+    def one_edit(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    by_size = defaultdict(list)
+    for w in words:
+        by_size[len(w)].append(w)
+    form, near = {}, {}
+    for w, n in words.items():
+        near[w] = [x for k in (-1, 0, 1) for x in by_size[len(w) + k] if x != w and one_edit(w, x)]
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= times * n else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()}
+
+
+def resampled(docs, target, percent=5, least_words=20, seed=42):
+    """docs: (doc_id, text); target: texts; {doc_id: (n_features, weight, score, rank)}."""
+    import math
+    import zlib
+
+    def features(t):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return len(words), Counter(zlib.crc32(" ".join(words[i : i + n]).encode()) % 10000 for n in (1, 2, 3) for i in range(len(words) - n + 1))
+
+    own, wanted = [features(t) for _, t in docs], [features(t) for t in target]
+    s, t = (sum((f for _, f in x), Counter()) for x in (own, wanted))
+    gain = [math.floor(1000 * math.log((t[k] + 1.0) * (s.total() + 10000.0) / ((s[k] + 1.0) * (t.total() + 10000.0)))) for k in range(10000)]
+    out, able = {}, []
+    for (i, _), (n, f) in zip(docs, own, strict=True):
+        weight = sum(k * gain[b] for b, k in f.items())
+        h = int(sha(f"{seed}:{i}".encode())[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out[i] = [f.total(), weight, score, None]
+        if n >= least_words:
+            able.append((-score, i))
+    for rank, (_, i) in enumerate(sorted(able)[: percent * len(able) // 100], 1):
+        out[i][3] = rank
+    return {i: tuple(x) for i, x in out.items()}
