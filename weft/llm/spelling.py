@@ -3,9 +3,10 @@
 A word is a maximal run of letters (A-Z in lower case).  Two words are near if they differ by exactly one inserted, deleted or
 replaced code point.  One edit touches two bigrams of a word at most.  In one order for all words (by the bigram's frequency among
 words, the bigram, its place) the first bigram that the edit leaves alone is therefore among the three first of both words, so
-only the three rarest of each word are joined.  The places of that bigram differ by one at most, and either all before it or all
-behind it is the same in both words: entries are joined by the bigram together with all before it (then the places are the same)
-and with all behind it (then the places differ as the lengths do, by one at most).  What meets is verified by its edit distance.
+only the three rarest of each word are joined.  The places of that bigram differ by one at most, and the edit is before or behind
+it, in the first or the second half of what is there.  Entries are joined by the bigram, what is the same in each of these four
+cases (the other side, which fixes the place, and the other half) and the shorter word's length; so only words that are alike in
+half of their letters meet, however common their bigrams are.  What meets is verified by its edit distance.
 
 A word's form is its near word of the largest count, if that is `times` the word's own count or more; its root is the end of the
 chain of forms.  Counts grow along a chain, so it ends, and rounds of pointer doubling follow it.
@@ -79,33 +80,54 @@ def bigrams(words: DataFrame) -> DataFrame:
     return both.groupBy("gram").agg(F.count("*").alias("n"))
 
 
+def halves(word: str, i: int) -> Iterator[tuple[int, str, bool]]:
+    """(key, whether the word is the longer one of its pair) for the bigram at place i: what is alike in words that one edit, away from it, turns into another.
+
+    The shorter word of a pair (either, if both are as long) has `size` code points.  The edit is before the bigram or behind it,
+    and in the first or in the second half of what is there; the other half, the bigram and the other side are the same.
+    """
+    for size in (len(word), len(word) - 1):
+        behind, before = size - i - 2, size - (len(word) - i)
+        longer = size < len(word)
+        if behind >= 0:
+            half = behind // 2
+            yield size, f"1{word[: i + 2 + half]}", longer
+            yield size, f"2{word[: i + 2]} {word[len(word) - behind + half :]}", longer
+        if before >= 0:
+            half = before // 2
+            yield size, f"3{word[:half]} {word[i:]}", longer
+            yield size, f"4{word[i - (before - half) if longer else half :]}", longer
+
+
 def _entries(rank: dict[str, int]):
-    """(key, word, n, size): each word with its rarest bigrams, each together with all before it and with all behind it."""
+    """(key, word, longer): each word with its rarest bigrams, each together with what an edit may have left alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for part in slices(batches, "word"):
-            keys, at = [], []
+        for part in slices(batches, "word", 1 << 18):
+            keys, at, longer = [], [], []
             for k, word in enumerate(part.column("word").to_pylist()):
-                grams = ((rank[word[i : i + 2]], i) for i in range(len(word) - 1))
-                for _, i in sorted(grams)[:RAREST]:
-                    keys += (xxhash.xxh3_64_intdigest("<" + word[: i + 2]) - (1 << 63), xxhash.xxh3_64_intdigest(">" + word[i:]) - (1 << 63))
-                    at += (k, k)
-            own = part.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), own.column("word"), own.column("n")], ["key", "word", "n"])
+                rarest = sorted((rank[word[i : i + 2]], i) for i in range(len(word) - 1))[:RAREST]
+                own = {(f"{size}:{x}", more) for _, i in rarest for size, x, more in halves(word, i)}
+                keys += [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in own]
+                longer += [more for _, more in own]
+                at += [k] * len(own)
+            words = part.column("word").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), words, pa.array(longer, pa.bool_())], ["key", "word", "longer"])
 
     return run
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b) for all near words a < b of the table words (word, n)."""
+    """(a, b) for all near words a < b of the table words (word, n)."""
     order = bigrams(words).orderBy("n", "gram").collect()  # 8,100 rows at most
-    entries = save(words.mapInArrow(_entries({r["gram"]: k for k, r in enumerate(order)}), "key long, word string, n long"), "entries")
-    entries = entries.withColumn("size", F.length("word"))
-    a, b = (entries.select("key", F.col("word").alias(x), F.col("n").alias(f"n_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
-    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 1))
-    return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b", "n_a", "n_b").distinct()
+    ranks = {r["gram"]: k for k, r in enumerate(order)}
+    entries = save(words.mapInArrow(_entries(ranks), "key long, word string, longer boolean"), "entries")
+    a, b = (entries.select("key", F.col("word").alias(x), F.col("longer").alias(f"longer_{x}")) for x in "ab")
+    met = a.filter("not longer_a").join(b, "key").filter(F.col("longer_b") | (F.col("a") < F.col("b")))
+    near = met.filter(F.levenshtein("a", "b", 1) == 1).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return near.distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -122,8 +144,8 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ch
     """(word, form, root string; n, n_near, form_n long) for each word."""
     words = save(vocabulary(docs, id_col, text_col, chars, least, drop_every), "words")
     pairs = save(near_pairs(words), "pairs")
-    sides = pairs.select("a", "b", "n_b").toDF("word", "other", "m").unionByName(pairs.select("b", "a", "n_a").toDF("word", "other", "m"))
-    best = sides.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
+    sides = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other")))
+    best = sides.join(words.select(F.col("word").alias("other"), F.col("n").alias("m")), "other").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     told = words.join(best, "word", "left")
     has = -F.col("best.m") >= times * F.col("n")
     told = save(told.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(has, F.col("best.other")).alias("form"), F.when(has, -F.col("best.m")).alias("form_n")), "forms")
