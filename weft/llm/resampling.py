@@ -4,8 +4,8 @@ Features are all runs of one to `longest` consecutive words, counted with repeat
 modulo `buckets`.  The distinct-feature dictionary: each task counts the strings of its texts, a lot of words at a time, and deals
 each different string out once a lot, with its count, by a hash of the string.  The owner of a hash adds up the counts of all lots,
 so every string of the corpus stands there once; there it is hashed once, and its count goes to its bucket.  A string is dealt
-out as its last word beneath the words before it, which are listed once, and lists are compressed.  The last word takes part in the
-hash, so strings that begin alike, however many, have several owners.
+out as its last word beneath the words before it, which are listed once, and lists are compressed.  An owner has the strings that
+begin with the same words (all but the last of `longest`), which are far fewer than all strings even where these words are common.
 
 A bucket's gain compares its share of the target's features with its share of all: floor(1000 * ln(ratio)), with one added to
 each bucket.  Gains (`buckets` numbers, whatever the data) are joined to the feature counts of each document, by bucket: a second
@@ -34,8 +34,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from weft.llm.common import save, slices, text_or_empty
 
 BUCKETS, LONGEST = 10_000, 3
-#: Words of a lot, and owners of strings that begin alike.
-MOST, SPREAD = 2_000_000, 64
+#: Words of a lot.
+MOST = 800_000
 #: A-Z in lower case; whatever is not a letter, a digit or beyond ASCII becomes a blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 DEALT = "bucket int, lists binary, sizes binary, counts binary"
@@ -78,22 +78,22 @@ def _lists(numbers: _Numbers, texts: list[np.ndarray], longest: int, owners: int
     own = np.fromiter(map(zlib.crc32, names), np.int64, len(names))
     count = np.bincount(word, minlength=len(names))
     strings, begin, last, counts, owner = list(names), [np.full(len(names), -1)], [np.arange(len(names))], [count], [own % owners]
-    run, hashes, base = word, own, 0  # each place's string of one word less, as a place in strings
+    run, hashes, base = word, own, 0  # each place's string of one word less, as a place in strings; hashes of these strings
     for n in range(2, longest + 1):
         at = np.flatnonzero(room >= n)
         if not len(at):
             break
         key, inverse, count = np.unique(run[at] << 32 | word[at + n - 1], return_inverse=True, return_counts=True)
         first, final = key >> 32, key & 0xFFFFFFFF
-        spread = (hashes[first - base] * 0x5BD1E995 + own[final] % SPREAD) & 0x7FFFFFFF
-        begin, last, counts, owner = [*begin, first], [*last, final], [*counts, count], [*owner, spread % owners]
-        hashes, base = (hashes[first - base] * 31 + own[final]) & 0x7FFFFFFF, len(strings)
+        hashes = hashes[first - base] if n == longest else (hashes[first - base] * 31 + own[final]) & 0x7FFFFFFF
+        begin, last, counts, owner = [*begin, first], [*last, final], [*counts, count], [*owner, hashes % owners]
+        base = len(strings)
         if n < longest:
             strings += [strings[i] + b" " + names[j] for i, j in zip(first.tolist(), final.tolist(), strict=True)]
             run = np.full(len(word), -1)
             run[at] = inverse + base
     begin, last, counts, owner = (np.concatenate(x) for x in (begin, last, counts, owner))
-    order = np.argsort(owner, kind="stable")
+    order = np.lexsort((begin, owner))
     begin, last, counts, owner = begin[order], last[order], counts[order], owner[order]
     cuts = np.flatnonzero(np.diff(owner, prepend=-1))
     packed, out = zstandard.ZstdCompressor(level=3), {f.name: [] for f in schema}
@@ -102,8 +102,8 @@ def _lists(numbers: _Numbers, texts: list[np.ndarray], longest: int, owners: int
         listed = b"\n".join([b"" if k < 0 else strings[k] for k in begin[heads].tolist()]) + b"\0" + b"\n".join([names[k] for k in last[i:j].tolist()])
         out["bucket"].append(int(owner[i]))
         out["lists"].append(packed.compress(listed))
-        out["sizes"].append(_narrow(np.diff(np.r_[heads, j])))
-        out["counts"].append(_narrow(counts[i:j]))
+        out["sizes"].append(packed.compress(_narrow(np.diff(np.r_[heads, j]))))
+        out["counts"].append(packed.compress(_narrow(counts[i:j])))
     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
 
@@ -134,10 +134,10 @@ def _hashed(buckets: int):
         keys, counts = [], []
         for x in held:
             first, _, last = unpacked.decompress(x["lists"]).partition(b"\0")
-            first, last, sizes = first.split(b"\n"), last.split(b"\n"), _wide(x["sizes"])
+            first, last, sizes = first.split(b"\n"), last.split(b"\n"), _wide(unpacked.decompress(x["sizes"]))
             own = np.repeat(np.fromiter(map(begins.__getitem__, first), np.int64, len(first)), sizes)
             keys.append(own << 32 | np.fromiter(map(lasts.__getitem__, last), np.int64, len(last)))
-            counts.append(_wide(x["counts"]))
+            counts.append(_wide(unpacked.decompress(x["counts"])))
         key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
         so_far, names = [zlib.crc32(b + b" ") if b else 0 for b in begins], list(lasts)
@@ -165,7 +165,7 @@ def _hashed(buckets: int):
 def feature_counts(docs: DataFrame, text_col: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): features of all texts by bucket, for buckets that have some."""
     schema = T._parse_datatype_string(DEALT)
-    owners = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.encode(text_or_empty(text_col), "utf-8").alias("text"))
     lists = texts.mapInArrow(_dealt(longest, owners, to_arrow_schema(schema)), schema)
     return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_hashed(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
