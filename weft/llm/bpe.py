@@ -121,13 +121,17 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     long = base.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
     cut = save(long.mapInArrow(_cut(chunk, overlap, to_arrow_schema(T.StructType([named])).field(0).type), chunks), "chunks")
     runs = _runs(cut.select("row", "k", "part"), chunk, overlap, pattern)
-    order = Window.partitionBy("row").orderBy("k")
-    told = cut.join(runs, ["row", "k"], "left").withColumn("stop", F.lead("start").over(order))
-    told = told.withColumn("run", F.sum(F.when(F.col("start").isNotNull(), 1).otherwise(0)).over(order))
+    order = Window.partitionBy("row").orderBy("k")  # a few numbers for each chunk of one text
+    told = cut.select("row", "k", "n").join(runs, ["row", "k"], "left").withColumn("stop", F.lead("start").over(order))
+    told = told.withColumn("run", F.sum(F.when(F.col("start").isNotNull(), 1).otherwise(0)).over(order)).withColumn("chunks", F.count("*").over(Window.partitionBy("row", "run")))
+    told = save(told.select("row", "k", "run", "chunks", "start", "stop"), "runs")
     from_ = F.coalesce("start", F.lit(0))
     to = F.when(F.col("k") == F.col("n") - 1, F.length("part")).otherwise(F.lit(chunk) + F.coalesce("stop", F.lit(0)))
-    pieces = told.select("row", "id", "run", "k", F.col("part").substr(from_ + 1, to - from_).alias("own")).groupBy("row", "run").agg(F.first("id").alias("id"), _joined("k", "own").alias("piece"))
-    spread = pieces.repartition("row", "run").mapInArrow(_encode(rank_path, pattern, ["row", "run", "id"]), T.StructType([T.StructField("row", T.LongType()), T.StructField("run", T.LongType()), named, ids]))
+    # the texts are dealt out once, as the join asks for it; only runs of several chunks are brought together
+    owned = cut.repartition("row", "k").join(told, ["row", "k"]).select("row", "id", "run", "k", "chunks", F.col("part").substr(from_ + 1, to - from_).alias("own"))
+    joined = owned.filter("chunks > 1").groupBy("row", "run").agg(F.first("id").alias("id"), _joined("k", "own").alias("piece"))
+    pieces = owned.filter("chunks = 1").select("row", "run", "id", F.col("own").alias("piece")).unionByName(joined)
+    spread = pieces.mapInArrow(_encode(rank_path, pattern, ["row", "run", "id"]), T.StructType([T.StructField("row", T.LongType()), T.StructField("run", T.LongType()), named, ids]))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"])
     joined = spread.groupBy("row").agg(F.first("id").alias("id"), F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids")).select("id", "ids")
     return short.unionByName(joined).select(F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
