@@ -5,6 +5,9 @@ spans) in a folder the cluster shares: one row for each blob that was scanned un
 distinct blobs of its documents, leaves out those that the ledger holds for this rule version, scans the rest, appends their
 findings in one commit, and joins the ledger's findings back to all documents (all paths and versions) with that content.
 
+Documents in which no rule can match are told by a cheap test while they are read (may_match).  Their blobs go to the ledger
+with an empty list, and their texts are not moved; only the others are brought together by blob and joined to findings.
+
 A null text counts as empty; empty and very long texts are blobs like any other and are scanned whole.  Documents without
 findings are in the ledger too, with an empty list.  Repeated rows and copies share one blob and each get its findings.  Ties:
 findings that start alike are in the order of their kinds.  An empty table gives an empty table and leaves the ledger as it
@@ -14,6 +17,8 @@ get an underscore.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,19 +52,31 @@ def ledger(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def scan(docs: DataFrame, path: str, rules: str = RULES, text_col: str = "text", finder=find) -> DataFrame:
-    """docs and, last, columns blob and spans; the ledger at path holds their blobs afterwards."""
+def may_match(text: Column) -> Column:
+    """What every text with a finding fulfils."""
+    assigned = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+    return F.rlike(text, F.lit(assigned)) | F.contains(text, F.lit("AKIA")) | F.rlike(text, F.lit("[0-9a-f]{16}"))
+
+
+def scan(docs: DataFrame, path: str, rules: str = RULES, text_col: str = "text", finder: Callable[[Column], Column] = find, may: Callable[[Column], Column] = may_match) -> DataFrame:
+    """docs and, last, columns blob and spans; the ledger at path holds their blobs afterwards.
+
+    finder, may: the rules, and a test that every text with a finding passes.
+    """
     spark, (blob, spans) = docs.sparkSession, free_names(docs.columns, "blob", "spans")
     named = docs.withColumn(blob, F.sha2(text_or_empty(text_col), 256))
-    texts = named.select(F.col(blob).alias("blob"), text_or_empty(text_col).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    open_, clean = named.filter(may(text_or_empty(text_col))), named.filter(~may(text_or_empty(text_col)))
     seen = ledger(spark, path).filter(F.col("rules") == rules).select("blob")
-    unseen = texts.join(seen, "blob", "left_anti").select("blob", F.lit(rules).alias("rules"), finder(F.col("text")).alias("spans"))
-    unseen.write.mode("append").parquet(path)
+    texts = open_.select(F.col(blob).alias("blob"), text_or_empty(text_col).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    scanned = texts.join(seen, "blob", "left_anti").select("blob", F.lit(rules).alias("rules"), finder(F.col("text")).alias("spans"))
+    without = clean.select(F.col(blob).alias("blob")).distinct().join(seen, "blob", "left_anti").select("blob", F.lit(rules).alias("rules"), F.array().cast(SPAN).alias("spans"))
+    scanned.unionByName(without).write.mode("append").parquet(path)
     held = ledger(spark, path).filter(F.col("rules") == rules)
     # a commit that was repeated after a lost driver may have left a blob twice
     once = held.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
     found = save(once.toDF(blob, spans), "findings")  # a table of its own, so that Spark can split the rows of a blob with many copies in the join
-    return named.join(found, blob, "left").select(*docs.columns, blob, F.coalesce(spans, F.array().cast(SPAN)).alias(spans))
+    told = open_.join(found, blob, "left").select(*docs.columns, blob, F.coalesce(spans, F.array().cast(SPAN)).alias(spans))
+    return told.unionByName(clean.select(*docs.columns, blob, F.array().cast(SPAN).alias(spans)))
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
