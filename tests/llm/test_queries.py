@@ -282,3 +282,26 @@ def test_rows_of_any_table_are_numbered(spark, tmp_path):
         assert name == "row_" and held.columns == [*df.columns, name] and held.select(name).distinct().count() == 20
         assert sorted((r["n"], r["row"]) for r in held.collect()) == rows_ and held.collect() == held.collect()
     assert free_names(["Blob", "x"], "blob", "blob_") == ["blob_", "blob__"]
+
+
+@pytest.mark.parametrize("token", ["." * 100_000, ":" * 100_000, "1 " * 100_000, "@" * 100_000, "a@b. " * 20_000, "1." * 50_000, "+1 " * 30_000, "(" * 100_000])
+def test_pii_of_long_runs_of_marks(spark, token):
+    texts = [f"0{token}2", f"at {token} mail a@b.cc end"]
+    got = {x["doc_id"]: [tuple(s) for s in x["base"]] for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(2)] == [sorted(B.pii(t)) for t in texts]
+
+
+def test_secrets_that_may_match(spark):
+    """The cheap test lets every text with a finding through, and texts without any reach the ledger."""
+    from weft.llm.common import scratch_path
+
+    texts = ["x" * 50, "", None, "Password : 'abcdefghijkl'", "api_key=short", "AKIA" + "A" * 14, "f" * 16, "f" * 15, "TOKEN==========================", "apikey   :\"aaaaaaaaaaaaaaa", "secret is abcdefghijklmn"]
+    docs = save(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    path = scratch_path(spark, "ledger")
+    got = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in secrets.scan(docs, path).collect()}
+    assert [got[i] for i in range(len(texts))] == [sorted(B.secrets(t)) for t in texts]
+    assert secrets.ledger(spark, path).count() == len({t or "" for t in texts})
+    plan = secrets.scan(docs, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") >= 1
+    every = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in secrets.scan(docs, scratch_path(spark, "ledger"), may=lambda t: F.lit(True)).collect()}
+    assert every == got

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import save, text_or_empty
-from weft.llm.spans import SPAN, let, located
+from weft.llm.spans import SPAN, let, located, starts
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The base patterns.  Runs before an @ or a dot are taken whole (possessive) and only begin where a run or
@@ -40,7 +40,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # or colons between them; so many digits with nothing but blanks, dots, hyphens (and, for phones, brackets) among them.
 SHAPES = [
     r"[^@]+@[^@]+",
-    r"(?=[^0-9]*[0-9])[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){2,}",
+    r"(?=[^0-9]*[0-9])[0-9A-Fa-f]*+(?:[.:][0-9A-Fa-f]*+){2,}+",
     r"[0-9](?:[\x20.-]?[0-9]){11,18}",
     r"[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}",
 ]
@@ -51,7 +51,7 @@ RUN = rf"(?<![^{_SPACE}]){_TOKEN}(?:\x20{_TOKEN})*+"
 LAST = rf"(?<![^{_SPACE}])([^{_SPACE}]++)[{_SPACE}]*+$"
 FIRST = rf"^[{_SPACE}]*+([^{_SPACE}]++)"
 #: Marks around a candidate that are no part of it.
-BEFORE, AFTER = r"^[^A-Za-z0-9+(]+", r"[^A-Za-z0-9]+$"
+BEFORE, AFTER = r"^[^A-Za-z0-9+(]++", r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++$"
 NEAR = "array<struct<start:int,stop:int,kind:int,left:string,right:string,value:string>>"
 
 
@@ -101,8 +101,9 @@ def candidates(text: Column, base: Column) -> Column:
 
     def parts(run: Column) -> Column:
         tokens = F.split(run["value"], "\x20", -1)
-        place = lambda i: run["start"] + F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice(tokens, F.lit(1), i), " ")) + 1)
-        single = F.filter(F.transform(tokens, lambda t, i: bare(run, place(i), t)), fits)
+        places = lambda t: let(F.transform(t, lambda x: F.length(x) + 1), lambda n: let(F.transform(n, lambda _: F.lit("")), lambda none: starts(n, none)))
+        held = let(tokens, lambda t: F.struct(t.alias("t"), let(t, places).alias("at")))
+        single = let(held, lambda h: F.filter(F.transform(h["t"], lambda t, i: bare(run, run["start"] + F.get(h["at"], i), t)), fits))
         return let(bare(run, run["start"], run["value"]), lambda c: F.when(fits(c), F.array(c)).otherwise(single))
 
     return F.coalesce(F.flatten(F.transform(located(text, RUN, row, F.rlike(text, F.lit("[0-9@]"))), parts)).cast(NEAR), F.array().cast(NEAR))
