@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import strip
+from weft.sources.tables import Files
 
 LINES = "path string, line_no long, text string"
 
@@ -67,10 +68,10 @@ def read_hypotheses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hypotheses(lines: DataFrame) -> DataFrame:
-    """(id, score, hyp, at) from log lines (line_no, text): `H-<id>`, score and text between tabs."""
+    """(id, score, hyp, at) from log lines (line_no, text): `H-<id>`, score and text between tabs; what is no number is null."""
     part = F.split("text", "\t", -1)
     own = lines.filter(F.col("text").startswith("H-"))
-    return own.select(F.substring_index(F.get(part, F.lit(0)), "-", -1).cast("int").alias("id"), F.get(part, F.lit(1)).cast("double").alias("score"), F.get(part, F.lit(2)).alias("hyp"), F.col("line_no").alias("at"))
+    return own.select(F.substring_index(F.get(part, F.lit(0)), "-", -1).try_cast("int").alias("id"), F.get(part, F.lit(1)).try_cast("double").alias("score"), F.get(part, F.lit(2)).alias("hyp"), F.col("line_no").alias("at"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -121,18 +122,32 @@ def read_bitext_strict(spark: SparkSession, root: str, split: str = "train") ->
     return read_bitext(spark, root, split).filter("src_lang <> tgt_lang")
 
 
-def write_joint(bitext: DataFrame, path: str, src_lang: str = "SRC", tgt_lang: str = "TGT", split: str = "train") -> None:
+def write_joint(bitext: DataFrame, path: str, src_lang: str = "SRC", tgt_lang: str = "TGT", split: str = "train", block: int = 1 << 20) -> None:
     """All pairs one after the other, in their order and that of their lines, as one source and one target text, and the counts of
-    pairs: {path}/{split}.{SRC or TGT}/part-* and {path}/{split}.metadata.  The parts of both sides hold the same lines."""
-    keys = ["src_lang", "tgt_lang", "line_no"]
-    ordered = bitext.select(*keys, *(F.coalesce(c, F.lit("")).alias(c) for c in ("src_text", "tgt_text"))).orderBy(*keys)
-    rows = ordered.select("src_text", "tgt_text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    held = f"{path}/{split}.rows"
-    rows.write.mode("overwrite").parquet(held)  # sorted once for both sides
-    both = bitext.sparkSession.read.schema(rows.schema).parquet(held)
-    for name, col in ((src_lang, "src_text"), (tgt_lang, "tgt_text")):
-        both.repartitionByRange("part").sortWithinPartitions("part", "at").select(col).write.mode("overwrite").text(f"{path}/{split}.{name}")
-    counts = bitext.groupBy("src_lang", "tgt_lang").agg(F.count("*").alias("cnt"))
+    pairs: {path}/{split}.{SRC or TGT}/part-* and {path}/{split}.metadata.  The parts of both sides hold the same lines.
+
+    A part is a block of line numbers of one pair, and its name tells where in the whole text it starts: sums of the blocks' sizes
+    place it, so nothing is sorted as a whole and the texts are shuffled once, for both sides.
+    """
+    spark, keys = bitext.sparkSession, ["src_lang", "tgt_lang", "block"]
+    held = bitext.select("src_lang", "tgt_lang", F.floor(F.col("line_no") / block).alias("block"), "line_no", *(F.coalesce(c, F.lit("")).alias(c) for c in ("src_text", "tgt_text")))
+    sizes = held.groupBy(*keys).agg(F.count("*").alias("n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    placed = sizes.select(*keys, F.format_string("%020d", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("place"))
+    rows = held.repartition(*keys).join(placed, keys)
+    sides = F.explode(F.array(*(F.struct(F.lit(name).alias("side"), F.col(c).alias("text")) for name, c in ((src_lang, "src_text"), (tgt_lang, "tgt_text")))))
+    parked = f"{path}/{split}.parts"
+    ordered = rows.select("place", "line_no", sides.alias("s")).select("place", "line_no", "s.*").sortWithinPartitions("side", "place", "line_no")
+    ordered.select("side", "place", "text").write.mode("overwrite").partitionBy("side", "place").option("maxRecordsPerFile", 0).text(parked)
+    files = Files(spark, path)
+    for name in (src_lang, tgt_lang):
+        files.remove(f"{path}/{split}.{name}")
+        files.make(f"{path}/{split}.{name}")
+        for place in files.names(f"{parked}/side={name}"):
+            (part,) = (x for x in files.names(f"{parked}/side={name}/{place}") if x.startswith("part-"))  # one task wrote the block
+            files.move(f"{parked}/side={name}/{place}/{part}", f"{path}/{split}.{name}/part-{place.removeprefix('place=')}.txt")
+    files.remove(parked)
+    counts = sizes.groupBy("src_lang", "tgt_lang").agg(F.sum("n").alias("cnt"))
     counts.orderBy("src_lang", "tgt_lang").write.mode("overwrite").csv(f"{path}/{split}.metadata", sep="\t")
 
 
