@@ -284,11 +284,11 @@ def test_rows_of_any_table_are_numbered(spark, tmp_path):
     assert free_names(["Blob", "x"], "blob", "blob_") == ["blob_", "blob__"]
 
 
-@pytest.mark.parametrize("token", ["." * 100_000, ":" * 100_000, "1 " * 100_000, "@" * 100_000, "a@b. " * 20_000, "1." * 50_000, "+1 " * 30_000, "(" * 100_000])
-def test_pii_of_long_runs_of_marks(spark, token):
-    texts = [f"0{token}2", f"at {token} mail a@b.cc end"]
+def test_pii_of_long_runs_of_marks(spark):
+    tokens = ["." * 100_000, ":" * 100_000, "1 " * 50_000, "@" * 100_000, "a@b. " * 20_000, "1." * 50_000, "+1 " * 30_000, "(" * 100_000]
+    texts = [t for x in tokens for t in (f"0{x}2", f"at {x} mail a@b.cc end")]
     got = {x["doc_id"]: [tuple(s) for s in x["base"]] for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(2)] == [sorted(B.pii(t)) for t in texts]
+    assert [got[i] for i in range(len(texts))] == [sorted(B.pii(t)) for t in texts]
 
 
 def test_secrets_that_may_match(spark):
