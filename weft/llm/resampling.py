@@ -2,10 +2,10 @@
 
 Features are all runs of one to `longest` consecutive words, counted with repeats; a feature's bucket is the crc32 of its string
 modulo `buckets`.  The distinct-feature dictionary: each task counts the strings of its texts, a lot of words at a time, and deals
-each different string out once a lot, with its count, by a hash of the string.  The owner of a hash adds up the counts of all lots,
-so every string of the corpus stands there once; there it is hashed once, and its count goes to its bucket.  A string is dealt
-out as its last word beneath the words before it, which are listed once, and lists are compressed.  An owner has the strings that
-begin with the same words (all but the last of `longest`), which are far fewer than all strings even where these words are common.
+each different string out once a lot, with its count, by a hash of its first two words.  Their owner adds up the counts of all lots,
+so every string of the corpus stands there once; there it is hashed once, and its count goes to its bucket.  Strings are dealt
+out as a tree of words, so a beginning that many share is listed once, and lists are compressed.  Strings that begin with one word,
+however common it is, have several owners.
 
 A bucket's gain compares its share of the target's features with its share of all: floor(1000 * ln(ratio)), with one added to
 each bucket.  Gains (`buckets` numbers, whatever the data) are joined to the feature counts of each document, by bucket: a second
@@ -21,8 +21,10 @@ table, or gains of the one that is not empty.  Only the id and text columns are
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +37,21 @@ from weft.llm.common import save, slices, text_or_empty
 
 BUCKETS, LONGEST = 10_000, 3
 #: Words of a lot.
-MOST = 800_000
+MOST = 500_000
+#: Owners of strings that begin with one word, and how far they are apart.
+SPREAD, _STEP = 16, 0x9E3779B1
 #: A-Z in lower case; whatever is not a letter, a digit or beyond ASCII becomes a blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
-DEALT = "bucket int, lists binary, sizes binary, counts binary"
+DEALT = "bucket int, lists binary, sizes array<binary>, counts array<binary>"
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class _Numbers(dict):
+def _numbers() -> defaultdict[bytes, int]:
     """Words as numbers, in the order in which they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+    return defaultdict(count().__next__)
 
 
 # The dictionary of features
@@ -66,50 +67,58 @@ def _wide(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
 
-def _lists(numbers: _Numbers, texts: list[np.ndarray], longest: int, owners: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The different strings of a lot with their counts: for each owner the beginnings, how many strings each begins, their last words."""
+def _lists(numbers: dict[bytes, int], texts: list[np.ndarray], longest: int, owners: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The different strings of a lot with their counts: for each owner a tree of words, level by level.
+
+    Level n has the last words of strings of n words, in the order of their parents, their counts and how many children each has.  A
+    first word stands in the tree of each owner that has strings which begin with it, and is counted in one of them.
+    """
     import zstandard
 
-    names = sorted(numbers)
+    names = np.empty(len(numbers), object)
+    names[:] = sorted(numbers)
     rank = np.empty(len(names), np.int64)
     rank[np.fromiter(map(numbers.__getitem__, names), np.int64, len(names))] = np.arange(len(names))
     word = rank[np.concatenate(texts)]
     room = np.concatenate([np.arange(len(t), 0, -1) for t in texts])  # words from here to the end of the text
     own = np.fromiter(map(zlib.crc32, names), np.int64, len(names))
-    count = np.bincount(word, minlength=len(names))
-    strings, begin, last, counts, owner = list(names), [np.full(len(names), -1)], [np.arange(len(names))], [count], [own % owners]
-    run, hashes, base = word, own, 0  # each place's string of one word less, as a place in strings; hashes of these strings
+    levels, run, owner = [], word, None
+    total = np.bincount(word, minlength=len(names))
     for n in range(2, longest + 1):
         at = np.flatnonzero(room >= n)
-        if not len(at):
-            break
-        key, inverse, count = np.unique(run[at] << 32 | word[at + n - 1], return_inverse=True, return_counts=True)
-        first, final = key >> 32, key & 0xFFFFFFFF
-        hashes = hashes[first - base] if n == longest else (hashes[first - base] * 31 + own[final]) & 0x7FFFFFFF
-        begin, last, counts, owner = [*begin, first], [*last, final], [*counts, count], [*owner, hashes % owners]
-        base = len(strings)
-        if n < longest:
-            strings += [strings[i] + b" " + names[j] for i, j in zip(first.tolist(), final.tolist(), strict=True)]
-            run = np.full(len(word), -1)
-            run[at] = inverse + base
-    begin, last, counts, owner = (np.concatenate(x) for x in (begin, last, counts, owner))
-    order = np.lexsort((begin, owner))
-    begin, last, counts, owner = begin[order], last[order], counts[order], owner[order]
-    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-    packed, out = zstandard.ZstdCompressor(level=3), {f.name: [] for f in schema}
-    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)], strict=True):
-        heads = i + np.flatnonzero(np.diff(begin[i:j], prepend=-2))
-        listed = b"\n".join([b"" if k < 0 else strings[k] for k in begin[heads].tolist()]) + b"\0" + b"\n".join([names[k] for k in last[i:j].tolist()])
-        out["bucket"].append(int(owner[i]))
-        out["lists"].append(packed.compress(listed))
-        out["sizes"].append(packed.compress(_narrow(np.diff(np.r_[heads, j]))))
-        out["counts"].append(packed.compress(_narrow(counts[i:j])))
+        key, inverse, times = np.unique(run[at] << 32 | word[at + n - 1], return_inverse=True, return_counts=True)
+        parent, last = key >> 32, key & 0xFFFFFFFF
+        owner = (own[parent] + own[last] % SPREAD * _STEP) % owners if n == 2 else owner[parent]
+        levels.append((owner, parent, last, times))
+        run = np.full(len(word), -1)
+        run[at] = inverse
+    home = own % owners
+    first = levels[0][:2] if levels else (home[:0], home[:0])
+    both = np.unique(np.r_[home * len(names) + np.arange(len(names)), first[0] * len(names) + first[1]])
+    owner, last = both // len(names), both % len(names)
+    levels.insert(0, (owner, None, last, np.where(owner == home[last], total[last], 0)))
+    packed, sorted_ = zstandard.ZstdCompressor(level=3), []
+    for k, (owner, _, last, times) in enumerate(levels):
+        order = np.argsort(owner, kind="stable")  # nodes are in the order of their paths
+        if k + 1 < len(levels):
+            below = levels[k + 1][1] if k else np.searchsorted(both, levels[1][0] * len(names) + levels[1][1])
+            sizes = np.bincount(below, minlength=len(owner))[order]
+        else:
+            sizes = np.zeros(0, np.int64)
+        sorted_.append((np.searchsorted(owner[order], np.arange(owners + 1)), last[order], times[order], sizes))
+    out = {f.name: [] for f in schema}
+    for i in np.unique(levels[0][0]).tolist():
+        parts = [(last[c[i] : c[i + 1]], times[c[i] : c[i + 1]], sizes[c[i] : c[i + 1]]) for c, last, times, sizes in sorted_]
+        out["bucket"].append(i)
+        out["lists"].append(packed.compress(b"\0".join(b"\n".join(names[last].tolist()) for last, _, _ in parts)))
+        out["counts"].append([packed.compress(_narrow(times)) for _, times, _ in parts])
+        out["sizes"].append([packed.compress(_narrow(sizes)) for _, _, sizes in parts[:-1]])
     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
 
 def _dealt(longest: int, owners: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, texts, held = _Numbers(), [], 0
+        numbers, texts, held = _numbers(), [], 0
         for part in slices(batches, "text"):
             for text in part.column("text").to_pylist():
                 if own := words_of(text):
@@ -117,44 +126,54 @@ def _dealt(longest: int, owners: int, schema: pa.Schema):
                     held += len(own)
             if held >= MOST:
                 yield from _lists(numbers, texts, longest, owners, schema)
-                numbers, texts, held = _Numbers(), [], 0
+                numbers, texts, held = _numbers(), [], 0
         if held:
             yield from _lists(numbers, texts, longest, owners, schema)
 
     return run
 
 
-def _hashed(buckets: int):
-    """(bucket, n): counts of the different strings of each owner, each hashed once; rows come sorted by owner."""
+def _strings(held: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The crc32 and the count of each different string of an owner, each hashed once, level by level."""
     import zstandard
 
-    def strings(held: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket and the count of each different string."""
-        unpacked, begins, lasts = zstandard.ZstdDecompressor(), _Numbers(), _Numbers()
-        keys, counts = [], []
-        for x in held:
-            first, _, last = unpacked.decompress(x["lists"]).partition(b"\0")
-            first, last, sizes = first.split(b"\n"), last.split(b"\n"), _wide(unpacked.decompress(x["sizes"]))
-            own = np.repeat(np.fromiter(map(begins.__getitem__, first), np.int64, len(first)), sizes)
-            keys.append(own << 32 | np.fromiter(map(lasts.__getitem__, last), np.int64, len(last)))
-            counts.append(_wide(unpacked.decompress(x["counts"])))
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
-        so_far, names = [zlib.crc32(b + b" ") if b else 0 for b in begins], list(lasts)
-        crc = np.fromiter((zlib.crc32(names[j], so_far[i]) for i, j in zip((key >> 32).tolist(), (key & 0xFFFFFFFF).tolist(), strict=True)), np.int64, len(key))
-        return crc % buckets, total
+    unpacked, ids, levels = zstandard.ZstdDecompressor(), _numbers(), []
+    for x in held:
+        for k, listed in enumerate(unpacked.decompress(x["lists"]).split(b"\0")):
+            if k == len(levels):
+                levels.append(([], [], []))
+            own = listed.split(b"\n") if listed else []
+            levels[k][0].append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
+            levels[k][1].append(_wide(unpacked.decompress(x["counts"][k])))
+            if k < len(x["sizes"]):
+                levels[k][2].append(_wide(unpacked.decompress(x["sizes"][k])))
+    table, crc, node, sizes = Crc(list(ids)), None, None, None
+    for words, counts, below in levels:
+        word = np.concatenate(words)
+        key, inverse = np.unique(word if node is None else np.repeat(node, sizes) << 32 | word, return_inverse=True)
+        crc = table.own[key] if node is None else table.then(crc[key >> 32], key & 0xFFFFFFFF)
+        yield crc, np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
+        node, sizes = inverse, np.concatenate(below) if below else None
+
+
+def _hashed(buckets: int):
+    """(bucket, n): counts of the different strings of each owner; rows come sorted by owner."""
+
+    def added(sums: np.ndarray, held: list[dict]) -> None:
+        for crc, n in _strings(held):
+            sums += np.bincount(crc % np.uint32(buckets), n, buckets).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, held, sums, some = None, [], np.zeros(buckets, np.int64), False
         for batch in batches:
             for x in batch.to_pylist():
                 if x["bucket"] != owner and held:
-                    np.add.at(sums, *strings(held))
+                    added(sums, held)
                     held = []
                 owner, some = x["bucket"], True
                 held.append(x)
         if held:
-            np.add.at(sums, *strings(held))
+            added(sums, held)
         if some:
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["bucket", "n"])
@@ -165,7 +184,7 @@ def _hashed(buckets: int):
 def feature_counts(docs: DataFrame, text_col: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): features of all texts by bucket, for buckets that have some."""
     schema = T._parse_datatype_string(DEALT)
-    owners = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.encode(text_or_empty(text_col), "utf-8").alias("text"))
     lists = texts.mapInArrow(_dealt(longest, owners, to_arrow_schema(schema)), schema)
     return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_hashed(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -214,33 +233,51 @@ def _moved(size: int) -> np.ndarray:
     return x.reshape(4, 256)
 
 
+def _over(crc: np.ndarray, tables: np.ndarray, row: np.ndarray | int) -> np.ndarray:
+    """What becomes of each crc32, by the table that begins at its row."""
+    moved = tables[row + (crc & np.uint32(0xFF))]
+    for b in range(1, 4):
+        moved = moved ^ tables[row + 256 * b + ((crc >> np.uint32(8 * b)) & np.uint32(0xFF))]
+    return moved
+
+
+class Crc:
+    """The crc32 of words, and of strings to which a blank and a word are added."""
+
+    def __init__(self, words: list[bytes]):
+        self.own = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        sizes, row = np.unique(size, return_inverse=True)
+        self._row = row * 1024
+        self._tables = np.concatenate([_moved(n + 1).reshape(-1) for n in sizes.tolist()] or [np.zeros(0, np.uint32)])
+        blank = np.array([zlib.crc32(b" ")], np.uint32)
+        moved = np.concatenate([_over(blank, _moved(n).reshape(-1), 0) for n in sizes.tolist()] or [blank])
+        self._behind = moved[row] ^ self.own  # of a blank and the word
+
+    def then(self, crc: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The crc32 of each string with a blank and the word behind it."""
+        return _over(crc, self._tables, self._row[word]) ^ self._behind[word]
+
+
 def crc32s(words: list[bytes], word: np.ndarray, room: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length up to `longest`: the places at which a feature of that many words begins, and the features' crc32.
 
     words: the different ones; word: the number of that at each place; room: words from each place to the end of its text.
     """
-    own, behind = (np.fromiter((zlib.crc32(w, c) for w in words), np.uint32, len(words)) for c in (0, zlib.crc32(b" ")))
-    sizes, size = np.unique([len(w) + 1 for w in words], return_inverse=True)
-    tables = np.stack([_moved(s) for s in sizes.tolist()]).reshape(-1)
-    # the crc32 of a blank and a word; moving the crc32 of what comes before it over as many bytes gives that of both together
-    at, crc = np.arange(len(word)), own[word]
+    table = Crc(words)
+    at, crc = np.arange(len(word)), table.own[word]
     yield at, crc
     for n in range(2, longest + 1):
         kept = room[at] >= n
         at, crc = at[kept], crc[kept]
-        next_ = word[at + n - 1]
-        row = size[next_] * 1024
-        moved = tables[row + (crc & 0xFF)]
-        for b in range(1, 4):
-            moved ^= tables[row + 256 * b + ((crc >> np.uint32(8 * b)) & np.uint32(0xFF))]
-        crc = moved ^ behind[next_]
+        crc = table.then(crc, word[at + n - 1])
         yield at, crc
 
 
 def _weighed(gain: np.ndarray, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            numbers = _Numbers()
+            numbers = _numbers()
             texts = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words_of, part.column("text").to_pylist())]
             sizes = np.array([len(t) for t in texts], np.int64)
             weight = np.zeros(len(texts), np.int64)
