@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import languages as lang
+from weft.functions import scripts
 from weft.functions import text as tx
 from weft.functions.punctuation import normalize_corpus, normalize_request
-from weft.operators import corpus, metrics, translation, vocabulary
+from weft.operators import batching, corpus, metrics, sentences, translation, vocabulary
 from weft.plans import prepare
 from weft.session import read_table, ship
 from weft.sources.bitext import hypotheses
@@ -284,15 +285,17 @@ def punct_lang_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.punctuation_language(lang.language_dim(spark).select(F.col("flores").alias("code")).union(own).filter("code is not null").distinct()).select("code", "punct_lang")
 
 
-_ISO = ", ".join(f"'{a}'" for a, _ in lang.iso_rows())
+_CODES = [a for a, _ in lang.iso_rows()] + ["zz"]
+_ISO = ", ".join(f"'{a}'" for a in _CODES)
 
 
-@query(f"""WITH i AS (SELECT unnest([{_ISO}, 'zz']) AS c), p AS (SELECT a.c AS src, b.c AS tgt FROM i a, i b), k AS (SELECT unnest([{_ISO}]) AS c)
-SELECT src, tgt, CASE WHEN src = 'en' AND tgt IN (FROM k) THEN 'en-indic' WHEN src IN (FROM k) AND tgt = 'en' THEN 'indic-en' WHEN src IN (FROM k) AND tgt IN (FROM k) THEN 'indic-indic' END AS direction FROM p""")
+@query(f"""WITH {TURNS}, i AS (SELECT line_no, [{_ISO}] AS c FROM turns), p AS (SELECT line_no, c[line_no % {len(_CODES)} + 1] AS src, c[line_no // 1000 % {len(_CODES)} + 1] AS tgt FROM i), k AS (SELECT unnest([{_ISO}]) AS c EXCEPT SELECT 'zz')
+SELECT line_no, src, tgt, CASE WHEN src = 'en' AND tgt IN (FROM k) THEN 'en-indic' WHEN src IN (FROM k) AND tgt = 'en' THEN 'indic-en' WHEN src IN (FROM k) AND tgt IN (FROM k) THEN 'indic-indic' END AS direction FROM p""")
 def route_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = [a for a, _ in lang.iso_rows()] + ["zz"]
-    pairs = spark.createDataFrame([(a, b) for a in codes for b in codes], "src string, tgt string")
-    return pairs.select("src", "tgt", lang.direction(F.col("src"), F.col("tgt")).alias("direction"))
+    """The model for each turn; its number tells the languages that it is taken to be in."""
+    codes, n = F.array(*map(F.lit, _CODES)), F.col("line_no")
+    asked = turns(spark, sf_dir).select("line_no", F.get(codes, n % len(_CODES)).alias("src"), F.get(codes, F.floor(n / 1000) % len(_CODES)).alias("tgt"))
+    return asked.withColumn("direction", lang.direction(F.col("src"), F.col("tgt")))
 
 
 @query(f"""WITH {TURNS}, d AS (SELECT * FROM {values_sql(lang.system_rows(), "system, flores, code")})
@@ -563,11 +566,11 @@ def vocab_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("token", "freq")
 
 
-@query(f"""WITH {LINES} SELECT doc_id, line_no::INT AS line_no, text FROM lines WHERE len(string_split(regexp_replace(text, '^[\\r\\n ]+|[\\r\\n ]+$', '', 'g'), ' ')) <> 2""")
+@query(f"""WITH {LINES} SELECT doc_id, line_no::INT AS line_no, text, CASE WHEN text = '' THEN '' ELSE array_to_string(list_transform(string_split(text, ''), lambda c: printf('%08X', unicode(c))), '') END AS points FROM lines WHERE len(string_split(regexp_replace(text, '^[\\r\\n ]+|[\\r\\n ]+$', '', 'g'), ' ')) <> 2""")
 def vocab_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that are no vocabulary lines."""
+    """The lines that are no vocabulary lines, and their code points."""
     _, bad = vocabulary_lines(lines(spark, sf_dir))
-    return bad.select("doc_id", "line_no", "text")
+    return bad.select("doc_id", "line_no", "text", "points")
 
 
 @query(f"""WITH d AS (SELECT doc_id, string_split({strip_sql("replace(coalesce(text, ''), chr(10), ' ')")}, ' ') AS l FROM documents),
@@ -784,14 +787,19 @@ def files_of_whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.complete_pairs(turns(spark, sf_dir).select("pair", own.alias("lang")).distinct()).select("pair", "lang")
 
 
-@query(f"SELECT system, flores, code AS sys_code FROM {values_sql(lang.system_rows(), 'system, flores, code')} WHERE contains(system, 'b')")
+_NAMES = sorted({x for x, *_ in lang.system_rows()})
+
+
+@query(f"""WITH {TURNS}, s AS (SELECT line_no, pair, [{", ".join(f"'{x}'" for x in _NAMES)}][line_no % {len(_NAMES)} + 1] AS system FROM turns) SELECT line_no, pair, system FROM s WHERE contains(system, 'b')""")
 def system_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lang.systems_named(lang.system_dim(spark), "b")
+    """Of predictions (the turns, dealt to all systems) those of the systems that are asked for."""
+    names = F.array(*map(F.lit, _NAMES))
+    return lang.systems_named(turns(spark, sf_dir).select("line_no", "pair", F.get(names, F.col("line_no") % len(_NAMES)).alias("system")), "b")
 
 
-@query(f"""WITH {TURNS} SELECT line_no, pair FROM turns""")
+@query(f"""WITH {TURNS} SELECT line_no, pair, row_number() OVER (ORDER BY md5('7:' || line_no), line_no) - 1 AS place FROM turns""")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.shuffled(turns(spark, sf_dir).select("line_no", "pair"), 7, "line_no")
+    return corpus.shuffled_places(turns(spark, sf_dir).select("line_no", "pair"), 7, "line_no")
 
 
 @query()
@@ -818,3 +826,148 @@ def tags_mend(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = lines(spark, sf_dir).select("doc_id", "line_no", tx.wrap(_mixed()).alias("raw"))
     apart = F.replace(F.replace(F.regexp_replace("raw", "([0-9])([:/.][0-9])(?=[^<]*</dnt>)", "$1 $2"), F.lit("<dnt>"), F.lit("< dnt >")), F.lit("</dnt>"), F.lit("< / dnt >"))
     return raw.select("doc_id", "line_no", tx.mend_tags(apart, F.col("raw")).alias("out"))
+
+
+# Batches under a budget of tokens
+
+_SIZED = f"sized AS (SELECT pair, line_no, {_pieces('src_text')} AS size FROM turns)"
+_BATCHES = f"""{TURNS}, {_SIZED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY size DESC, line_no) - 1 AS r, count(*) OVER (PARTITION BY pair) AS n FROM sized),
+heads AS (SELECT pair, r, n, greatest(1, {{budget}} // greatest(1, size)) AS fits FROM ranked),
+starts AS (SELECT pair, 0 AS batch, r, fits, n FROM heads WHERE r = 0 UNION ALL SELECT h.pair, s.batch + 1, h.r, h.fits, h.n FROM starts s JOIN heads h ON h.pair = s.pair AND h.r = s.r + s.fits),
+dealt AS (SELECT k.pair, line_no, size, batch::BIGINT AS batch FROM ranked k ASOF JOIN starts s ON s.pair = k.pair AND k.r >= s.r)"""
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir).select("pair", "line_no", "src_text", F.size(tx.pieces_of(F.col("src_text"))).alias("size"))
+
+
+@query(f"WITH RECURSIVE {_BATCHES.format(budget=9216)} SELECT pair, line_no, batch FROM dealt")
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.token_batches(_sized(spark, sf_dir), "size").select("pair", "line_no", "batch")
+
+
+@query(f"""WITH RECURSIVE {_BATCHES.format(budget=256)}
+SELECT pair, batch, count(*) AS texts, sum(size)::BIGINT AS tokens, (count(*) * max(size))::BIGINT AS padded, round(1 - sum(size) / (count(*) * max(size)), 6) AS waste FROM dealt GROUP BY pair, batch""")
+def token_batch_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What batches of 256 tokens hold, and how much of it is padding."""
+    batched = batching.token_batches(_sized(spark, sf_dir), "size", 256)
+    return batching.padding(batched, "size").withColumn("waste", F.round("waste", 6))
+
+
+@query(f"WITH {TURNS} SELECT line_no, pair, split_part(tgt_lang, '_', 1) || ': ' || src_text AS text FROM turns")
+def translate_batched_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns translated by a stand-in that gets a batch under the budget at a time."""
+    ship(spark)
+    short = lambda c: F.substring_index(c, "_", 1)
+    rows = _sized(spark, sf_dir).join(turns(spark, sf_dir).select("line_no", "src_lang", "tgt_lang"), "line_no")
+    rows = rows.select("line_no", "pair", short("src_lang").alias("src"), short("tgt_lang").alias("tgt"), "size", F.col("src_text").alias("text"))
+    return translation.translate_in_batches(rows, translation.echo, "size").select("line_no", "pair", "text")
+
+
+# Constraints that travel with requests
+
+_ASKED = f"""{TURNS}, w AS (SELECT line_no, tgt_lang, string_split(src_text, ' ') AS w, src_text FROM turns),
+asked AS (SELECT line_no, tgt_lang || ': ' || replace(src_text, chr(9), ' ') AS hyp, list_transform([w[2], reverse(w[1]), w[len(w) - 1] || ' ' || w[len(w)], tgt_lang, ''], lambda c: replace(coalesce(c, ''), chr(9), ' ')) AS c FROM w)"""
+
+
+@query(f"WITH {_ASKED} SELECT line_no, array_to_string(list_filter(c, lambda x: x <> '' AND contains(hyp, x)), chr(10)) AS met FROM asked")
+def constraints_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with phrases behind tabs: words of the text, one of them reversed, the last two, a language's code and an empty one."""
+    ship(spark)
+    w, n = F.split("src_text", " ", -1), F.size(F.split("src_text", " ", -1))
+    own = F.array(F.get(w, F.lit(1)), F.reverse(F.get(w, F.lit(0))), F.concat(F.get(w, n - 2), F.lit(" "), F.get(w, n - 1)), F.col("tgt_lang"), F.lit(""))
+    phrases = F.transform(own, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\t"), F.lit(" ")))
+    lines_ = turns(spark, sf_dir).select("line_no", F.col("src_lang").alias("src"), F.col("tgt_lang").alias("tgt"), F.concat(F.replace("src_text", F.lit("\t"), F.lit(" ")), F.lit("\t"), F.array_join(phrases, "\t")).alias("text"))
+    done = translation.translate(translation.split_constraints(lines_), translation.echo)
+    return translation.met_constraints(done).select("line_no", F.array_join("met", "\n").alias("met"))
+
+
+# Sentences by the splitter that finds fewer
+
+_ABBREVIATIONS = rf"""words AS (SELECT regexp_replace(token, '\.$', '') AS word, ends_with(token, '.') AS stop FROM (SELECT lower(unnest(string_split_regex(coalesce(text, ''), '\s+'))) AS token FROM documents)),
+counts AS (SELECT word, count(*) FILTER (stop)::DOUBLE AS k, count(*) FILTER (NOT stop)::DOUBLE AS rest FROM words WHERE regexp_matches(word, '^\p{{L}}[\p{{L}}.-]*$') GROUP BY word),
+usual AS (SELECT least(sum(k) / sum(k + rest), 0.99::DOUBLE) AS p FROM counts),
+sized AS (SELECT word, k, rest, p, length(word) - length(replace(word, '.', '')) AS stops, length(replace(word, '.', ''))::DOUBLE AS letters FROM counts, usual WHERE k > 0),
+known AS (SELECT word, 2 * (k * ln(0.99::DOUBLE) + rest * ln(1 - 0.99::DOUBLE) - k * ln(p) - rest * ln(1 - p)) * exp(-letters) * (stops + 1) * pow(letters, -rest) AS evidence FROM sized
+  WHERE 2 * (k * ln(0.99::DOUBLE) + rest * ln(1 - 0.99::DOUBLE) - k * ln(p) - rest * ln(1 - p)) * exp(-letters) * (stops + 1) * pow(letters, -rest) >= 0.3)"""
+
+
+@query(f"WITH {_ABBREVIATIONS} SELECT word, round(evidence, 6) AS evidence FROM known")
+def abbreviations_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.abbreviations(sentences.word_counts(table(spark, sf_dir, "documents"))).select("word", F.round("evidence", 6).alias("evidence"))
+
+
+@query(rf"""WITH {SENTENCES}, {_ABBREVIATIONS}, first AS (SELECT doc_id, count(*) AS n, string_agg(text, chr(10) ORDER BY sentence_no) AS s FROM sentences GROUP BY doc_id),
+cut AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?]["'')\]]{{0,3}})\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: {strip_sql("x")}), lambda x: x <> '') AS p FROM documents),
+parts AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM cut),
+told AS (SELECT doc_id, part, i, lower(regexp_extract(part, '(\p{{L}}[\p{{L}}.-]*)\.$', 1)) AS last FROM parts),
+open_ AS (SELECT doc_id, part, i, last <> '' AND (length(last) = 1 OR last IN (SELECT word FROM known)) AS goes_on FROM told),
+numbered AS (SELECT *, sum(CASE WHEN before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, coalesce(lag(goes_on) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM open_)),
+whole AS (SELECT doc_id, k, string_agg(part, ' ' ORDER BY i) AS text FROM numbered GROUP BY doc_id, k),
+second AS (SELECT doc_id, count(*) AS n, string_agg(text, chr(10) ORDER BY k) AS s FROM whole GROUP BY doc_id)
+SELECT doc_id, CASE WHEN coalesce(b.n, 0) < coalesce(a.n, 0) THEN 'words' ELSE 'marks' END AS "by", (CASE WHEN coalesce(b.n, 0) < coalesce(a.n, 0) THEN coalesce(b.n, 0) ELSE coalesce(a.n, 0) END)::INT AS n,
+  sha256(coalesce(CASE WHEN coalesce(b.n, 0) < coalesce(a.n, 0) THEN b.s ELSE a.s END, '')) AS sentences FROM documents LEFT JOIN first a USING (doc_id) LEFT JOIN second b USING (doc_id)""")
+def sentence_fewer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents split by marks alone and by a splitter that has learned their abbreviations, whichever finds fewer sentences."""
+    found = sentences.split_fewer(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return found.select("doc_id", "by", F.size("sentences").alias("n"), F.sha2(F.array_join("sentences", "\n"), 256).alias("sentences"))
+
+
+# Scripts
+
+#: Letters that all nine scripts have, in Devanagari; as other scripts write them, they stand at the same places of their blocks.
+_LETTERS = "कटतनपमयरलसहािीुूेो"
+_SCRIPTS = [("hin_Deva", "Deva"), ("ben_Beng", "Beng"), ("tam_Taml", "Taml"), ("tel_Telu", "Telu"), ("kan_Knda", "Knda"), ("mal_Mlym", "Mlym"), ("ory_Orya", "Orya"), ("pan_Guru", "Guru"), ("guj_Gujr", "Gujr"), ("eng_Latn", None)]
+
+
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, line_no::INT AS line_no, text, (doc_id + line_no) % {len(_SCRIPTS)} AS k FROM lines),
+b AS (SELECT doc_id, line_no, text, k, [{", ".join(str(scripts.BLOCKS[s] if s else 0x900) for _, s in _SCRIPTS)}][k + 1] AS base FROM m)
+SELECT doc_id, line_no, text || ' {_LETTERS}।' AS common, text || ' ' || array_to_string(list_transform(string_split('{_LETTERS}', ''), lambda c: chr((unicode(c) - 2304 + base)::INT)), '') || '।' AS own FROM b""")
+def script_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with letters of ten scripts brought to the common script, and back to their own."""
+    k = ((F.col("doc_id") + F.col("line_no")) % len(_SCRIPTS)).cast("int")
+    own = F.get(F.array(*(F.lit("".join(chr(ord(c) - 0x900 + scripts.BLOCKS[s]) for c in _LETTERS) if s else _LETTERS) for _, s in _SCRIPTS)), k)
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", F.get(F.array(*(F.lit(c) for c, _ in _SCRIPTS)), k).alias("code"), F.concat("text", F.lit(" "), own, F.lit("।")).alias("x"))
+    both = rows.select("doc_id", "line_no", "code", scripts.to_common(F.col("x"), F.col("code")).alias("common"))
+    return both.select("doc_id", "line_no", "common", scripts.from_common(F.col("common"), F.col("code")).alias("own"))
+
+
+# Systems compared
+
+
+@query(f"""WITH {_THREE}, chars AS (WITH {_grams_sql(_CHARS, 6)} SELECT line_no, system, 'char' AS kind, n, m, h, r FROM stats), parts AS (WITH {_grams_sql(_PARTS, 2)} SELECT line_no, system, 'word' AS kind, n, m, h, r FROM stats),
+l AS (SELECT line_no, system, kind, n, sum(m) AS m, sum(h) AS h, sum(r) AS r FROM (FROM chars UNION ALL FROM parts) GROUP BY ALL),
+k AS (SELECT sample, line_no, ('0x' || left(md5(sample || ':' || line_no), 8))::BIGINT / 4294967296::DOUBLE AS u FROM (SELECT unnest(generate_series(1, 100)) AS sample), (SELECT DISTINCT line_no FROM l)),
+t AS (SELECT sample, line_no, {_TIMES} AS times FROM k UNION ALL SELECT 0, line_no, 1 FROM (SELECT DISTINCT line_no FROM l)),
+b AS (SELECT sample, system, kind, n, sum(m * times)::DOUBLE AS m, sum(h * times)::DOUBLE AS h, sum(r * times)::DOUBLE AS r FROM l JOIN t USING (line_no) WHERE times > 0 GROUP BY ALL),
+pr AS (SELECT sample, system, avg(m / h) AS p, avg(m / r) AS q FROM b WHERE h > 0 AND r > 0 GROUP BY ALL),
+z AS (SELECT sample, system, CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0 END AS chrf FROM pr),
+d AS (SELECT z.system, z.sample, z.chrf, abs(z.chrf - o.chrf) AS diff FROM z JOIN z o ON o.sample = z.sample AND o.system = 'a'),
+g AS (SELECT system, avg(diff) FILTER (sample > 0) AS mid, max(diff) FILTER (sample = 0) AS seen FROM d GROUP BY system)
+SELECT system, round(max(chrf) FILTER (sample = 0), 6) AS chrf, round(avg(chrf) FILTER (sample > 0), 6) AS mean,
+  CASE WHEN system <> 'a' THEN round((count(*) FILTER (sample > 0 AND abs(diff - mid) > seen) + 1) / 101, 6) END AS p_value FROM d JOIN g USING (system) GROUP BY system""")
+def chrfpp_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two systems against a baseline by paired resampling of chrF++."""
+    stats = metrics.chrf_statistics(three_systems(spark, sf_dir).drop("pair"), ["line_no", "system"], 2)
+    told = metrics.significance(stats, "line_no", "system", "a", 100, metrics.chrf_score, "chrf")
+    return told.select("system", *(F.round(c, 6).alias(c) for c in ("chrf", "mean", "p_value")))
+
+
+def by_length(sources: list[str], hyps: list[str], refs: list[str]) -> list[float]:
+    """A scorer for tests: how alike the lengths of hypothesis and reference are."""
+    return [(min(len(h), len(r)) + 1) / (max(len(h), len(r)) + 1) for h, r in zip(hyps, refs, strict=True)]
+
+
+@query(f"""WITH {_THREE}, v AS (SELECT line_no, system, (least(length(hyp), length(ref)) + 1) / (greatest(length(hyp), length(ref)) + 1) AS v FROM systems),
+m AS (SELECT p.system AS a, q.system AS b, count(*) AS n, avg(p.v) AS mean_a, avg(q.v) AS mean_b, avg(p.v - q.v) AS diff, stddev_samp(p.v - q.v) AS sd FROM v p JOIN v q ON p.line_no = q.line_no AND p.system < q.system GROUP BY ALL),
+s AS (SELECT *, CASE WHEN sd > 0 THEN diff / (sd / sqrt(n)) END AS t FROM m),
+i AS (SELECT *, (n - 1) / 2 AS h, (n - 1) / (n - 1 + t * t) AS x0 FROM s),
+j AS (SELECT *, x0 >= (h + 1) / (h + 2.5::DOUBLE) AS flip, CASE WHEN x0 >= (h + 1) / (h + 2.5::DOUBLE) THEN {{'a': 0.5::DOUBLE, 'b': h, 'x': 1 - x0}} ELSE {{'a': h, 'b': 0.5::DOUBLE, 'x': x0}} END AS c FROM i),
+f AS (SELECT *, list_reduce(list_transform(range(300, 0, -1), lambda k: k::DOUBLE), lambda y, k: -(c.a + k - 1) * (c.a + c.b + k - 1) * c.x / ((c.a + 2 * k - 2) * (c.a + 2 * k - 1)) / (1 + k * (c.b - k) * c.x / ((c.a + 2 * k - 1) * (c.a + 2 * k)) / (1 + y)), 0::DOUBLE) AS y,
+  exp(lgamma(c.a + c.b) - lgamma(c.a) - lgamma(c.b) + c.a * ln(c.x) + c.b * ln(1 - c.x)) / c.a AS front FROM j)
+SELECT a, b, n, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(diff, 6) AS diff, round(t, 4) AS t, round(CASE WHEN flip THEN 1 - front / (1 + y) ELSE front / (1 + y) END, 6) AS p_value FROM f""")
+def systems_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of three systems by the scores that a plugged-in scorer gives their segments."""
+    rows = three_systems(spark, sf_dir).select("line_no", "system", F.lit("").alias("src"), "hyp", "ref")
+    told = metrics.compare_systems(metrics.score_segments(rows, by_length), "line_no")
+    return told.select("a", "b", "n", *(F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "diff")), F.round("t", 4).alias("t"), F.round("p_value", 6).alias("p_value"))

@@ -18,9 +18,10 @@ DIGIT_BLOCKS = [0x06F0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0CE6, 0x1C50,
 DIGITS_FROM = "".join(chr(z + d) for z in DIGIT_BLOCKS for d in range(10)) + "".join(chr(0x0C66 + d) for d in range(1, 10)) + chr(0x0660)
 DIGITS_TO = "0123456789" * len(DIGIT_BLOCKS) + "123456789" + "0"
 
-# The entity patterns, in the order in which they are applied.
+# The entity patterns, in the order in which they are applied.  An address needs one label and a dot; what follows
+# may hold further ones, so labels are not repeated (a repeated group would recurse once a label).
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}"
-URL = r"\b(?<![\w/.])(?:(?:https?|ftp)://)?(?:(?:[\w-]+\.)+(?!\.))(?:[\w/\-?#&=%.]+)+(?!\.\w+)\b"
+URL = r"\b(?<![\w/.])(?:(?:https?|ftp)://)?[\w-]+\.(?!\.)[\w/\-?#&=%.]+(?!\.\w+)\b"
 NUMERAL = r"(~?\d+\.?\d*\s?%?\s?-?\s?~?\d+\.?\d*\s?%|~?\d+%|\d+[-\/.,:']\d+[-\/.,:'+]\d+(?:\.\d+)?|\d+[-\/.:'+]\d+(?:\.\d+)?)"
 OTHER = r"[A-Za-z0-9]*[#|@]\w+"
 ENTITIES = {"email": EMAIL, "url": URL, "numeral": NUMERAL, "other": OTHER}

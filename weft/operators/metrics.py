@@ -6,7 +6,8 @@ few counts, and scores and resamples come from their sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from weft.session import ship
 #: Bytes of text that are counted at a time.
 MOST_BYTES = 1 << 20
 
+#: Takes sources, hypotheses and references; gives as many numbers.
+Scorer = Callable[[Sequence[str], Sequence[str], Sequence[str]], Sequence[float]]
+
 # The steps of the mteval-v13a tokeniser, on a text with a blank at both ends.
 V13A = [
     ("<skipped>", ""),
@@ -173,32 +177,95 @@ def draws(key: Column, sample: Column) -> Column:
     return times
 
 
-def paired_bootstrap(statistics: DataFrame, row: str, system: str, samples: int = 200, first: int = 1) -> DataFrame:
+def chrf_score(statistics: DataFrame, groups: list[str]) -> DataFrame:
+    """chrf(), and 0 for groups whose hypotheses and references share no order."""
+    none = statistics.select(*groups).distinct()
+    return none.join(chrf(statistics, groups), groups, "left").select(*groups, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
+
+
+def paired_bootstrap(statistics: DataFrame, row: str, system: str, samples: int = 200, first: int = 1, score: Callable[[DataFrame, list[str]], DataFrame] = bleu) -> DataFrame:
     """(sample, system, bleu) for resamples of rows, the same rows for each system; sample 0, if first is 0, has each row once.
 
+    score: bleu, or chrf_score for statistics of chrF, whose column is then chrf.
+
     A row's statistics are brought together (a few numbers for each system), so a draw is made once a row and sample.  They are
     multiplied by draws and summed per sample before they are shuffled: samples x systems x 4 rows a task.
     """
-    held = statistics.groupBy(row).agg(F.collect_list(F.struct(system, "n", "matched", "hyp_n", "ref_n")).alias("s"))
+    held = statistics.groupBy(row).agg(F.collect_list(F.struct(system, "kind", "n", "matched", "hyp_n", "ref_n")).alias("s"))
     # few bytes, but each row is drawn for every sample: Spark is not to put them all in one task
-    held = held.repartition(statistics.sparkSession.sparkContext.defaultParallelism)
+    held = held.repartition(int(statistics.sparkSession.conf.get("spark.sql.shuffle.partitions")), row)
     drawn = held.withColumn("sample", F.explode(F.sequence(F.lit(first), F.lit(samples))))
     times = F.when(F.col("sample") == 0, 1).otherwise(draws(F.col(row), F.col("sample"))).alias("times")
     drawn = drawn.select("sample", times, "s").filter("times > 0").select("sample", "times", F.explode("s").alias("s"))
-    weighted = drawn.select("sample", F.col(f"s.{system}").alias(system), "s.n", *((F.col(f"s.{c}") * F.col("times")).alias(c) for c in ("matched", "hyp_n", "ref_n")))
-    return bleu(weighted, ["sample", system])
+    weighted = drawn.select("sample", F.col(f"s.{system}").alias(system), "s.kind", "s.n", *((F.col(f"s.{c}") * F.col("times")).alias(c) for c in ("matched", "hyp_n", "ref_n")))
+    return score(weighted, ["sample", system])
 
 
-def significance(statistics: DataFrame, row: str, system: str, baseline: str, samples: int = 200) -> DataFrame:
-    """(system, bleu, mean, p_value): each system's score, its mean over resamples, and how likely a difference to the baseline as
+def significance(statistics: DataFrame, row: str, system: str, baseline: str, samples: int = 200, score: Callable[[DataFrame, list[str]], DataFrame] = bleu, metric: str = "bleu") -> DataFrame:
+    """(system, metric, mean, p_value): each system's score, its mean over resamples, and how likely a difference to the baseline as
     large as that seen is by chance: the share of resamples (with one added to both) whose difference lies further from the
-    mean difference than the difference seen is large.  The baseline has no p_value."""
-    scores = paired_bootstrap(statistics, row, system, samples, first=0).withColumnRenamed(system, "system")
-    base = F.max(F.when(F.col("system") == baseline, F.col("bleu"))).over(Window.partitionBy("sample"))  # a row for each system
+    mean difference than the difference seen is large.  The baseline has no p_value.
+
+    score and metric: bleu for its statistics; chrf_score and chrf for those of chrF and chrF++."""
+    scores = paired_bootstrap(statistics, row, system, samples, 0, score).withColumnRenamed(system, "system").withColumnRenamed(metric, "__score")
+    base = F.max(F.when(F.col("system") == baseline, F.col("__score"))).over(Window.partitionBy("sample"))  # a row for each system
     own = Window.partitionBy("system")  # a row for each sample
-    told = scores.withColumn("diff", F.abs(F.col("bleu") - base))
+    told = scores.withColumn("diff", F.abs(F.col("__score") - base))
     told = told.withColumn("middle", F.avg(F.when(F.col("sample") > 0, F.col("diff"))).over(own)).withColumn("seen", F.max(F.when(F.col("sample") == 0, F.col("diff"))).over(own))
     beyond = F.count_if((F.col("sample") > 0) & (F.abs(F.col("diff") - F.col("middle")) > F.col("seen")))
     p = F.when(F.col("system") != baseline, (beyond + 1) / F.lit(samples + 1)).alias("p_value")
-    whole, mean = F.max(F.when(F.col("sample") == 0, F.col("bleu"))), F.avg(F.when(F.col("sample") > 0, F.col("bleu")))
-    return told.groupBy("system").agg(whole.alias("bleu"), mean.alias("mean"), p)
+    whole, mean = F.max(F.when(F.col("sample") == 0, F.col("__score"))), F.avg(F.when(F.col("sample") > 0, F.col("__score")))
+    return told.groupBy("system").agg(whole.alias(metric), mean.alias("mean"), p)
+
+
+# Scores of segments, by whatever scorer is plugged in
+
+
+def score_segments(rows: DataFrame, scorer: Scorer, src_col: str = "src", hyp_col: str = "hyp", ref_col: str = "ref", to: str = "score") -> DataFrame:
+    """rows and the scorer's score of each."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            scores = scorer(*(part.column(c).to_pylist() for c in (src_col, hyp_col, ref_col)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, to])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.DoubleType())]))
+
+
+def t_probability(t: float | None, n: int) -> float | None:
+    """How likely a mean difference of n pairs is at least t standard errors from zero, on either side, if there is none (Student)."""
+    if t is None or n < 2:
+        return None
+    a, b = (n - 1) / 2, 0.5
+    x = (n - 1) / (n - 1 + t * t)
+    if x in (0.0, 1.0):
+        return x
+    if x >= (a + 1) / (a + b + 2):  # the fraction converges faster on the other side
+        a, b, x, flip = b, a, 1 - x, True
+    else:
+        flip = False
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 0.0
+    for m in range(300, 0, -1):  # the incomplete beta function's continued fraction, from the inside out
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        value = odd / (1 + even / (1 + value))
+    share = front / (1 + value)
+    return 1 - share if flip else share
+
+
+def compare_systems(scores: DataFrame, row: str, system: str = "system", score: str = "score") -> DataFrame:
+    """(a, b, n, mean_a, mean_b, diff, t, p_value) for each two systems: a paired t-test over the rows that both have scored.
+
+    A row's scores are brought together (a few numbers); moments of the differences of all pairs of systems are then added up in
+    one pass, in each task first.  Equal scores throughout give no t and no p_value.  Of several scores of a system for a row the
+    least counts.
+    """
+    held = scores.filter(F.col(score).isNotNull()).groupBy(row, system).agg(F.min(score).alias("v"))
+    by_row = held.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col(system).alias("s"), "v"))).alias("x"))  # systems are few
+    pairs = F.flatten(F.transform("x", lambda p, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda q: F.struct(p["s"].alias("a"), q["s"].alias("b"), p["v"].alias("v"), q["v"].alias("w")))))
+    both = by_row.select(F.explode(pairs).alias("p")).select("p.*").withColumn("d", F.col("v") - F.col("w"))
+    sums = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("v").alias("mean_a"), F.avg("w").alias("mean_b"), F.avg("d").alias("diff"), F.stddev_samp("d").alias("sd"))
+    t = F.when(F.col("sd") > 0, F.col("diff") / (F.col("sd") / F.sqrt("n")))
+    return sums.withColumn("t", t).select("a", "b", "n", "mean_a", "mean_b", "diff", "t", F.udf(lambda t, n: t_probability(t, n), "double")("t", "n").alias("p_value"))  # a row for each two systems

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions.languages import hops
 from weft.functions.text import chunks, placeholders, restore, sentences
+from weft.operators.batching import BUDGET, token_batches
 
 #: Takes texts, source and target language; gives as many texts.
 Translator = Callable[[Sequence[str], str, str], Sequence[str]]
@@ -83,6 +86,52 @@ def translate_routed(requests: DataFrame, translator: Translator, direct: list[s
     return rows.mapInPandas(run, requests.schema)
 
 
+def translate_in_batches(rows: DataFrame, translator: Translator, size: str, budget: int = BUDGET, text_col: str = "text", order: str = "line_no") -> DataFrame:
+    """rows with text_col translated from column src to column tgt; the translator gets batches under a budget of tokens (column size).
+
+    Batches are cut over the whole table, not within what a task happens to hold, and each is one call.
+    """
+    directed = rows.withColumn("__way", F.concat_ws(" ", "src", "tgt"))
+    batched, names = token_batches(directed, size, budget, "__way", order), rows.columns
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        if not len(batch):
+            return batch[names]
+        return batch.assign(**{text_col: list(translator(batch[text_col].tolist(), batch["src"].iloc[0], batch["tgt"].iloc[0]))})[names]
+
+    return batched.groupBy("__way", "batch").applyInPandas(run, rows.schema)  # a group has `budget` tokens at most
+
+
+def split_constraints(lines: DataFrame, text_col: str = "text") -> DataFrame:
+    """Lines with the phrases that stand behind their text, between tabs, in column constraints."""
+    part = F.split(F.coalesce(F.col(text_col), F.lit("")), "\t", -1)
+    return lines.withColumn("constraints", F.slice(part, 2, F.size(part))).withColumn(text_col, F.get(part, F.lit(0)))
+
+
+def met_constraints(rows: DataFrame, text_col: str = "text", constraints_col: str = "constraints", to: str = "met") -> DataFrame:
+    """rows and, of each row's constraint phrases, those that its text holds, in their order.
+
+    The phrases of all rows of an Arrow batch make one trie with failure links, so a text is read once however many phrases there
+    are.  A phrase that is empty or null is never met; a null text meets none.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        for part in parts:
+            asked = [[c for c in x or [] if c] for x in part.column(constraints_col).to_pylist()]
+            trie = ahocorasick.Automaton()
+            for phrase in {c for x in asked for c in x}:
+                trie.add_word(phrase, phrase)
+            if len(trie):
+                trie.make_automaton()
+            held = [{phrase for _, phrase in trie.iter(t)} if x and t else set() for t, x in zip(part.column(text_col).to_pylist(), asked, strict=True)]
+            met = pa.array([[c for c in x if c in own] for x, own in zip(asked, held, strict=True)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*part.columns, met], [*part.schema.names, to])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.ArrayType(T.StringType()))]))
+
+
 def best_hypotheses(hypotheses: DataFrame, n: int = 1) -> DataFrame:
     """The n hypotheses (id, score, hyp) of highest score for each sentence; ties by text."""
     order = Window.partitionBy("id").orderBy(F.col("score").desc(), "hyp")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions.text import strip
+from weft.session import ship
 
 #: Numbers below this stand for padding, start, end and unknown.
 FIRST = 4
@@ -33,9 +38,39 @@ def numbered(vocab: DataFrame, least: int = 5) -> DataFrame:
     return ranged.join(before, "part").select("token", "freq", (F.col("before") + F.col("rank") - 1 + FIRST).cast("int").alias("id"))
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, token, at): the different tokens of each text and where they are."""
+    for part in batches:
+        keys, tokens, at = [], [], []
+        for k, text in enumerate(part.column("text").to_pylist()):
+            own: dict[str, list[int]] = {}
+            for i, token in enumerate((text or "").split(" ")):
+                if token:
+                    own.setdefault(token, []).append(i)
+            keys += [k] * len(own)
+            tokens += own
+            at += own.values()
+            if len(tokens) > 100_000:
+                yield _listed(part, keys, tokens, at)
+                keys, tokens, at = [], [], []
+        yield _listed(part, keys, tokens, at)
+
+
+def _listed(part: pa.RecordBatch, keys: list[int], tokens: list[str], at: list[list[int]]) -> pa.RecordBatch:
+    own = part.column("key").take(pa.array(keys, pa.int64()))
+    return pa.RecordBatch.from_arrays([own, pa.array(tokens, pa.string()), pa.array(at, pa.list_(pa.int32()))], ["key", "token", "at"])
+
+
 def encode(rows: DataFrame, vocab: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, ids): each text's tokens as numbers of the vocabulary, in order; others are UNKNOWN; a blank text has none."""
-    tokens = rows.select(key, F.posexplode(F.split(strip(F.col(text_col)), " ", -1)).alias("at", "token")).filter("token <> ''")
-    known = tokens.join(vocab.select("token", "id"), "token", "left")
-    ids = known.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(UNKNOWN)).alias("id")))), lambda x: x["id"]).alias("ids"))
-    return rows.select(key).join(ids, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    """(key, ids): each text's tokens as numbers of the vocabulary, in order; others are UNKNOWN; a blank text has none.
+
+    A text's token is looked up once, however often it is there: what is shuffled is a row for each different token of each text.
+    """
+    ship(rows.sparkSession)
+    kind = rows.schema[key].dataType
+    schema = T.StructType([T.StructField("key", kind), T.StructField("token", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
+    tokens = rows.select(F.col(key).alias("key"), strip(F.col(text_col)).alias("text")).mapInArrow(_places, schema)
+    known = tokens.join(vocab.select("token", "id"), "token", "left").select("key", "at", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
+    placed = F.flatten(F.transform(F.collect_list(F.struct("at", "id")), lambda x: F.transform(x["at"], lambda a: F.struct(a.alias("at"), x["id"].alias("id")))))
+    ids = known.groupBy("key").agg(F.transform(F.sort_array(placed), lambda x: x["id"]).alias("ids"))
+    return rows.select(F.col(key).alias("__key")).join(ids, F.col("__key") == F.col("key"), "left").select(F.col("__key").alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
