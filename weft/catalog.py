@@ -17,9 +17,11 @@ from weft.functions import text as tx
 from weft.functions.punctuation import normalize_corpus, normalize_request
 from weft.operators import batching, corpus, metrics, sentences, translation, vocabulary
 from weft.plans import prepare
-from weft.session import read_table, ship
+from weft.session import read_table, scratch, ship
+from weft.sources import aligned, bitext, tables
 from weft.sources.bitext import hypotheses
 from weft.sources.bitext import vocabulary as vocabulary_lines
+from weft.streaming import normalize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -971,3 +973,59 @@ def systems_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = three_systems(spark, sf_dir).select("line_no", "system", F.lit("").alias("src"), "hyp", "ref")
     told = metrics.compare_systems(metrics.score_segments(rows, by_length), "line_no")
     return told.select("a", "b", "n", *(F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "diff")), F.round("t", 4).alias("t"), F.round("p_value", 6).alias("p_value"))
+
+
+# Files and streams: what is written from the tables and read back
+
+_PLACED = f"""{TURNS}, placed AS (SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY line_no) - 1 AS line_no, src_lang, tgt_lang, replace(src_text, chr(10), ' ') AS src_text, replace(tgt_text, chr(10), ' ') AS tgt_text FROM turns)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """The turns as aligned files."""
+    root = scratch(spark, "sides")
+    bitext.write_sides(turns(spark, sf_dir), root)
+    return root
+
+
+@query(f"WITH {_PLACED} SELECT pair, line_no, src_text, tgt_text FROM placed")
+def bitext_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned files read side by side and joined by line."""
+    return bitext.read_bitext(spark, _files(spark, sf_dir)).select("pair", "line_no", "src_text", "tgt_text")
+
+
+@query(SQL["bitext_read"])
+def aligned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned files read in step, by blocks of 64 KB."""
+    return aligned.read_aligned(spark, _files(spark, sf_dir), block=1 << 16).select("pair", "line_no", "src_text", "tgt_text")
+
+
+@query(f"WITH {TURNS} SELECT row_number() OVER (ORDER BY src_lang, tgt_lang, line_no) - 1 AS n, replace(src_text, chr(10), ' ') AS src_text, replace(tgt_text, chr(10), ' ') AS tgt_text FROM turns")
+def joint_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns as one joint text, in blocks of 100,000 line numbers; a line's place is its part's, which the name tells, and its own."""
+    at, flat = scratch(spark, "joint"), lambda c: F.replace(c, F.lit("\n"), F.lit(" ")).alias(c)
+    bitext.write_joint(turns(spark, sf_dir).select("src_lang", "tgt_lang", "line_no", flat("src_text"), flat("tgt_text")), at, block=100_000)
+    place = F.regexp_extract("path", r"part-([0-9]+)", 1).cast("long") + F.col("line_no")
+    src, tgt = (bitext.read_lines(spark, f"{at}/train.{side}/part-*").select(place.alias("n"), F.col("text").alias(name)) for side, name in (("SRC", "src_text"), ("TGT", "tgt_text")))
+    return src.join(tgt, "n")
+
+
+@query(f"WITH {TURNS} SELECT line_no, pair, src_text, tgt_text FROM turns WHERE length(src_text) > 20 AND length(tgt_text) > 20")
+def table_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is read and replaced twice, by what each of two filters leaves."""
+    at = scratch(spark, "table")
+    tables.write_table(turns(spark, sf_dir).select("line_no", "pair", "src_text", "tgt_text"), at)
+    for c in ("src_text", "tgt_text"):
+        tables.write_table(tables.read_table(spark, at).filter(F.length(c) > 20), at)
+    return tables.read_table(spark, at)
+
+
+@query(SQL["decontam_loose_lines"])
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as a stream, without those of the benchmark, written by batches of which each is there once."""
+    at, schema = scratch(spark, "stream"), "doc_id long, line_no int, text string"
+    lines(spark, sf_dir).select("doc_id", "line_no", "text").write.parquet(f"{at}/in")
+    pool = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n", -1)).alias("text")).filter(tx.strip(F.col("text")) != "")
+    asked = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{at}/in")
+    sink = normalize.decontaminated(asked, pool).select("doc_id", "line_no", "text").writeStream.foreachBatch(tables.once(f"{at}/out"))
+    sink.option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    return tables.read_batches(spark, f"{at}/out", schema).select("doc_id", "line_no", "text")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +31,28 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that the driver and all executors see: in spark.checkpoint.dir, or, where that is unset, a temporary one of a
+    local master.  It is removed when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="weft-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
+    path = f"{root.rstrip('/')}/weft-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may be gone already; the folder is the cluster's scratch space
+        pass
+
+
 def read_table(spark: SparkSession, path: str, small: int = 64 << 20) -> DataFrame:
     """A Parquet table.  A task reads a row group at least, and a small table often has one only: tables of less than `small` bytes
     in few parts are dealt out to all cores; others are read as they are, without a shuffle."""

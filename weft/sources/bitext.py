@@ -161,9 +161,27 @@ def export_lines(bitext: DataFrame, path: str, text_col: str) -> None:
     bitext.repartitionByRange("line_no").sortWithinPartitions("line_no").select(F.coalesce(text_col, F.lit(""))).write.mode("overwrite").text(path)
 
 
+def write_sides(bitext: DataFrame, root: str, split: str = "train") -> None:
+    """Each pair's two aligned files, {root}/{src}-{tgt}/{split}.{src} and .{tgt}, in the order of the lines; line feeds in texts
+    become blanks.  A file is written by one task: large pairs belong into Parquet (write_bitext) or parts (export_lines)."""
+    files = Files(bitext.sparkSession, root)
+    one = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))
+    sides = F.explode(F.array(*(F.struct(F.col(f"{s}_lang").alias("lang"), one(f"{s}_text").alias("text")) for s in ("src", "tgt"))))
+    rows = bitext.select("src_lang", "tgt_lang", "line_no", sides.alias("s")).select(F.concat_ws("-", "src_lang", "tgt_lang").alias("pair"), "s.lang", "s.text", "line_no")
+    parked = f"{root}/{split}.parts"
+    rows.repartition("pair", "lang").sortWithinPartitions("pair", "lang", "line_no").select("pair", "lang", "text").write.mode("overwrite").partitionBy("pair", "lang").option("maxRecordsPerFile", 0).text(parked)
+    for pair in (x for x in files.names(parked) if x.startswith("pair=")):
+        files.make(f"{root}/{pair.removeprefix('pair=')}")
+        for lang in files.names(f"{parked}/{pair}"):
+            (part,) = (x for x in files.names(f"{parked}/{pair}/{lang}") if x.startswith("part-"))
+            files.move(f"{parked}/{pair}/{lang}/{part}", f"{root}/{pair.removeprefix('pair=')}/{split}.{lang.removeprefix('lang=')}")
+    files.remove(parked)
+
+
 def write_missing(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Append the rows whose keys the table at path lacks; gives what was appended.  A second run so appends nothing."""
-    spark = rows.sparkSession
+    """Append the rows whose keys the table at path lacks, one for each combination of keys; gives what was appended.  A second run
+    so appends nothing."""
+    spark, rows = rows.sparkSession, rows.dropDuplicates(keys)
     try:
         done = spark.read.parquet(path).select(*keys)
         rows = rows.join(done, keys, "left_anti")
