@@ -233,6 +233,49 @@ def test_similar_groups_of_many_copies(spark, heavy):
     assert got[120] == got[121] == got[122] not in {got[i] for i in range(120)}
 
 
+@pytest.mark.parametrize("heavy", [50_000, 4])
+def test_similar_groups_by_every_candidate(spark, heavy, monkeypatch):
+    """Documents on both sides of the threshold that meet in crowds: the forests are cut to nothing, and what they leave is compared."""
+    r = random.Random(21)
+    base = [words(5000 + k, 120).split(" ") for k in range(3)]
+    texts = []
+    for i in range(90):
+        own = list(base[i % 3])
+        for k in r.sample(range(len(own)), r.choice([0, 1, 3, 4, 5])):
+            own[k] = f"w{i}x{k}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    top = list(range(90))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(90):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                top[root(i)] = root(j)
+    docs = save(spark.createDataFrame(list(enumerate(texts)), "n long, text string"), "docs")
+    kept = simhash._tight
+    monkeypatch.setattr(simhash, "_tight", lambda edges, node, forests=1: tuple(x[:2] for x in kept(edges, node, 1)))
+    links = lambda c: {(i, j) for i in range(90) for j in range(i) if c(i) == c(j)}
+    few = {x["n"]: x["component"] for x in simhash.similar_groups(docs, "n", heavy=heavy).collect()}
+    got = {x["n"]: x["component"] for x in simhash.similar_groups(docs, "n", heavy=heavy, every=True).collect()}
+    want = links(root)
+    assert links(got.get) <= want and len(links(got.get)) >= 0.98 * len(want) > len(links(few.get))
+
+
+def test_crowded_leaves_in_pairs_of_pieces(spark):
+    rows_ = spark.createDataFrame([(0, i, i, 0, 5 if i < 50 else 1 << 20) for i in range(60)], "table int, node long, root long, fp0 long, value long")
+    got = simhash._subtrees(rows_, 0, 32, 8, True).collect()
+    held = {}
+    for x in got:
+        held.setdefault((x["a"], x["b"], x["piece"]), set()).add(x["node"])
+    together = {(i, j) for s in held.values() for i in s for j in s if i < j}
+    assert {(i, j) for i in range(50) for j in range(i + 1, 50)} <= together
+
+
 def test_leaves_in_pieces(spark):
     rows_ = spark.createDataFrame([(0, i, i % 7, 5 if i < 50 else 6 if i < 60 else 1 << 20) for i in range(80)], "table int, node long, fp0 long, value long")
     got = simhash._subtrees(rows_, 0, 32, 8).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir.  Where it is unset a local master gets a temporary folder; a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weft-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)

@@ -218,8 +218,11 @@ def _split(rows: DataFrame, budget: int, width: int) -> DataFrame:
     return rows.withColumns(made).drop("more", "own", "flip")
 
 
-def _subtrees(values: DataFrame, budget: int, width: int, heavy: int) -> DataFrame:
-    """Rows of values (table, value, ...) in every pair of subtrees to be walked, dealt by pair and sorted; value becomes turned."""
+def _subtrees(values: DataFrame, budget: int, width: int, heavy: int, every: bool = False) -> DataFrame:
+    """Rows of values (table, value, ...) in every pair of subtrees to be walked, dealt by pair and sorted; value becomes turned.
+
+    every: all documents of a crowded leaf are to meet, not only the first of it and each other one.
+    """
     offsets, widths = _widths(budget, width)
     turns = F.explode(F.array(*(F.struct(F.lit(t).alias("turn"), F.lit(widths[t]).alias("deep"), _turned(F.col("value"), offsets[t], width).alias("turned")) for t in range(budget + 1))))
     rows = values.withColumn("t", turns).select(*(c for c in values.columns if c != "value"), "t.*").withColumn("a", F.expr(f"shiftrightunsigned(turned, {width} - deep)"))
@@ -233,18 +236,24 @@ def _subtrees(values: DataFrame, budget: int, width: int, heavy: int) -> DataFra
         kinds = {r["kind"] for r in sizes.select("kind").distinct().collect()}
         ready.append(now.join(sizes.filter("kind = 'light'").select(*PAIR), PAIR, "left_semi"))
         if "leaf" in kinds:
-            ready.append(_pieces(now.join(sizes.filter("kind = 'leaf'").select(*PAIR, "n", "first0", "first1"), PAIR), heavy).select(now.columns))
+            ready.append(_pieces(now.join(sizes.filter("kind = 'leaf'").select(*PAIR, "n", "first0", "first1"), PAIR), heavy, every).select(now.columns))
         if "heavy" not in kinds:
             break
         now = save(_split(now.join(sizes.filter("kind = 'heavy'").select(*PAIR), PAIR, "left_semi"), budget, width), "subtrees")
     return reduce(DataFrame.unionByName, ready).repartition(*PAIR).sortWithinPartitions(*PAIR)
 
 
-def _pieces(rows: DataFrame, heavy: int) -> DataFrame:
-    """Rows of leaves with too many documents: a leaf on its own in pieces that share its first document, of a pair of leaves the first document of each."""
+def _pieces(rows: DataFrame, heavy: int, every: bool) -> DataFrame:
+    """Rows of leaves with too many documents: a leaf on its own in pieces that share its first document, of a pair of leaves the first document of each.
+
+    every: in pairs of pieces, so that any two documents are together in one.
+    """
     pieces = F.ceil(F.col("n") / heavy).cast("int")
-    own = F.when(F.col("node") == F.col("first0"), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), pieces).cast("int")))
-    alone = rows.filter("a = b").withColumn("piece", F.explode(own))
+    own, all_ = F.pmod(F.xxhash64("node"), pieces).cast("int"), F.sequence(F.lit(0), pieces - 1)
+    if every:
+        pair = lambda k: F.when(F.col("a") == F.col("b"), F.least(own, k) * pieces + F.greatest(own, k)).when(F.col("side") == 0, own * pieces + k).otherwise(k * pieces + own)
+        return rows.withColumn("piece", F.explode(F.transform(all_, pair)))
+    alone = rows.filter("a = b").withColumn("piece", F.explode(F.when(F.col("node") == F.col("first0"), all_).otherwise(F.array(own))))
     return alone.unionByName(rows.filter("a <> b and node = if(side = 0, first0, first1)"))
 
 
@@ -387,6 +396,38 @@ def _candidates(lanes: int, budget: int, width: int, spread: int) -> Callable:
     return run
 
 
+def _remaining(lanes: int, budget: int, width: int, spread: int) -> Callable:
+    """Pairs of documents (a, b) that meet, differ in `spread` bits of all at most and are in different components (column root) so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(batches):
+            order, first, found = _joined(lot, budget, width)
+            node, root = lot["node"][order], lot["root"][order]
+            full = np.stack([lot[f"fp{k}"][order].view(np.uint64) for k in range(lanes)], 1)
+            ends = np.r_[first[1:], len(order)]
+
+            def kept(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+                apart = root[x] != root[y]  # noqa: B023
+                x, y = x[apart], y[apart]
+                near = _distance(full, x, y) <= spread  # noqa: B023
+                a, b = node[x[near]], node[y[near]]  # noqa: B023
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+            for k in np.flatnonzero(ends - first > 1).tolist():
+                for x in range(first[k], ends[k] - 1):
+                    yield from kept(np.full(ends[k] - x - 1, x), np.arange(x + 1, ends[k]))
+            for i, j in found:
+                one = (ends[i] - first[i] == 1) & (ends[j] - first[j] == 1)
+                yield from kept(first[i[one]], first[j[one]])
+                for p, q in zip(i[~one].tolist(), j[~one].tolist(), strict=True):
+                    other = np.arange(first[q], ends[q])
+                    for x in range(first[p], ends[p]):
+                        yield from kept(np.full(len(other), x), other)
+
+    return run
+
+
 def _tight(edges: list[tuple], node: np.ndarray, forests: int = FORESTS) -> tuple:
     """The edges of a tightest spanning forest, of another one of the edges left, and so on; each pair of documents once."""
     x, y, d = (np.concatenate(c) for c in zip(*edges, strict=True))
@@ -413,7 +454,7 @@ def _sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 3, width: int = 32, budget: int = 3, spread: float = 0.15, heavy: int = 50_000
+    docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 3, width: int = 32, budget: int = 3, spread: float = 0.15, heavy: int = 50_000, every: bool = False
 ) -> DataFrame:
     """(id_col, component long) for every row; rows have the same component if similar pairs lead from one to the other.
 
@@ -422,25 +463,39 @@ def similar_groups(
     share of `spread` of all its bits.  Of many candidates that meet, those of FORESTS edge-disjoint spanning forests are
     compared, the tightest first, so a large group costs no more a document than a small one.  At a similarity of 0.8 or more
     few documents escape (the README has the figures).
+    every: all candidates that the forests have left in different components are then compared too, so the result is that of
+    comparing all candidates.  It costs as many comparisons as there are documents that meet without being similar.
     id_col: a value of its own that each row has.
     """
     held = fingerprints(docs, id_col, text_col, 2, lanes).select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("name"), *(f"fp{k}" for k in range(lanes)))
     held = save(held, "fingerprints")
-    per = BITS // width
+    per, most = BITS // width, int(spread * BITS * lanes)
     cell = lambda t: F.shiftrightunsigned(F.col(f"fp{t // per}"), width * (t % per)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("table"), cell(t).alias("value")) for t in range(lanes * per))))
     bits = [f"fp{k}" for k in range(lanes)]
     classes = save(held.groupBy(*bits).agg(F.min("node").alias("node")), "classes")  # documents with all bits alike meet the first of them
     alike = held.join(classes.withColumnRenamed("node", "a"), bits).filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
     values = classes.withColumn("t", tables).select("node", *bits, "t.*")
-    met = _subtrees(values, budget, width, heavy).mapInArrow(_candidates(lanes, budget, width, int(spread * BITS * lanes)), "a long, b long")
+    met = _subtrees(values, budget, width, heavy).mapInArrow(_candidates(lanes, budget, width, most), "a long, b long")
     pairs = save(met.distinct().unionByName(alike), "pairs")
+    near = _confirmed(docs, id_col, text_col, held, pairs, words, similarity)
+    if every:
+        near = save(near, "near")
+        rooted = held.join(save(components(near), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        again = rooted.withColumn("t", tables).select("node", "root", *bits, "t.*")
+        left = _subtrees(again, budget, width, heavy, True).mapInArrow(_remaining(lanes, budget, width, most), "a long, b long").distinct()
+        left = save(left.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        near = near.unionByName(_confirmed(docs, id_col, text_col, held, left, words, similarity))
+    roots = save(components(near), "roots")
+    return held.join(roots, "node", "left").select(F.col("name").alias(id_col), F.coalesce("root", "node").alias("component"))
+
+
+def _confirmed(docs: DataFrame, id_col: str, text_col: str, held: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which both texts' shingle sets are as similar as asked."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = save(held.select("node", "name").join(wanted, "node", "left_semi"), "wanted")
     asked = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(wanted, "name")
     sets = save(_sets(asked, "text", words), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    near = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
-    roots = save(components(near), "roots")
-    return held.join(roots, "node", "left").select(F.col("name").alias(id_col), F.coalesce("root", "node").alias("component"))
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
