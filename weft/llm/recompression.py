@@ -15,7 +15,8 @@ context, together with the name of its block, the words of all of its windows.
 Round 2.  These windows are named themselves, and all places of a window but its first are repeats.
 Names that are compared have 100 bits or more beside the bucket.  Tasks deal each (context, block) and each window once, the
 first place that they have, so a passage that a third of all rows hold comes to its owner once a task; contexts with many
-blocks in a task need no owner to tell that they are repeated.  Texts are moved twice: whole where any window is in doubt.
+blocks in a task need no owner to tell that they are repeated.  Texts are moved twice at most: all of them to what round 1
+tells of them, and those with windows in doubt to what round 2 tells.
 
 First is the place with the smallest id (nulls last), then the earlier row, then the earlier word.  A null text counts as
 empty; texts of fewer than `width` words have no window.  Very long texts are read whole, runs of one word included (their
@@ -44,6 +45,8 @@ LEVELS = 3
 FAR = 1 << 40
 #: Entries that a task holds before it deals them out, and blocks of one context that it deals out.
 MOST, BLOCKS = 1_500_000, 8
+#: Entries in a row of what a task knows by itself.
+KNOWN = 2048
 #: Bytes of each of the two names that are dealt out.
 BYTES = 6
 ALIVE, REPEAT = 1, 2
@@ -261,9 +264,9 @@ class Lot:
         alone, state = np.r_[copies, many], np.r_[np.full(len(copies), REPEAT), np.full(len(many), ALIVE)]
         owner = ((x >> np.uint64(8 * BYTES)) ^ (x * _ODD >> np.uint64(40))).astype(np.int64) % self.buckets
         spread = np.random.default_rng(int(nums[0]) % (1 << 32)).integers(0, self.buckets)
-        for i in range(0, len(alone), 1 << 16):  # what the task knows by itself goes on to where all is gathered
-            own = alone[i : i + (1 << 16)]
-            yield _batch(self.dealt, 1, {"bucket": [int(spread + i) % self.buckets], "nums": [nums[doc[own]].astype("<i8").tobytes()], "ats": [_narrow(at[own] * 4 + state[i : i + (1 << 16)])]})
+        for k, i in enumerate(range(0, len(alone), KNOWN)):  # what the task knows by itself goes on to where all is gathered
+            own = alone[i : i + KNOWN]
+            yield _batch(self.dealt, 1, {"bucket": [int(spread + k) % self.buckets], "nums": [nums[doc[own]].astype("<i8").tobytes()], "ats": [_narrow(at[own] * 4 + state[i : i + KNOWN])]})
         few = np.flatnonzero(among < BLOCKS)
         doc, at, x, y, owner = doc[kept[few]], at[kept[few]], x[few], y[few], owner[few]
         order = np.lexsort((at, doc, owner))
