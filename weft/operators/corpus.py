@@ -63,11 +63,16 @@ def decontaminate_strict(bitext: DataFrame, devtest: DataFrame) -> DataFrame:
 
     devtest: (benchmark, pair, split, src_text, tgt_text); a pair of a benchmark counts only if it has both dev and test rows.
     """
-    whole = devtest.groupBy("benchmark", "pair").agg(F.count_distinct("split").alias("n")).filter("n = 2").select("benchmark", "pair")
-    held = devtest.join(whole, ["benchmark", "pair"], "left_semi")
-    sources = held.select(strict_key(F.col("src_text")).alias("key"))
-    targets = held.select("pair", strict_key(F.col("tgt_text")).alias("key"))
-    return anti_join_any(bitext, [([strict_key(F.col("src_text"))], sources), ([F.col("pair"), strict_key(F.col("tgt_text"))], targets)])
+    # both kinds of key in one column, so that what is held out is read once and both joins share what is made of it
+    own = lambda side, pair, key: F.concat_ws("\u0001", F.lit(side), pair, key)
+    source, target = own("src", F.lit(""), strict_key(F.col("src_text"))), own("tgt", F.col("pair"), strict_key(F.col("tgt_text")))
+    keys = devtest.select("benchmark", "pair", "split", F.explode(F.array(F.when(F.col("src_text").isNotNull(), source), F.when(F.col("tgt_text").isNotNull(), target))).alias("key")).distinct()
+    whole = keys.groupBy("benchmark", "pair").agg(F.count_distinct("split").alias("n")).filter("n = 2").select("benchmark", "pair")
+    pool = keys.join(whole, ["benchmark", "pair"], "left_semi").select("key").distinct()
+    rows = bitext
+    for text, key in (("src_text", source), ("tgt_text", target)):
+        rows = rows.join(pool.withColumnRenamed("key", "__key"), F.when(F.col(text).isNotNull(), key) == F.col("__key"), "left_anti")
+    return rows
 
 
 def pivot_join(first: DataFrame, second: DataFrame) -> DataFrame:
