@@ -40,6 +40,8 @@ BUCKETS, LONGEST = 10_000, 3
 MOST = 500_000
 #: Owners of strings that begin with one word, and how far they are apart.
 SPREAD, _STEP = 16, 0x9E3779B1
+#: Rows in which a task gives its sums.
+PARTS = 32
 #: A-Z in lower case; whatever is not a letter, a digit or beyond ASCII becomes a blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 DEALT = "bucket int, lists binary, sizes array<binary>, counts array<binary>"
@@ -157,26 +159,42 @@ def _strings(held: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _hashed(buckets: int):
-    """(bucket, n): counts of the different strings of each owner; rows come sorted by owner."""
+    """(part, sums): counts of the different strings of each owner by bucket, a part of the buckets a row; rows come sorted by owner."""
+    size = -(-buckets // PARTS)
 
     def added(sums: np.ndarray, held: list[dict]) -> None:
         for crc, n in _strings(held):
-            sums += np.bincount(crc % np.uint32(buckets), n, buckets).astype(np.int64)
+            sums[:buckets] += np.bincount(crc % np.uint32(buckets), n, buckets).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, held, sums, some = None, [], np.zeros(buckets, np.int64), False
+        owner, held, sums = None, [], np.zeros(size * PARTS, np.int64)
         for batch in batches:
             for x in batch.to_pylist():
                 if x["bucket"] != owner and held:
                     added(sums, held)
                     held = []
-                owner, some = x["bucket"], True
+                owner = x["bucket"]
                 held.append(x)
         if held:
             added(sums, held)
-        if some:
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in sums.reshape(PARTS, size)], pa.binary())], ["part", "sums"])
+
+    return run
+
+
+def _summed(buckets: int):
+    """(bucket, n) for buckets that have features, of the sums of all tasks; a part's rows are in one task."""
+    size = -(-buckets // PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for x in batch.to_pylist():
+                own = np.frombuffer(x["sums"], np.int64)
+                sums[x["part"]] = sums[x["part"]] + own if x["part"] in sums else own
+        for part, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at + part * size, pa.int32()), pa.array(n[at])], ["bucket", "n"])
 
     return run
 
@@ -187,7 +205,8 @@ def feature_counts(docs: DataFrame, text_col: str = "text", longest: int = LONGE
     owners = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.encode(text_or_empty(text_col), "utf-8").alias("text"))
     lists = texts.mapInArrow(_dealt(longest, owners, to_arrow_schema(schema)), schema)
-    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_hashed(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_hashed(buckets), "part int, sums binary")
+    return sums.repartition("part").mapInArrow(_summed(buckets), "bucket int, n long")
 
 
 def gains(own: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
