@@ -37,7 +37,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates: five-word shingles with a similarity of 0.8 or more."""
     ship(spark)
     held, row = numbered(docs)
-    groups = simhash.similar_groups(held, row).join(held.select(row, F.col("doc_id").alias("id")), row)
+    groups = simhash.similar_groups(held, row, whole=True).join(held.select(row, F.col("doc_id").alias("id")), row)
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("at"))).alias("least")
     stays = groups.groupBy("component").agg(least).select(F.col("least.at").alias(row))
     return held.join(stays, row, "left_semi").select(docs.columns)

@@ -266,6 +266,39 @@ def test_similar_groups_by_every_candidate(spark, heavy, monkeypatch):
     assert links(got.get) <= want and len(links(got.get)) >= 0.98 * len(want) > len(links(few.get))
 
 
+@pytest.mark.parametrize("heavy", [50_000, 4])
+def test_similar_groups_whole(spark, heavy):
+    """Similar sets whose fingerprints are far apart, as words are repeated, are linked too: groups are those of brute force."""
+    r = random.Random(33)
+    texts = []
+    for i in range(12):
+        own = words(7000 + i, 120).split(" ")
+        texts += [" ".join(own + [f"a{i}{k}", f"b{i}{k}"] * 400) for k in range(3)]
+    for i in range(60):
+        own = words(7100 + i % 6, r.choice([6, 9, 30])).split(" ")
+        texts.append(" ".join(own[: r.choice([5, 6, 8, 30])] + ["end"] * r.choice([0, 0, 1, 5, 9, 200])))
+    shared = words(7200, 40)
+    texts += [f"{shared} {words(7300 + i, 8)}" for i in range(20)] + ["x y " * n for n in (3, 4, 9, 80)] + ["x", "x", "", None]
+    own = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in own]
+    n, top = len(texts), list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                top[root(i)] = root(j)
+    docs = save(spark.createDataFrame(list(enumerate(texts)), "n long, text string"), "docs")
+    links = lambda c: {(i, j) for i in range(n) for j in range(i) if c(i) == c(j)}
+    few = {x["n"]: x["component"] for x in simhash.similar_groups(docs, "n", heavy=heavy).collect()}
+    got = {x["n"]: x["component"] for x in simhash.similar_groups(docs, "n", heavy=heavy, whole=True).collect()}
+    assert links(got.get) == links(root) > links(few.get)
+
+
 def test_crowded_leaves_in_pairs_of_pieces(spark):
     rows_ = spark.createDataFrame([(0, i, i, 0, 5 if i < 50 else 1 << 20) for i in range(60)], "table int, node long, root long, fp0 long, value long")
     got = simhash._subtrees(rows_, 0, 32, 8, True).collect()

@@ -10,7 +10,9 @@ is heavy, so that no task gets all of a crowded part of the trie.  Tasks read su
 
 near_duplicates() links fingerprints of 64 bits.  similar_groups() finds documents by the Jaccard similarity of their word
 shingles: fingerprints of word pairs, 32 bits in each of several tables, are joined in every table; what meets is narrowed
-by all bits together and then confirmed on the shingle sets themselves.
+by all bits together and then confirmed on the shingle sets themselves.  similar_groups(whole=True) then finds the similar pairs
+that no table has: sets so similar share one of their first shingles in whatever order all sets are held, so documents meet at
+these, with frequent shingles ordered last, and only documents of different groups are compared.
 
 Components: links are contracted by rounds of large-star and small-star with a checkpoint after each, in Spark throughout.
 
@@ -28,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,8 @@ BITS = 64
 SPLIT = 8
 #: Edge-disjoint spanning forests of what meets in a lot that are compared: all pairs of a few documents, a few pairs a document of many.
 FORESTS = 4
+#: The most frequent shingles that are ordered last, at most; they are sent to the tasks.
+FREQUENT = 50_000
 PAIR = ["table", "turn", "deep", "a", "b", "piece"]
 
 
@@ -143,15 +147,15 @@ def _middle(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray) ->
     return lo
 
 
-def _lots(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of rows sorted by PAIR, about `most` rows at a time, cut where a pair of subtrees ends."""
+def _lots(batches: Iterator[pa.RecordBatch], most: int = 60_000, key: list[str] = PAIR) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows sorted by key, about `most` rows at a time, cut where one key (a pair of subtrees) ends."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
         if sum(map(len, held)) < most:
             continue
         lot = pa.Table.from_batches(held).combine_chunks()
-        new = _changes([lot.column(c).to_numpy() for c in PAIR])
+        new = _changes([lot.column(c).to_numpy() for c in key])
         if new[-1]:
             yield {c: lot.column(c).to_numpy()[: new[-1]] for c in lot.column_names}
         held = lot.slice(new[-1]).to_batches()
@@ -454,7 +458,7 @@ def _sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 3, width: int = 32, budget: int = 3, spread: float = 0.15, heavy: int = 50_000, every: bool = False
+    docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 3, width: int = 32, budget: int = 3, spread: float = 0.15, heavy: int = 50_000, every: bool = False, whole: bool = False
 ) -> DataFrame:
     """(id_col, component long) for every row; rows have the same component if similar pairs lead from one to the other.
 
@@ -465,6 +469,7 @@ def similar_groups(
     few documents escape (the README has the figures).
     every: all candidates that the forests have left in different components are then compared too, so the result is that of
     comparing all candidates.  It costs as many comparisons as there are documents that meet without being similar.
+    whole: similar pairs that were no candidates are found by their shingles and added, so no similar pair is left apart.
     id_col: a value of its own that each row has.
     """
     held = fingerprints(docs, id_col, text_col, 2, lanes).select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("name"), *(f"fp{k}" for k in range(lanes)))
@@ -486,6 +491,11 @@ def similar_groups(
         left = _subtrees(again, budget, width, heavy, True).mapInArrow(_remaining(lanes, budget, width, most), "a long, b long").distinct()
         left = save(left.join(pairs, ["a", "b"], "left_anti"), "pairs")
         near = near.unionByName(_confirmed(docs, id_col, text_col, held, left, words, similarity))
+    if whole:
+        near = save(near, "near")
+        rooted = held.select("node", "name").join(save(components(near), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = save(_apart(docs, id_col, text_col, save(rooted, "rooted"), words, similarity, heavy), "pairs")
+        near = near.unionByName(_confirmed(docs, id_col, text_col, held, left, words, similarity))
     roots = save(components(near), "roots")
     return held.join(roots, "node", "left").select(F.col("name").alias(id_col), F.coalesce("root", "node").alias("component"))
 
@@ -499,3 +509,95 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, held: DataFrame, pai
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+
+# Similar sets by their first shingles
+
+
+def _fronts(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, late: np.ndarray) -> DataFrame:
+    """(name, same, n, front): of each row's shingle set a hash, the size and its first shingles, those in `late` ordered last.
+
+    Two sets that are similar share one of these: of n shingles they have similarity * n in common at least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in slices(batches, "text"):
+            same, sizes, fronts = [], [], []
+            for text in part.column("text").to_pylist():
+                own = set_of(text, words)
+                same.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                if len(late):
+                    last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+                    own = np.concatenate([own[~last], own[last]])
+                fronts.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1])
+            ends = np.cumsum([0, *map(len, fronts)]).astype("i4")
+            front = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(fronts)))
+            yield pa.RecordBatch.from_arrays([part.column("name"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), front], ["name", "same", "n", "front"])
+
+    base = docs.select(F.col(id_col).alias("name"), F.encode(text_or_empty(text_col), "utf-8").alias("text"))
+    schema = T.StructType([T.StructField("name", docs.schema[id_col].dataType), T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("front", T.ArrayType(T.LongType()))])
+    return base.mapInArrow(run, schema)
+
+
+def _apart(docs: DataFrame, id_col: str, text_col: str, rooted: DataFrame, words: int, similarity: float, heavy: int, often: int = 16) -> DataFrame:
+    """Pairs of documents (a, b) of different groups (rooted: name, node, root) that may be similar; all that are similar, or a chain of them.
+
+    Which shingles are ordered last only spares comparisons: they are those that more than `often` documents have in front without
+    it, FREQUENT at most.  Of equal sets one document stands for all.  A shingle with more than `heavy` documents goes to several
+    tasks, so that each two of its documents meet in one.
+    """
+    none = np.zeros(0, np.int64)
+    seen = _fronts(docs, id_col, text_col, words, similarity, none).select(F.explode("front").alias("shingle"))
+    often_ = seen.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > often).orderBy(F.col("n").desc(), "shingle").limit(FREQUENT)
+    late = np.sort(np.array([r["shingle"] for r in often_.select("shingle").collect()], np.int64))
+    held = save(_fronts(docs, id_col, text_col, words, similarity, late).join(rooted, "name").drop("name"), "fronts")
+    first = held.groupBy("same").agg(F.min(F.struct("node", "root")).alias("first"))
+    alike = held.select("same", "node", "root").join(first, "same").filter("root <> first.root").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    stand = held.join(first.select(F.col("first.node").alias("node")), "node", "left_semi")
+    rows = stand.select("node", "root", "n", F.posexplode("front").alias("at", "shingle"))
+    own = Window.partitionBy("shingle")
+    met = rows.withColumns({"lo": F.min("root").over(own), "hi": F.max("root").over(own), "docs": F.count("*").over(own)}).filter("lo < hi")
+    pieces = F.ceil(F.col("docs") / heavy).cast("int")
+    mine = F.pmod(F.xxhash64("node"), pieces).cast("int")
+    met = met.withColumns({"pieces": pieces, "mine": mine}).drop("lo", "hi", "docs")
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("piece", F.least("mine", "other") * F.col("pieces") + F.greatest("mine", "other"))
+    met = met.select("shingle", "piece", "node", "root", "n", "at").repartition("shingle", "piece").sortWithinPartitions("shingle", "piece")
+    return met.mapInArrow(_meeting(similarity), "a long, b long").distinct().unionByName(alike)
+
+
+def _meeting(similarity: float) -> Callable:
+    """Pairs (a, b) of different groups that meet at a shingle and may be similar by their sizes and by what follows the shingle in both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(batches, key=["shingle", "piece"]):
+            cut = _changes([lot["shingle"], lot["piece"]])
+            found: list[np.ndarray] = []
+            for lo, hi in zip(cut.tolist(), np.r_[cut[1:], len(lot["node"])].tolist(), strict=True):
+                step = max(1, 4_000_000 // (hi - lo))
+                for at in range(lo, hi - 1, step):
+                    i, j = np.ogrid[at : min(at + step, hi), at:hi]
+                    n = lot["n"]
+                    needed = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6)
+                    may = (lot["root"][i] != lot["root"][j]) & (i < j) & (np.minimum(n[i] - lot["at"][i], n[j] - lot["at"][j]) >= needed)
+                    x, y = np.nonzero(may)
+                    a, b = lot["node"][at + x], lot["node"][at + y]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                    if sum(f.shape[1] for f in found) > 500_000:
+                        yield _pairs(found)
+                        found = []
+            if found:
+                yield _pairs(found)
+
+    return run
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Each pair once."""
+    a, b = np.concatenate(found, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = _changes([a, b]) if len(a) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
