@@ -39,11 +39,12 @@ def translate(rows: DataFrame, translator: Translator, batch: int = 128, text_co
     Within an Arrow batch texts of like length go together, and results return to their rows.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(**{text_col: _by_direction(part[text_col], part["src"], part["tgt"], translator, batch)})
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:  # other columns, lists among them, stay in Arrow
+            done = _by_direction(*(part.column(c).to_pandas() for c in (text_col, "src", "tgt")), translator, batch)
+            yield part.set_column(part.schema.get_field_index(text_col), text_col, pa.array(done, pa.string(), from_pandas=True))
 
-    return rows.mapInPandas(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def explode_paragraphs(paragraphs: DataFrame, text_col: str = "text", words: int = 256) -> DataFrame:
