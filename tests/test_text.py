@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from weft.functions import languages as lang
 from weft.functions import text as tx
 from weft.functions.punctuation import normalize_corpus, normalize_request
-from weft.operators import corpus, metrics, translation
+from weft.operators import corpus, metrics, translation, vocabulary
+from weft.session import dealt
 from weft.sources import bitext
 from weft.streaming import normalize
 
@@ -129,3 +130,18 @@ def test_patterns_with_and_without_their_quick_tests(spark):
     plain += [F.regexp_replace("x", r"(?U)^\s+|\s+$", "").eqNullSafe(tx.strip(F.col("x"))), F.regexp_replace("x", r"(?U)\s+", " ").eqNullSafe(tx._collapse(F.col("x")))]
     assert df.select(*(F.count_if(~c) for c in plain)).first() == (0,) * len(plain)
     assert all("RLIKE" in str(tx.matches(F.col("x"), p)).upper() for p in (tx.EMAIL, tx.URL, tx.OTHER))  # before, each pattern was tried at each place
+
+
+def test_resampled_in_one_pass_and_encoded_as_places_say(spark):
+    """Draws in tasks are those of draws(), chrF of resamples reads statistics once (twice before), tokens are numbered by their places."""
+    rows = spark.createDataFrame([(k,) for k in range(50)], "k long")
+    want = rows.select("k", F.array(*(metrics.draws(F.col("k"), F.lit(i)) for i in range(1, 9))).alias("t")).collect()
+    assert all(list(metrics._times(str(x["k"]), 1, 8)) == x["t"] for x in want)
+    stats = spark.createDataFrame([(1, "a", "char", 1, 2, 3, 4), (2, "b", "char", 1, 0, 0, 4)], "row long, system string, kind string, n int, matched long, hyp_n long, ref_n long")
+    boot = metrics.paired_bootstrap(stats, "row", "system", 5, 0, metrics.chrf_score)
+    assert boot._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    texts = [(1, "b a  b c"), (2, None), (3, " "), (4, "é b"), (5, "b")]
+    ids = vocabulary.encode(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame([("a", 5), ("b", 4)], "token string, id int"), "k")
+    assert {x["k"]: x["ids"] for x in ids.collect()} == {1: [4, 5, 4, 3], 2: [], 3: [], 4: [3, 4], 5: [4]}
+    wide = spark.range(100).selectExpr("id", "repeat('x', 10) AS t")
+    assert dealt(wide, "id", 100).rdd.getNumPartitions() > 4 and dealt(wide, "id").rdd.getNumPartitions() == wide.rdd.getNumPartitions()

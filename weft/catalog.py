@@ -17,7 +17,7 @@ from weft.functions import text as tx
 from weft.functions.punctuation import normalize_corpus, normalize_request
 from weft.operators import batching, corpus, metrics, sentences, translation, vocabulary
 from weft.plans import prepare
-from weft.session import read_table, scratch, ship
+from weft.session import dealt, read_table, scratch, ship
 from weft.sources import aligned, bitext, tables
 from weft.sources.bitext import hypotheses
 from weft.sources.bitext import vocabulary as vocabulary_lines
@@ -50,7 +50,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bitext rows: a user's turn and the assistant's next one; four pairs of languages by the conversation's number."""
-    conv = table(spark, sf_dir, "conversations")
+    conv = dealt(table(spark, sf_dir, "conversations"), "conv_id")
     user = conv.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("src_text"))
     assistant = conv.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("tgt_text"))
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("conv_id") % 4 + 1).cast("int"))

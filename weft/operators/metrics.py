@@ -6,6 +6,7 @@ few counts, and scores and resamples come from their sums.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -88,7 +89,12 @@ def _row_counts(hyp: pa.Array, ref: pa.Array, orders: range) -> Iterator[tuple[i
     gram, at = (text % rows).astype(np.int64) if rows else text, np.arange(len(items))
     for n in range(1, orders.stop):
         at = at[left[at] >= n]
-        named, first, gram_at = np.unique(gram[at] * base + items[at + n - 1], return_index=True, return_inverse=True)
+        key = gram[at] * base + items[at + n - 1]
+        order = np.argsort(key)  # no stable sort: equal n-grams are of one row, whichever comes first
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        named, first, gram_at = key[new], order[new], np.empty(len(key), np.int64)
+        gram_at[order] = np.cumsum(new) - 1
         gram = np.zeros(len(items), np.int64)
         gram[at] = gram_at
         if n not in orders:
@@ -157,10 +163,16 @@ def bleu(statistics: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def chrf(statistics: DataFrame, groups: list[str], beta: float = 2.0) -> DataFrame:
-    """(groups, chrf): F-score of precision and recall averaged over the orders that both sides have."""
+    """(groups, chrf): F-score of precision and recall averaged over the orders that both sides have; a group without one gives no row."""
+    return _chrf(statistics, groups, beta).filter("chrf is not null")
+
+
+def _chrf(statistics: DataFrame, groups: list[str], beta: float) -> DataFrame:
+    """chrf(), and null for groups whose sides share no order."""
     sums = statistics.groupBy(*groups, "kind", "n").agg(*(F.sum(c).cast("double").alias(c) for c in ("matched", "hyp_n", "ref_n")))
-    both = sums.filter("hyp_n > 0 and ref_n > 0").groupBy(*groups).agg(F.avg(F.col("matched") / F.col("hyp_n")).alias("__p"), F.avg(F.col("matched") / F.col("ref_n")).alias("__r"))
-    score = F.when(F.col("__p") + F.col("__r") > 0, 100 * (1 + beta**2) * F.col("__p") * F.col("__r") / (beta**2 * F.col("__p") + F.col("__r"))).otherwise(0.0)
+    share = lambda c: F.avg(F.when((F.col("hyp_n") > 0) & (F.col("ref_n") > 0), F.col("matched") / F.col(c)))
+    both = sums.groupBy(*groups).agg(share("hyp_n").alias("__p"), share("ref_n").alias("__r"))
+    score = F.when(F.col("__p").isNull(), None).when(F.col("__p") + F.col("__r") > 0, 100 * (1 + beta**2) * F.col("__p") * F.col("__r") / (beta**2 * F.col("__p") + F.col("__r"))).otherwise(0.0)
     return both.select(*groups, score.alias("chrf"))
 
 
@@ -177,10 +189,43 @@ def draws(key: Column, sample: Column) -> Column:
     return times
 
 
+def _times(key: str | None, first: int, samples: int) -> np.ndarray:
+    """draws() of a row for each sample from first on; sample 0 has each row once."""
+    tail = b"" if key is None else b":" + key.encode()
+    u = np.fromiter((int.from_bytes(hashlib.md5(b"%d%b" % (s, tail)).digest()[:4], "big") for s in range(first, samples + 1)), np.int64, samples + 1 - first) / 4294967296.0
+    times = np.searchsorted(POISSON, u, "left")
+    times[: max(0, 1 - first)] = 1
+    return times
+
+
+def _weighted(first: int, samples: int, names: list[str]) -> Callable:
+    """Sums of a task's statistics by system, kind and order for each sample, rows weighted by how often they are drawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                part = whole.slice(at, 2000)
+                times = np.array([_times(k, first, samples) for k in part.column("row").to_pylist()], np.float64)
+                lists = part.column("s")
+                flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+                own = {f: flat.field(i) for i, f in enumerate(names)}
+                group = pa.table([own[c] for c in names[:3]], names[:3]).to_pandas()
+                for key, places in group.groupby(names[:3], dropna=False, sort=False).indices.items():
+                    values = np.stack([own[c].to_numpy(zero_copy_only=False)[places] for c in names[3:]] + [np.ones(len(places))], 1)
+                    got = times[row[places]].T @ values  # whole numbers, exact below 2 ** 53
+                    sums[key] = sums[key] + got if key in sums else got
+        for key, got in sums.items():
+            drawn = np.flatnonzero(got[:, 3])
+            columns = [pa.array(drawn + first, pa.int32()), *(pa.array([v] * len(drawn), t) for v, t in zip(key, (pa.string(), pa.string(), pa.int32()), strict=True))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(got[drawn, i].astype(np.int64)) for i in range(3))], ["sample", *names])
+
+    return run
+
+
 def chrf_score(statistics: DataFrame, groups: list[str]) -> DataFrame:
     """chrf(), and 0 for groups whose hypotheses and references share no order."""
-    none = statistics.select(*groups).distinct()
-    return none.join(chrf(statistics, groups), groups, "left").select(*groups, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
+    return _chrf(statistics, groups, 2.0).select(*groups, F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
 
 
 def paired_bootstrap(statistics: DataFrame, row: str, system: str, samples: int = 200, first: int = 1, score: Callable[[DataFrame, list[str]], DataFrame] = bleu) -> DataFrame:
@@ -189,15 +234,15 @@ def paired_bootstrap(statistics: DataFrame, row: str, system: str, samples: int
     score: bleu, or chrf_score for statistics of chrF, whose column is then chrf.
 
     A row's statistics are brought together (a few numbers for each system), so a draw is made once a row and sample.  They are
-    multiplied by draws and summed per sample before they are shuffled: samples x systems x 4 rows a task.
+    multiplied by draws() and summed per sample, as products of matrices, before they are shuffled: samples x systems x orders rows a task.
     """
-    held = statistics.groupBy(row).agg(F.collect_list(F.struct(system, "kind", "n", "matched", "hyp_n", "ref_n")).alias("s"))
+    ship(statistics.sparkSession)
+    held = statistics.groupBy(row).agg(F.collect_list(F.struct(F.col(system).cast("string").alias(system), "kind", "n", "matched", "hyp_n", "ref_n")).alias("s"))
     # few bytes, but each row is drawn for every sample: Spark is not to put them all in one task
     held = held.repartition(int(statistics.sparkSession.conf.get("spark.sql.shuffle.partitions")), row)
-    drawn = held.withColumn("sample", F.explode(F.sequence(F.lit(first), F.lit(samples))))
-    times = F.when(F.col("sample") == 0, 1).otherwise(draws(F.col(row), F.col("sample"))).alias("times")
-    drawn = drawn.select("sample", times, "s").filter("times > 0").select("sample", "times", F.explode("s").alias("s"))
-    weighted = drawn.select("sample", F.col(f"s.{system}").alias(system), "s.kind", "s.n", *((F.col(f"s.{c}") * F.col("times")).alias(c) for c in ("matched", "hyp_n", "ref_n")))
+    names = [system, "kind", "n", "matched", "hyp_n", "ref_n"]
+    schema = T.StructType([T.StructField("sample", T.IntegerType()), *(T.StructField(c, t) for c, t in zip(names, (T.StringType(), T.StringType(), T.IntegerType(), *[T.LongType()] * 3), strict=True))])
+    weighted = held.select(F.col(row).cast("string").alias("row"), "s").mapInArrow(_weighted(first, samples, names), schema)
     return score(weighted, ["sample", system])
 
 

@@ -59,3 +59,10 @@ def read_table(spark: SparkSession, path: str, small: int = 64 << 20) -> DataFra
     df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if 1 << 18 < size < small and df.rdd.getNumPartitions() <= 2 * cores else df
+
+
+def dealt(df: DataFrame, key: str, each: int = 4 << 20) -> DataFrame:
+    """df in parts of about `each` bytes by a key, which Spark is not to bring together again, for a join and much work on each row
+    after it: by their bytes alone few tasks would do all of it.  A table that is no larger than a part for each core stays as it is."""
+    parts = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // each
+    return df.repartition(parts, key) if parts > df.sparkSession.sparkContext.defaultParallelism else df
