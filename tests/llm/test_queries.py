@@ -299,6 +299,37 @@ def test_similar_groups_whole(spark, heavy):
     assert links(got.get) == links(root) > links(few.get)
 
 
+@pytest.mark.parametrize("heavy", [50_000, 40])
+def test_a_crowd_that_meets_gives_few_pairs(spark, heavy):
+    """Documents that share most of a passage without being similar are told apart where they meet; no similar pair is lost, long texts included."""
+    r = random.Random(44)
+    base, long_ = words(8000, 200).split(" "), words(8001, 4000).split(" ")
+
+    def edited(own, n, i):
+        own = list(own)
+        for k in r.sample(range(len(own)), n):
+            own[k] = f"w{i}x{k}"
+        return " ".join(own)
+
+    texts = [edited(base, 12, i) for i in range(150)] + [edited(base, n, 200 + 10 * n + i) for n in (1, 2, 4) for i in range(4)] + [edited(long_, n, 300 + n) for n in (20, 30, 200)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    n = len(texts)
+    want = {(i, j) for j in range(n) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    docs = save(spark.createDataFrame(list(enumerate(texts)), "n long, text string"), "docs")
+    rooted = docs.select(F.col("n").alias("name"), F.col("n").alias("node"), F.col("n").alias("root"))
+    got = {(x["a"], x["b"]) for x in simhash._apart(docs, "n", "text", rooted, 5, 0.8, heavy).collect()}
+    assert got >= want and len(want) > 20 and len(got) <= 2 * len(want) + 10
+
+
+def test_pairs_of_rows_with_different_roots():
+    r = random.Random(45)
+    rows_ = sorted((r.randrange(6), r.randrange(4)) for _ in range(60)) + [(9, 1), (10, 0), (10, 0)]
+    group, root = (np.array(c) for c in zip(*rows_, strict=True))
+    for most in (1, 7, 1000):
+        got = [(i, j) for x, y in simhash._later(group, root, most) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        assert sorted(got) == [(i, j) for i in range(len(rows_)) for j in range(i, len(rows_)) if group[i] == group[j] and root[i] != root[j]]
+
+
 def test_crowded_leaves_in_pairs_of_pieces(spark):
     rows_ = spark.createDataFrame([(0, i, i, 0, 5 if i < 50 else 1 << 20) for i in range(60)], "table int, node long, root long, fp0 long, value long")
     got = simhash._subtrees(rows_, 0, 32, 8, True).collect()

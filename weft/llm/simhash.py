@@ -12,7 +12,9 @@ near_duplicates() links fingerprints of 64 bits.  similar_groups() finds documen
 shingles: fingerprints of word pairs, 32 bits in each of several tables, are joined in every table; what meets is narrowed
 by all bits together and then confirmed on the shingle sets themselves.  similar_groups(whole=True) then finds the similar pairs
 that no table has: sets so similar share one of their first shingles in whatever order all sets are held, so documents meet at
-these, with frequent shingles ordered last, and only documents of different groups are compared.
+these, with frequent shingles ordered last, and only documents of different groups are compared.  Where they meet, sets too far
+apart are told by their parities: of the shingles whose hashes end alike, whether a set has an odd number.  Each shingle that only
+one of two sets has changes one parity, so as many shingles at least are not shared as parities differ.
 
 Components: links are contracted by rounds of large-star and small-star with a checkpoint after each, in Spark throughout.
 
@@ -44,6 +46,8 @@ SPLIT = 8
 FORESTS = 4
 #: The most frequent shingles that are ordered last, at most; they are sent to the tasks.
 FREQUENT = 50_000
+#: Bits of a set's parities; sets of up to twice as many shingles can be told apart by them.
+PARITIES = 1024
 PAIR = ["table", "turn", "deep", "a", "b", "piece"]
 
 
@@ -514,8 +518,14 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, held: DataFrame, pai
 # Similar sets by their first shingles
 
 
+def _parities(own: np.ndarray) -> bytes:
+    """For each ending of PARITIES endings of hashes, as a bit: whether an odd number of a set's hashes have it."""
+    counts = np.bincount(own & (PARITIES - 1), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _fronts(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, late: np.ndarray) -> DataFrame:
-    """(name, same, n, front): of each row's shingle set a hash, the size and its first shingles, those in `late` ordered last.
+    """(name, same, n, front, odd): of each row's shingle set a hash, the size, its first shingles, those in `late` ordered last, and parities.
 
     Two sets that are similar share one of these: of n shingles they have similarity * n in common at least.
     """
@@ -524,22 +534,23 @@ def _fronts(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
         import xxhash
 
         for part in slices(batches, "text"):
-            same, sizes, fronts = [], [], []
+            same, sizes, fronts, odd = [], [], [], []
             for text in part.column("text").to_pylist():
                 own = set_of(text, words)
                 same.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
+                odd.append(_parities(own))
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
                     own = np.concatenate([own[~last], own[last]])
                 fronts.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1])
             ends = np.cumsum([0, *map(len, fronts)]).astype("i4")
             front = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(fronts)))
-            yield pa.RecordBatch.from_arrays([part.column("name"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), front], ["name", "same", "n", "front"])
+            yield pa.RecordBatch.from_arrays([part.column("name"), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), front, pa.array(odd, pa.binary())], ["name", "same", "n", "front", "odd"])
 
     base = docs.select(F.col(id_col).alias("name"), F.encode(text_or_empty(text_col), "utf-8").alias("text"))
-    schema = T.StructType([T.StructField("name", docs.schema[id_col].dataType), T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("front", T.ArrayType(T.LongType()))])
-    return base.mapInArrow(run, schema)
+    kinds = {"name": docs.schema[id_col].dataType, "same": T.BinaryType(), "n": T.LongType(), "front": T.ArrayType(T.LongType()), "odd": T.BinaryType()}
+    return base.mapInArrow(run, T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]))
 
 
 def _apart(docs: DataFrame, id_col: str, text_col: str, rooted: DataFrame, words: int, similarity: float, heavy: int, often: int = 16) -> DataFrame:
@@ -564,36 +575,56 @@ def _apart(docs: DataFrame, id_col: str, text_col: str, rooted: DataFrame, words
     mine = F.pmod(F.xxhash64("node"), pieces).cast("int")
     met = met.withColumns({"pieces": pieces, "mine": mine}).drop("lo", "hi", "docs")
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("piece", F.least("mine", "other") * F.col("pieces") + F.greatest("mine", "other"))
-    met = met.select("shingle", "piece", "node", "root", "n", "at").repartition("shingle", "piece").sortWithinPartitions("shingle", "piece")
-    return met.mapInArrow(_meeting(similarity), "a long, b long").distinct().unionByName(alike)
+    met = met.select("shingle", "piece", "node", "root", "n", "at").join(held.select("node", "odd"), "node")
+    return met.repartition("shingle", "piece").sortWithinPartitions("shingle", "piece").mapInArrow(_meeting(similarity), "a long, b long").distinct().unionByName(alike)
 
 
 def _meeting(similarity: float) -> Callable:
-    """Pairs (a, b) of different groups that meet at a shingle and may be similar by their sizes and by what follows the shingle in both."""
+    """Pairs (a, b) of different groups that meet at a shingle and may be similar by their sizes, by what follows the shingle in both and by their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in _lots(batches, key=["shingle", "piece"]):
-            cut = _changes([lot["shingle"], lot["piece"]])
+            group = np.zeros(len(lot["node"]), np.int64)
+            group[_changes([lot["shingle"], lot["piece"]])[1:]] = 1
+            group = np.cumsum(group)
+            order = np.lexsort((lot["root"], group))
+            group, (node, root, n, at) = group[order], (lot[c][order] for c in ("node", "root", "n", "at"))
+            odd = np.frombuffer(b"".join(lot["odd"][order]), np.uint64).reshape(len(node), -1)
+            left = n - at
             found: list[np.ndarray] = []
-            for lo, hi in zip(cut.tolist(), np.r_[cut[1:], len(lot["node"])].tolist(), strict=True):
-                step = max(1, 4_000_000 // (hi - lo))
-                for at in range(lo, hi - 1, step):
-                    i, j = np.ogrid[at : min(at + step, hi), at:hi]
-                    n = lot["n"]
-                    needed = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6)
-                    may = (lot["root"][i] != lot["root"][j]) & (i < j) & (np.minimum(n[i] - lot["at"][i], n[j] - lot["at"][j]) >= needed)
-                    x, y = np.nonzero(may)
-                    a, b = lot["node"][at + x], lot["node"][at + y]
+            for i, j in _later(group, root):
+                needed = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6)
+                may = np.minimum(left[i], left[j]) >= needed
+                i, j, unlike = i[may], j[may], (n[i] + n[j] - 2 * needed)[may]
+                for k in range(0, len(i), 100_000):
+                    x, y = i[k : k + 100_000], j[k : k + 100_000]
+                    may = _distance(odd, x, y) <= unlike[k : k + 100_000]
+                    a, b = node[x[may]], node[y[may]]
                     found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-                    if sum(f.shape[1] for f in found) > 500_000:
-                        yield _pairs(found)
-                        found = []
+                if sum(f.shape[1] for f in found) > 500_000:
+                    yield _pairs(found)
+                    found = []
             if found:
                 yield _pairs(found)
 
     return run
 
 
+def _later(group: np.ndarray, root: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows sorted by group and root, for each two with the same group and different roots, about `most` at a time."""
+    ends = lambda cut: np.repeat(np.r_[cut[1:], len(group)], np.diff(np.r_[cut, len(group)]))
+    begin, end = ends(_changes([group, root])), ends(_changes([group]))
+    total = np.cumsum(end - begin)
+    lo = 0
+    while lo < len(group):
+        before = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + most, "right")))
+        many = (end - begin)[lo:hi]
+        i = np.repeat(np.arange(lo, hi), many)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + begin[i]
+        lo = hi
+
+
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     """Each pair once."""
     a, b = np.concatenate(found, axis=1)
